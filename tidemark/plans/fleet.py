@@ -68,3 +68,6 @@ SELECT 'fleet' AS host, name AS module, ts_s, level AS value,
        0 AS reaction
 FROM l WHERE level <> 0 OR emit_ok
 """
+
+QUERIES = {"fleet_health": fleet_health}
+ORACLE = {"fleet_health": FLEET_HEALTH_SQL}
