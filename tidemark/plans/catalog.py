@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregate_queries, fleet, projection_queries, window_queries
+from tidemark.plans import (
+    aggregate_queries,
+    fleet,
+    projection_queries,
+    source_queries,
+    window_queries,
+)
 
-_MODULES = (fleet, window_queries, aggregate_queries, projection_queries)
+_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries)
 
 
 def queries() -> dict:
