@@ -5,12 +5,13 @@ from __future__ import annotations
 from tidemark.plans import (
     aggregate_queries,
     fleet,
+    output_queries,
     projection_queries,
     source_queries,
     window_queries,
 )
 
-_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries)
+_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries, output_queries)
 
 
 def queries() -> dict:
