@@ -6,6 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What integer and decimal text looks like. Checking first keeps failing casts,
+# which are slow, out of the common path.
+INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+FLOAT_TEXT = r"(?i)^\s*[+-]?(?:(?:[0-9]++\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def int_text(text: Column) -> Column:
+    """Integer text as BIGINT, anything else NULL."""
+    return F.when(text.rlike(INT_TEXT), text.try_cast("bigint"))
+
+
+def float_text(text: Column) -> Column:
+    """Number text as DOUBLE, anything else NULL."""
+    return F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
+
+
 def fixed_text(x: Column, places: int = 2) -> Column:
     """Fixed-point text without grouping."""
     return F.call_function("format_number", x, F.lit("0." + "0" * places))
@@ -32,7 +48,7 @@ def fixed(x: Column, places: int = 2) -> Column:
 
 def as_int(raw: Column, kind: Column | None = None, value: Column | None = None) -> Column:
     """Integer reading of a sample: text must be an integer, a float is truncated."""
-    text = raw.try_cast("bigint")
+    text = int_text(raw)
     if kind is None or value is None:
         return text
     return F.when(kind == "float", value.try_cast("bigint")).otherwise(text)

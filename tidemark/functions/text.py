@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import float_text
+
 # Host-name limits and default ports.
 HOST_MAX = 255
 LABEL_PATTERN = r"^(?!-)[a-zA-Z0-9-]{1,63}(?<!-)$"
@@ -77,19 +79,10 @@ def url_endpoint(url: Column) -> Column:
 def percent_from_text(col: Column) -> Column:
     """Number between `(` and `)` without `%`; 0.0 if there is none."""
     inside = F.regexp_extract(col, r"\(([^)]*)\)", 1)
-    return F.coalesce(F.replace(inside, F.lit("%"), F.lit("")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(float_text(F.replace(inside, F.lit("%"), F.lit(""))), F.lit(0.0))
 
 
 def clean_message(col: Column) -> Column:
     """Plug-in output on one line, without characters that break a message."""
     return replace_chain(col, MESSAGE_REPLACEMENTS)
 
-
-def plain_number(x: Column, places: int = 6) -> Column:
-    """Number as text without an exponent; integral values without a fraction.
-
-    Values beyond the decimal range keep Spark's own text.
-    """
-    as_decimal = x.try_cast(f"decimal(38,{places})").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(as_decimal, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.coalesce(trimmed, x.cast("string"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import fixed, ratio
+from tidemark.functions.numbers import fixed, float_text, ratio
 
 # The quantiles of a latency histogram.
 QUANTILES = (0.50, 0.75, 0.85, 0.90, 0.95, 0.99)
@@ -64,9 +64,7 @@ def latest_snapshot(
 
 
 def _bound(le: str) -> Column:
-    return F.when(F.col(le).isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(
-        F.col(le).try_cast("double")
-    )
+    return float_text(F.col(le))
 
 
 def ordered_buckets(df: DataFrame, keys: Sequence[str], le: str = "le") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import percent_of
+from tidemark.functions.numbers import float_text, int_text, percent_of
 from tidemark.session import broadcast_checked
 
 UNTYPED = "untyped"
@@ -59,15 +59,16 @@ def rename(df: DataFrame, rules: Sequence[Callable[[Column], Column]], col: str
 def typed_value(df: DataFrame, raw: str = "value_raw") -> DataFrame:
     """Add `value` and `value_kind`: integer text, else float text, else kept as text."""
     text = F.col(raw)
-    whole = text.try_cast("bigint")
-    number = text.try_cast("double")
+    df = df.withColumn("_int", int_text(text))
+    number = F.coalesce(F.col("_int").cast("double"), float_text(text))
+    df = df.withColumn("value", number)
     kind = (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(whole.isNotNull(), F.lit("int"))
-        .when(number.isNotNull(), F.lit("float"))
+        .when(F.col("_int").isNotNull(), F.lit("int"))
+        .when(F.col("value").isNotNull(), F.lit("float"))
         .otherwise(F.lit("str"))
     )
-    return df.withColumn("value", number).withColumn("value_kind", kind)
+    return df.withColumn("value_kind", kind).drop("_int")
 
 
 def default_missing(df: DataFrame, spec: dict[str, object]) -> DataFrame:

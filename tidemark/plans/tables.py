@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numbers import int_text
 from tidemark.session import configure
 
 
@@ -64,4 +65,4 @@ def event_counters(spark: SparkSession, sf_dir: str, tick_s: int = 1) -> DataFra
         ts.alias("ts_s"),
         F.col("event_id").alias("seq"),
         raw.alias("value_raw"),
-    ).withColumn("total", F.col("value_raw").try_cast("bigint"))
+    ).withColumn("total", int_text(F.col("value_raw")))

@@ -61,8 +61,7 @@ def replay_plan(
         stop = walked.groupBy(*keys).agg(F.min(F.when(failed, F.col("seq"))).alias("_stop"))
         walked = walked.join(stop, list(keys), "left")
     else:
-        # One row.
         stop = walked.agg(F.min(F.when(failed, F.col("seq"))).alias("_stop"))
-        walked = walked.join(F.broadcast(stop))
+        walked = walked.withColumn("_stop", stop.scalar())
     done = F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))
     return walked.withColumn("replayed", done).drop("_stop")

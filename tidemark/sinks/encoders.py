@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import int_text
+
 # The identity tags in line order, the metric types of exposition text.
 LINE_TAGS = ("host", "cluster", "group", "location", "type")
 PATH_TAGS = ("cluster", "group", "host", "location", "type")
@@ -18,7 +20,7 @@ HELP_TEXT = "Metrics provided by the fleet telemetry engine."
 
 def number_text(df: DataFrame) -> Column:
     """Value as text: integers without a fraction, unparsable text as it came."""
-    whole = F.col("value_raw").try_cast("bigint").cast("string")
+    whole = int_text(F.col("value_raw")).cast("string")
     number = F.col("value").cast("string")
     return (
         F.when(F.col("value_kind") == "int", F.coalesce(whole, number))
@@ -30,7 +32,7 @@ def number_text(df: DataFrame) -> Column:
 def _json_value() -> Column:
     """Value as JSON: integer, number or text."""
     return (
-        F.when(F.col("value_kind") == "int", F.col("value_raw").try_cast("bigint").cast("variant"))
+        F.when(F.col("value_kind") == "int", int_text(F.col("value_raw")).cast("variant"))
         .when(F.col("value").isNotNull(), F.col("value").cast("variant"))
         .otherwise(F.col("value_raw").cast("variant"))
     )

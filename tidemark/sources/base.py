@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import float_text
 from tidemark.operators.projections import typed_value
 
 PAYLOAD = "payload"
@@ -65,7 +66,7 @@ def finish_json(df: DataFrame, keep: Sequence[str], value: str = "_value") -> Da
         "name",
         tags.alias("tags"),
         raw.alias("value_raw"),
-        raw.try_cast("double").alias("value"),
+        float_text(raw).alias("value"),
         json_kind(F.col(value)).alias("value_kind"),
     )
 

@@ -5,40 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.base import finish, lines, scrape_columns
+from tidemark.sources.base import finish, lines, no_tags, scrape_columns
 
-# The line grammar of the format.
-LINE = (
-    r'^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)\s*'
-    r'(?:\{((?:[^"}]|"(?:[^"\\]|\\.)*")*)\})?\s*(\S+)'
-)
-LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+# The name and label grammar of the format.
+NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
+LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+PLAIN_LABELS = r'^(?:[a-zA-Z_][a-zA-Z0-9_]*="[^",\\]*"(?:,(?=[a-zA-Z_])|$))+$'
 
 
 def _unescape(v: Column) -> Column:
-    for old, new in (("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
-        v = F.replace(v, F.lit(old), F.lit(new))
-    return v
+    """Escaped line breaks, quotes and backslashes of the rare values that have any."""
+    plain = v
+    for old, new in (("\\\\", "\0"), ("\\n", "\n"), ('\\"', '"'), ("\0", "\\")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    return F.when(v.contains("\\"), plain).otherwise(v)
 
 
 def labels(text: Column) -> Column:
-    """Label pairs as a map; a repeated label keeps its last value."""
+    """Label pairs as a map; a repeated label keeps its last value.
+
+    Pairs without commas, quotes or escapes in their values are simply split.
+    """
+    split = F.str_to_map(F.replace(text, F.lit('"'), F.lit("")), F.lit(","), F.lit("="))
+    return F.when(text.rlike(PLAIN_LABELS), split).otherwise(_quoted_labels(text))
+
+
+def _quoted_labels(text: Column) -> Column:
     keys = F.regexp_extract_all(text, F.lit(LABEL), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(LABEL), F.lit(2))
     return F.map_from_arrays(keys, F.transform(values, _unescape))
 
 
 def extract_exposition(df: DataFrame) -> DataFrame:
-    """Labelled and bare metric lines; comments and malformed lines are left out."""
-    rows = lines(df).filter(~F.ltrim("line").startswith("#") & F.col("line").rlike(LINE))
+    """Labelled and bare metric lines; comments and malformed lines are left out.
+
+    A line is cut at its first `{` and last `}` with plain string functions;
+    patterns only read the label pairs.
+    """
+    keep = scrape_columns(df)
+    rows = lines(df).withColumn("line", F.trim("line")).filter(~F.col("line").startswith("#"))
+    line = F.col("line")
+    labelled = line.contains("{")
+    head = F.substring_index(line, "{", 1)
+    tail = F.substring_index(line, "}", -1)
+    spaced = F.replace(line, F.lit("\t"), F.lit(" "))
+    inner = F.substring(
+        line, F.length(head) + 2, F.length(line) - F.length(head) - F.length(tail) - 2
+    )
+    bare_name = F.substring_index(spaced, " ", 1)
+    rows = rows.filter(~labelled | line.contains("}")).select(
+        *keep,
+        "seq",
+        F.when(labelled, F.trim(head)).otherwise(bare_name).alias("name"),
+        F.when(labelled, inner).otherwise("").alias("_labels"),
+        F.when(labelled, F.trim(F.replace(tail, F.lit("\t"), F.lit(" "))))
+        .otherwise(F.trim(F.substring(spaced, F.length(bare_name) + 1, F.length(line))))
+        .alias("_rest"),
+    )
+    rows = rows.filter((F.col("_rest") != "") & F.col("name").rlike(NAME))
     rows = rows.select(
-        *scrape_columns(df),
+        *keep,
         "seq",
-        F.regexp_extract("line", LINE, 1).alias("name"),
-        labels(F.regexp_extract("line", LINE, 2)).alias("tags"),
-        F.regexp_extract("line", LINE, 3).alias("value_raw"),
+        "name",
+        F.when(F.col("_labels") == "", no_tags()).otherwise(labels(F.col("_labels"))).alias("tags"),
+        F.substring_index("_rest", " ", 1).alias("value_raw"),
     )
-    return finish(rows, scrape_columns(df))
+    return finish(rows, keep)
 
 
 def buckets(samples: DataFrame, suffix: str = "_bucket") -> DataFrame:
