@@ -73,6 +73,17 @@ def test_share_equals_loop(spark, split):
     assert found(out, "user_pct") == loops.shares(rows)
 
 
+@pytest.mark.parametrize("split", SPLITS)
+def test_mixed_styles_equal_loops(spark, split):
+    one, two = series_rows(7), series_rows(8)
+    df = frame(spark, one).withColumn("style", F.lit("rate")).withColumn("seq0", F.col("seq"))
+    other = frame(spark, two).withColumn("style", F.lit("delta")).withColumn("seq0", F.col("seq") + 100_000)
+    both = df.union(other).withColumn("x", F.col("v").cast("double"))
+    got = found(w.derive_styles(both, "v", "x", ("s",), **split).withColumn("seq", F.col("seq0")), "x")
+    want = {**loops.rates(one), **{k + 100_000: v for k, v in loops.deltas(two).items()}}
+    assert got == want
+
+
 CASES = {
     "first then growth": ([(0, 10), (20, 50)], [0.0, 2.0]),
     "counter reset": ([(0, 50), (20, 10)], [0.0, 1.0]),

@@ -91,20 +91,25 @@ def previous(
     accept: Column | None = None,
     ts: str = "ts_s",
     seq: str = "seq",
-    first_of_second: bool = False,
+    first_of_second: bool | Column = False,
     out: str = "prev",
     chunk_s: int = CHUNK_SECONDS,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Add `out`: ts and payload of the latest earlier accepted row, NULL if none.
 
-    With `first_of_second`, only the first accepted row of a second counts and
-    the later ones see it as their predecessor (its ts equals their own).
+    With `first_of_second` (which may vary by series), only the first accepted
+    row of a second counts and the later ones see it as their predecessor (its
+    ts equals their own). The input is read once for the rows and twice, narrowly,
+    for the chunk summaries: feed it from a stored table, not from raw payloads.
     A frame that already has the chunk columns is used as it is.
     """
     if not set(_KEYS) <= set(df.columns):
         df = with_chunks(df, series, ts, seq, chunk_s, split_rows)
-    rank = -F.col(seq) if first_of_second else F.col(seq)
+    if isinstance(first_of_second, Column):
+        rank = F.when(first_of_second, -F.col(seq)).otherwise(F.col(seq))
+    else:
+        rank = -F.col(seq) if first_of_second else F.col(seq)
     state = F.struct(
         F.col(ts).alias("ts"), rank.alias("rank"), *[c.alias(k) for k, c in payload.items()]
     )
@@ -219,6 +224,38 @@ def prev_value(
     return drop_chunks(prev.withColumn(out, last)).drop("_prev")
 
 
+def derive_styles(
+    df: DataFrame,
+    counter: str,
+    value: str,
+    series: Sequence[str] = SERIES,
+    style: str = "style",
+    ts: str = "ts_s",
+    seq: str = "seq",
+    reset_value: float = 1.0,
+    **split,
+) -> DataFrame:
+    """Rates and deltas of a mixed table in one pass; `value` becomes the derived value.
+
+    Rows of style `rate` are rated on `counter`, rows of style `delta` differenced
+    on `value`. The style is part of the series.
+    """
+    is_rate = F.col(style) == "rate"
+    c, v = F.col(counter), F.col(value).cast("double")
+    ok = F.col(ts).isNotNull() & F.when(is_rate, c.isNotNull()).otherwise(v.isNotNull())
+    prev = previous(
+        df, {"c": c, "v": v}, [*series, style], ok, ts, seq, first_of_second=is_rate, out="_prev", **split
+    )
+    dt = F.col(ts) - F.col("_prev.ts")
+    rate = F.when(dt > 0, _rate(F.try_subtract(c, F.col("_prev.c")), dt, reset_value))
+    change = fixed(v - F.col("_prev.v"))
+    derived = F.when(
+        ok,
+        F.when(F.col("_prev").isNull(), F.lit(0.0)).when(is_rate, rate).otherwise(change),
+    )
+    return drop_chunks(prev.withColumn(value, derived)).drop("_prev")
+
+
 def delta_ratio(
     df: DataFrame,
     num: str,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.plans import (
     aggregate_queries,
+    check_queries,
     fleet,
     output_queries,
     projection_queries,
@@ -11,7 +12,7 @@ from tidemark.plans import (
     window_queries,
 )
 
-_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries, output_queries)
+_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries, output_queries, check_queries)
 
 
 def queries() -> dict:

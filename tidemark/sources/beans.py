@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import gc_name
 from tidemark.operators.filters import allow
 from tidemark.sources.base import PAYLOAD, finish_json, json_kind, scrape_columns
 
 _MAP = "map<string,variant>"
 
+# The attributes of a collector bean, and what one that never ran reports.
+COLLECTOR_KEYS = ("CollectionCount", "CollectionTime", "LastGcInfo")
+NO_COLLECTION = '{"CollectionCount":0,"CollectionTime":0,"LastGcInfo":{"duration":0}}'
+
 
 def _flat(value: Column) -> Column:
     """A JSON object as its entries, anything else as one entry without a sub-key."""
@@ -22,19 +27,20 @@ def _flat(value: Column) -> Column:
 
 def _attributes(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Bean attributes, one level of nesting flattened: attr, sub, _value."""
+    keep = [*keep, "bean", "gctype", "seq"]
     return (
-        df.select(*keep, "bean", "seq", F.explode(F.col("attrs")).alias("attr", "_outer"))
-        .select(*keep, "bean", "seq", "attr", F.explode(_flat(F.col("_outer"))).alias("_e"))
-        .select(*keep, "bean", "seq", "attr", F.col("_e.key").alias("sub"), F.col("_e.value").alias("_value"))
+        df.select(*keep, F.explode(F.col("attrs")).alias("attr", "_outer"))
+        .select(*keep, "attr", F.explode(_flat(F.col("_outer"))).alias("_e"))
+        .select(*keep, "attr", F.col("_e.key").alias("sub"), F.col("_e.value").alias("_value"))
     )
 
 
 def _samples(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Attribute rows to samples: name `attr` or `attr.sub`, tag `bean`."""
+    """Attribute rows to samples: name `attr` or `attr.sub`, tags `bean` and `gctype`."""
     rows = rows.filter(json_kind(F.col("_value")).isNotNull())
     name = F.when(F.col("sub").isNull(), F.col("attr")).otherwise(F.concat_ws(".", "attr", "sub"))
-    bean = F.when(F.col("bean").isNotNull(), F.create_map(F.lit("bean"), F.col("bean")))
-    tags = F.coalesce(bean, F.create_map().cast("map<string,string>"))
+    known = F.create_map(F.lit("bean"), F.col("bean"), F.lit("gctype"), F.col("gctype"))
+    tags = F.map_filter(known, lambda _, v: v.isNotNull())
     return finish_json(rows.withColumn("name", name).withColumn("tags", tags), keep)
 
 
@@ -44,7 +50,7 @@ def extract_bean_array(
     """Wanted attributes wherever they occur in an array of beans.
 
     Nested memory and collector structs give `Attribute.field`; `keys` filters
-    on the attribute.
+    on the attribute. Beans of collectors that have run carry the tag `gctype`.
     """
     keep = scrape_columns(df)
     beans = F.try_variant_get(F.try_parse_json(PAYLOAD), "$.beans", "array<variant>")
@@ -52,6 +58,10 @@ def extract_bean_array(
         *keep,
         F.col("_pos").cast("bigint").alias("seq"),
         F.try_variant_get("_bean", f"$.{name_key}", "string").alias("bean"),
+        F.when(
+            F.try_variant_get("_bean", "$.LastGcInfo.duration", "bigint").isNotNull(),
+            gc_name(F.try_variant_get("_bean", "$.Name", "string")),
+        ).alias("gctype"),
         F.try_variant_get("_bean", "$", _MAP).alias("attrs"),
     )
     attrs = _attributes(rows, keep)
@@ -74,16 +84,25 @@ def extract_bean_map(
     """Attributes of a map of beans; listed key properties become tags.
 
     A `value` that is itself one bean (its entries are attributes) works too.
+    Collector beans carry the tag `gctype` and have 0 for what they lack.
     """
     keep = scrape_columns(df)
     whole = F.try_variant_get(F.try_parse_json(PAYLOAD), "$.value", _MAP)
     rows = df.select(*keep, F.posexplode(whole).alias("_pos", "bean", "_bean"))
     attrs = F.try_variant_get("_bean", "$", _MAP)
     is_bean = F.col("bean").contains(":") & attrs.isNotNull()
+    collector = F.when(
+        F.map_contains_key(attrs, "Name") & F.exists(F.map_keys(attrs), lambda k: k.isin(*COLLECTOR_KEYS)),
+        gc_name(F.try_variant_get("_bean", "$.Name", "string")),
+    )
+    none = F.try_variant_get(F.try_parse_json(F.lit(NO_COLLECTION)), "$", _MAP)
+    known = F.map_filter(attrs, lambda _, v: ~F.is_variant_null(v))
+    attrs = F.when(collector.isNotNull(), F.map_concat(none, known)).otherwise(attrs)
     rows = rows.select(
         *keep,
         F.col("_pos").cast("bigint").alias("seq"),
         F.when(is_bean, F.col("bean")).alias("bean"),
+        F.when(is_bean, collector).alias("gctype"),
         F.when(is_bean, attrs).otherwise(F.create_map("bean", "_bean")).alias("attrs"),
     )
     found = _attributes(rows, keep)

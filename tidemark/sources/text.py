@@ -13,26 +13,50 @@ from tidemark.sources.base import PAYLOAD, field, fields, finish, lines, scrape_
 _CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
 
+def _key_and_value(line: Column, sep: str, first_token: bool) -> tuple[Column, Column]:
+    parts = F.split(line, sep, 2)
+    value = F.trim(F.get(parts, F.lit(1)))
+    if first_token:
+        value = F.get(F.split(value, r"\s+"), F.lit(0))
+    return F.trim(F.get(parts, F.lit(0))), value
+
+
 def extract_kv_lines(
-    df: DataFrame, sep: str = ":", prefix: str = "", first_token: bool = False
+    df: DataFrame, sep: str = ":", prefix: str = "", first_token: bool = False, last_wins: bool = False
 ) -> DataFrame:
     """`key<sep>value` lines; `sep` is a pattern. Lines without it are left out.
 
     A leading `prefix` is dropped; `first_token` ignores a unit after the value.
+    `last_wins` keeps the last of a repeated key, inside the payload and so
+    without a shuffle.
     """
     keep = scrape_columns(df)
+
+    def bare(line: Column) -> Column:
+        return F.substring(line, len(prefix) + 1, 1 << 30) if prefix else line
+
+    if last_wins:
+        def entry(line: Column, i: Column) -> Column:
+            name, value = _key_and_value(bare(line), sep, first_token)
+            return F.struct(name.alias("key"), F.struct(i.alias("seq"), value.alias("raw")).alias("value"))
+
+        found = F.split(PAYLOAD, r"\r?\n")
+        if prefix:
+            found = F.filter(found, lambda line: line.startswith(prefix))
+        found = F.filter(
+            F.transform(found, entry), lambda e: e["value"]["raw"].isNotNull() & (e["key"] != "")
+        )
+        # Repeated keys: the session's map policy keeps the last.
+        rows = df.select(*keep, F.explode(F.map_from_entries(found)).alias("name", "_v")).select(
+            *keep, F.col("_v.seq").cast("bigint").alias("seq"), "name", F.col("_v.raw").alias("value_raw")
+        )
+        return finish(rows, keep)
+
     rows = lines(df)
     if prefix:
-        rows = rows.filter(F.col("line").startswith(prefix)).withColumn(
-            "line", F.expr(f"substring(line, {len(prefix) + 1})")
-        )
-    parts = F.split("line", sep, 2)
-    value = F.trim(F.get(parts, F.lit(1)))
-    if first_token:
-        value = F.get(F.split(value, r"\s+"), F.lit(0))
-    rows = rows.select(
-        *keep, "seq", F.trim(F.get(parts, F.lit(0))).alias("name"), value.alias("value_raw")
-    )
+        rows = rows.filter(F.col("line").startswith(prefix))
+    name, value = _key_and_value(bare(F.col("line")), sep, first_token)
+    rows = rows.select(*keep, "seq", name.alias("name"), value.alias("value_raw"))
     return finish(rows.filter(F.col("value_raw").isNotNull() & (F.col("name") != "")), keep)
 
 
@@ -84,12 +108,13 @@ def extract_columns(
 def _cells(line: Column) -> Column:
     """Comma-separated cells; quoted ones may hold commas and doubled quotes."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
-    return F.transform(
+    quoted = F.transform(
         raw,
         lambda c: F.when(
             c.startswith('"'), F.replace(F.regexp_extract(c, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
         ).otherwise(c),
     )
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def extract_csv(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
@@ -103,23 +128,24 @@ def extract_csv(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
     header = _cells(F.regexp_replace(F.get(split, F.lit(0)), r"^#\s*", ""))
     rows = df.select(*keep, header.alias("_header"), F.posexplode(split).alias("_row", "line"))
     rows = rows.filter((F.col("_row") > 0) & (F.trim("line") != ""))
-    # Short lines pair up with the leading names, extra cells have no name.
-    pairs = F.arrays_zip(F.col("_header").alias("name"), _cells(F.col("line")).alias("value"))
-    rows = rows.select(*keep, F.col("_row").cast("bigint").alias("row"), pairs.alias("_pairs"))
-    usable = F.filter(
-        "_pairs",
-        lambda p: p["name"].isNotNull() & (p["name"] != "") & p["value"].isNotNull() & (F.trim(p["value"]) != ""),
+    rows = rows.select(
+        *keep, F.col("_row").cast("bigint").alias("row"), "_header", _cells(F.col("line")).alias("_cells")
     )
-    rows = rows.withColumn("_pairs", usable)
-    by_name = F.map_from_entries("_pairs")
     rows = rows.select(
-        *keep, "row", *[F.try_element_at(by_name, F.lit(i)).alias(i) for i in ids],
-        F.posexplode("_pairs").alias("_pos", "_p"),
+        *keep,
+        "row",
+        *[F.get("_cells", F.array_position("_header", i).cast("int") - 1).alias(i) for i in ids],
+        # Short lines pair up with the leading names, extra cells have no name.
+        F.posexplode(F.arrays_zip(F.col("_header").alias("name"), F.col("_cells").alias("value"))).alias("_pos", "_p"),
     )
     rows = rows.select(
         *keep, "row", *ids, F.col("_pos").cast("bigint").alias("seq"),
         F.col("_p.name").alias("name"), F.col("_p.value").alias("value_raw"),
-    ).filter(~F.col("name").isin(*ids) if ids else F.lit(True))
+    )
+    # A missing or empty name, or a blank cell, is no sample.
+    rows = rows.filter((F.col("name") != "") & (F.trim("value_raw") != ""))
+    if ids:
+        rows = rows.filter(~F.col("name").isin(*ids))
     return finish(rows, [*keep, "row", *ids])
 
 
