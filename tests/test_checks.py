@@ -7,6 +7,50 @@ from tidemark import checks
 from tidemark.schema import RAW_SCRAPES
 
 PAYLOADS = {
+    "btrfs": ("[/dev/sda1].write_io_errs   3\n", {("btrfs_dev_sda1_write_io_errs", ()): 3.0}),
+    "mysql": ("Queries\t10\nOpen_files\t3\n", {("mysql_queries", ()): 0.0, ("mysql_open_files", ()): 3.0}),
+    "disk_io": (
+        "8 0 sda 1 2 3 4 5 6 7 8 9 100 11\n8 1 sda1 1 2 3 4 5 6 7 8 9 100 11\n7 0 loop0 1 2 3 4 5 6 7 8 9 100 11\n",
+        {("drive_io_percent_used", (("drive", "sda"),)): 0.0},
+    ),
+    "tomcat": (
+        "HeapMemoryUsage: javax.management(contents={committed=5, init=6})\nThreadCount: 9\n{duration=12, x=1}{duration=3.5}",
+        {("tomcat_heap_committed", ()): 5.0, ("tomcat_heap_init", ()): 6.0, ("tomcat_threadcount", ()): 9.0,
+         ("tomcat_lastgc_0", ()): 12.0, ("tomcat_lastgc_1", ()): 3.5},
+    ),
+    "hbase_thrift": (
+        '{"beans":[{"name":"Hadoop:service=HBase,name=Thrift,sub=ThriftOne","callQueueLen":4,"BatchGet_num_ops":7},'
+        '{"name":"Hadoop:service=HBase,name=Thrift,sub=ThriftTwo","callQueueLen":5},{"name":"x","callQueueLen":6}]}',
+        {("hthrift_callqueuelen", (("thrift_queue", "one"),)): 4.0, ("hthrift_callqueuelen", (("thrift_queue", "two"),)): 5.0,
+         ("hthrift_batchget", (("thrift_queue", "one"),)): 0.0},
+    ),
+    "hbase_regionserver": ('{"beans":[{"name":"a","regionCount":3,"hedgedReads":0,"totalRequestCount":5}]}',
+                           {("hregion_node_regioncount", ()): 3.0, ("hregion_node_totalrequestcount", ()): 0.0}),
+    "cassandra3": (
+        '{"value":{"org.apache.cassandra.metrics:name=RegularStatementsExecuted,type=CQL":{"Count":5},'
+        '"org.apache.cassandra.metrics:name=Latency,scope=Read,type=ClientRequest":{"Mean":1.5},'
+        '"org.apache.cassandra.metrics:name=Latency,scope=Write,type=ClientRequest":{"Mean":0},'
+        '"org.apache.cassandra.metrics:name=Hits,scope=KeyCache,type=Cache":{"OneMinuteRate":2.5}}}',
+        {("cassa_cql_regularstatementsexecuted", ()): 0.0, ("cassa_latency_read", ()): 1.5, ("cassa_hits_keycache", ()): 2.5},
+    ),
+    "foundationdb": (
+        '{"cluster":{"workload":{"bytes":{"read":{"counter":5}}},"machines":{"m1":{"address":"10.0.0.1","memory":{"free_bytes":3}}},'
+        '"data":{"moving_data":{"in_flight_bytes":2},"partitions_count":4}}}',
+        {("fdb_bytes_read", ()): 0.0, ("fdb_memory_free_bytes", (("node", "10.0.0.1"),)): 3.0,
+         ("fdb_moving_data", (("fdb_move_type", "in_flight_bytes"),)): 2.0, ("fdb_partitions_count", ()): 4.0},
+    ),
+    "mesos_marathon": (
+        '{"gauges":{"marathon.jvm.memory.non-heap.used.gauge.bytes":{"value":7},"marathon.jvm.gc.g1.collections.gauge":{"value":2}}}',
+        {("mesos_marathon_nonheap_used", ()): 7.0, ("mesos_marathon_gc_collections", (("gctype", "g1"),)): 2.0},
+    ),
+    "mesos_chronos": (
+        '{"gauges":{"jvm.memory.heap.used":{"value":7},"jvm.gc.PS Scavenge.count":{"value":2}},"counters":{"jobs.run.success.my job":{"count":3}}}',
+        {("mesos_chronos_heap_used", ()): 7.0, ("mesos_chronos_gc_collections", (("gctype", "ps_scavenge"),)): 2.0,
+         ("mesos_chronos_jobs_success", (("chronos_jobname", "my_job"),)): 3.0},
+    ),
+    "rabbitmq_queues": ('[{"name":"a.b","messages":4}]', {("rabbitmq_messages", (("queue", "a_b"),)): 4.0}),
+    "couchdb_2x": ('{"couchdb":{"database_reads":{"value":4},"httpd":{"requests":{"value":9}}}}',
+                   {("couchdb_database_reads", ()): 0.0, ("couchdb_requests", ()): 0.0}),
     "redis": (
         "# Server\r\nused_memory:100\r\nkeyspace_hits:9\r\nused_memory:200\r\nother:1\r\nmem_fragmentation_ratio:1.5",
         {("redis_used_memory", ()): 200.0, ("redis_mem_fragmentation_ratio", ()): 1.5, ("redis_keyspace_hits", ()): 0.0},
@@ -157,3 +201,28 @@ def test_user_check(spark):
     )
     got = {r["ts_s"]: (r["name"], r["value"], r["check_type"]) for r in checks.run_checks(raw, [mine]).collect()}
     assert got == {0: ("my_a", 0.0, "custom"), 20: ("my_a", 2.0, "custom")}
+
+
+def test_rate_forms(spark):
+    from tidemark.checks.registry import derive
+
+    rows = [("h", "s", "a", style, ts, ts, v) for style in ("rate", "rate_int", "rate_tenth", "delta") for ts, v in ((0, 10), (8, 95))]
+    df = spark.createDataFrame(rows, "host STRING, source STRING, name STRING, style STRING, ts_s BIGINT, seq BIGINT, v BIGINT")
+    df = df.withColumn("tags", F.create_map().cast("map<string,string>")).withColumn("value_raw", F.col("v").cast("string"))
+    df = df.withColumn("value_kind", F.lit("int")).withColumn("value", F.col("v").cast("double")).drop("v")
+    got = {r["style"]: r["value"] for r in derive(df).filter("ts_s = 8").collect()}
+    assert got == {"rate": 10.62, "rate_int": 10.0, "rate_tenth": 1.06, "delta": 85.0}
+
+
+def test_cpu_shares_and_sockets(spark):
+    from tidemark.checks.text_services import cpu_shares, sockets
+
+    pages = [("h", "c1", 0, "cpu 10 0 5 85 0 0 0\ncpu0 10 0 5 85 0 0 0\nintr 1"), ("h", "c2", 20, "cpu 20 0 10 170 0 0 0\ncpu0 10 0 5 85 0 0 0"),
+             ("h", "c3", 40, "cpu 40 0 10 250 0 0 0\ncpu0 20 0 10 170 0 0 0")]
+    raw = spark.createDataFrame(pages, "host STRING, scrape_id STRING, ts_s BIGINT, payload STRING")
+    got = {(r["scrape_id"], r["tags"]["core"], r["name"]): r["value"] for r in cpu_shares(raw).collect()}
+    assert got["c2", "all", "cpu_load"] == 0.0 and got["c3", "all", "cpu_load"] == 20.0 and got["c3", "all", "cpu_idle"] == 80.0
+    assert ("c2", "core0", "cpu_load") not in got and got["c3", "core0", "cpu_user"] == 0.0
+    table = spark.createDataFrame([("h", "sl local rem st\n0: a b 0A x\n1: a b 03 x\n2: a b 04 x")], "host STRING, payload STRING")
+    flags = {r["tags"]["flag"]: r["value"] for r in sockets(table).collect()}
+    assert flags["last_ack"] == 1.0 and flags["syn_recv"] == 2.0 and flags["closing"] == 0.0 and len(flags) == 13

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.registry import Check, Recipe, gauges, rates, register
@@ -48,6 +48,25 @@ HREST_RATES = (
     "requests", "successfulDelete", "successfulGet", "successfulPut", "successfulScanCount",
     "failedDelete", "failedGet", "failedPut", "failedScanCount",
 )
+HREGION_RATES = (
+    "totalRequestCount", "readRequestCount", "writeRequestCount", "Delete_num_ops", "Mutate_num_ops",
+    "FlushTime_num_ops", "GcTimeMillis", "compactedCellsCount", "majorCompactedCellsCount",
+    "compactedCellsSize", "majorCompactedCellsSize",
+)
+HREGION_GAUGES = (
+    "GcCount", "OpenFileDescriptorCount", "blockCacheSize", "blockCacheExpressHitPercent",
+    "blockCountHitPercent", "slowAppendCount", "slowGetCount", "slowPutCount", "slowIncrementCount",
+    "slowDeleteCount", "memStoreSize", "regionCount", "storeFileSize", "storeFileCount", "hlogFileCount",
+    "hlogFileSize", "percentFilesLocal", "authenticationFallbacks", "authorizationSuccesses",
+    "authenticationFailures",
+)
+HREGION_CACHE = ("blockCacheFreeSize", "blockCacheCount")
+HREGION_CACHE_RATES = ("blockCacheHitCount", "blockCacheMissCount", "blockCacheEvictionCount")
+HREGION_HEDGED = ("hedgedReads", "hedgedReadWins")
+HTHRIFT_GAUGES = (*HREST_GAUGES, "callQueueLen", "TimeInQueue_num_ops")
+HTHRIFT_RATES = ("BatchMutate_num_ops", "ThriftCall_num_ops", "SlowThriftCall_num_ops", "BatchGet_num_ops")
+CASSANDRA_CQL = ("PreparedStatementsExecuted", "RegularStatementsExecuted")
+CASSANDRA_LATENCY = ("Read", "ViewWrite", "RangeSlice", "CASRead", "CASWrite", "Write")
 
 
 def collector_recipes(prefix: str) -> list[Recipe]:
@@ -113,11 +132,87 @@ HBASE_REST = [
     *rates("hrest_", HREST_RATES),
 ]
 
+HBASE_REGION = [
+    *heap_recipes("hregion_node_"),
+    *collector_recipes("hregion_"),
+    *gauges("hregion_node_", (*HREGION_GAUGES, *HREGION_HEDGED)),
+    *gauges("hregion_node_", HREGION_CACHE, reaction=-3),
+    *rates("hregion_node_", HREGION_RATES),
+    *rates("hregion_node_", HREGION_CACHE_RATES, reaction=-3),
+]
+
+
+def region_rows(df: DataFrame) -> DataFrame:
+    """Hedged reads only once there are any."""
+    return bean_rows(df).filter(~F.col("name").isin(*HREGION_HEDGED) | (F.col("value") > 0))
+
+
+def thrift_rows(df: DataFrame) -> DataFrame:
+    """Thread, memory and per-queue values; the queue is the tag `thrift_queue`."""
+    rows = extract_bean_array(df)
+    bean = F.try_element_at("tags", F.lit("bean"))
+    queue = F.when(bean.endswith("sub=ThriftOne"), "one").when(bean.endswith("sub=ThriftTwo"), "two")
+    per_queue = F.col("name").isin(*HTHRIFT_GAUGES, *HTHRIFT_RATES)
+    pairs = F.create_map(
+        F.lit("thrift_queue"), F.when(per_queue, queue),
+        F.lit("gctype"), F.try_element_at("tags", F.lit("gctype")),
+    )
+    collector = F.col("name").isin("LastGcInfo.duration", "CollectionCount", "CollectionTime")
+    rows = rows.withColumn("_tags", F.map_filter(pairs, lambda _, v: v.isNotNull())).filter(
+        (~per_queue | queue.isNotNull()) & (~collector | F.map_contains_key("_tags", "gctype"))
+    )
+    return rows.drop("tags").withColumnRenamed("_tags", "tags")
+
+
+HBASE_THRIFT = [
+    *heap_recipes("hthrift_"),
+    *collector_recipes("hthrift_"),
+    *gauges("hthrift_", (*HREST_THREADS, *HTHRIFT_GAUGES)),
+    *[Recipe(r, "hthrift_" + r.replace("_num_ops", "").lower(), "rate", "Rate") for r in HTHRIFT_RATES],
+]
+
+
+def cassandra3(df: DataFrame) -> DataFrame:
+    """Statement counters, latencies, cache rates, pending compactions and memory."""
+    rows = extract_bean_map(df, properties=("type", "scope", "name"))
+
+    def prop(key: str) -> Column:
+        return F.try_element_at("tags", F.lit(key))
+
+    kind, scope, name, attr = prop("type"), prop("scope"), prop("name"), F.col("name")
+    cql = (kind == "CQL") & name.isin(*CASSANDRA_CQL) & (attr == "Count")
+    latency = (kind == "ClientRequest") & (name == "Latency") & scope.isin(*CASSANDRA_LATENCY) & (attr == "Mean")
+    cache = (kind == "Cache") & name.isin("Hits", "Requests") & scope.isin("KeyCache", "RowCache") & (attr == "OneMinuteRate")
+    pending = (kind == "Compaction") & (name == "PendingTasks") & (attr == "Value")
+    pool = F.regexp_extract(attr, r"^(Heap|NonHeap)MemoryUsage\.(used|committed|max)$", 1)
+    pool_field = F.regexp_extract(attr, r"^(Heap|NonHeap)MemoryUsage\.(used|committed|max)$", 2)
+    metric = (
+        F.when(cql, F.concat(F.lit("cassa_cql_"), name))
+        .when(latency & (F.col("value") != 0), F.concat(F.lit("cassa_latency_"), scope))
+        .when(cache, F.concat(F.lit("cassa_"), name, F.lit("_"), scope))
+        .when(pending, F.lit("cassa_compaction_pending"))
+        .when(pool != "", F.concat(F.lit("cassa_"), pool, F.lit("_"), pool_field))
+    )
+    rows = rows.withColumn("_metric", F.lower(metric)).withColumn("style", F.when(cql, "rate").otherwise("gauge"))
+    return (
+        rows.filter(F.col("_metric").isNotNull())
+        .withColumn("name", F.col("_metric"))
+        .withColumn("tags", F.create_map().cast("map<string,string>"))
+        .drop("_metric")
+    )
+
+
+register("cassandra3", Check("cassandra3", cassandra3, (), "cassandra"))
+
 for _name, _fn, _recipes, _type in (
     ("hadoop_datanode", bean_rows, HDFS_DATANODE, "hdfs"),
     ("hadoop_namenode", bean_rows, HDFS_NAMENODE, "hdfs"),
     ("hbase_master", bean_rows, HBASE_MASTER, "hbase"),
     ("hbase_rest", bean_rows, HBASE_REST, "hbase"),
+    ("hbase_regionserver", region_rows, HBASE_REGION, "hbase"),
+    ("hbase_thrift", thrift_rows, HBASE_THRIFT, "hbase"),
+    ("spark_master", bean_map_rows, jvm("spark_master_"), "spark"),
+    ("spark_worker", bean_map_rows, jvm("spark_worker_"), "spark"),
     ("jetty", bean_map_rows, jvm("jetty_"), "jetty"),
     ("jolokia", bean_map_rows, jvm("jolokia_"), "jolokia"),
     ("jmx", bean_map_rows, jvm("jmx_"), "jmx"),

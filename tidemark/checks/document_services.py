@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.registry import Check, register
 from tidemark.functions.text import replace_chain
+from tidemark.operators.filters import allow_or_all
 from tidemark.operators.sets import union_sources
+from tidemark.sources.base import finish, scrape_columns
 from tidemark.sources.documents import Path, extract_named_arrays, extract_paths, plain_stat_name
 
 # Names read from each service.
@@ -85,6 +87,46 @@ MONGO_SECTIONS = (
     ("$.metrics.document", "mongo_document_", "rate"), ("$.metrics.operation", "mongo_operation_", "rate"),
     ("$.opcounters", "mongo_opcounters_", "rate"), ("$.connections", "mongo_connections_", "gauge"),
 )
+COUCHDB2_OPS = ("database_writes", "database_reads", "document_inserts", "document_writes")
+COUCHDB2_HTTPD = ("bulk_requests", "requests", "temporary_view_reads", "view_reads")
+FDB_WORKLOADS = ("bytes", "keys", "operations", "transactions")
+FDB_OPERATIONS = ("read", "written", "read_requests", "reads", "writes", "committed", "conflicted", "started")
+FDB_MEMORY = ("committed_bytes", "free_bytes", "total_bytes")
+FDB_GAUGES = (
+    ("data.partitions_count", "partitions_count"),
+    ("data.average_partition_size_bytes", "partitions_size_avg"),
+    ("data.least_operating_space_bytes_log_server", "least_operating_space_bytes_log_server"),
+    ("data.least_operating_space_bytes_storage_server", "least_operating_space_bytes_storage_server"),
+    ("latency_probe.commit_seconds", "latency_commit_seconds"),
+    ("latency_probe.read_seconds", "latency_read_seconds"),
+    ("clients.count", "connected_clients"),
+    ("data.total_disk_used_bytes", "total_disk_used_bytes"),
+    ("data.total_kv_size_bytes", "total_kv_size_bytes"),
+    ("qos.worst_queue_bytes_log_server", "worst_queue_bytes_log_server"),
+    ("qos.worst_queue_bytes_storage_server", "worst_queue_bytes_storage_server"),
+)
+MARATHON_GAUGES = (
+    "marathon.apps.active.gauge", "marathon.deployments.active.gauge", "marathon.instances.running.gauge",
+    "marathon.instances.launch-overdue.gauge", "marathon.pods.active.gauge",
+    "marathon.http.requests.active.gauge", "marathon.groups.active.gauge",
+    "marathon.http.event-streams.active.gauge", "marathon.instances.staged.gauge",
+    "marathon.jvm.memory.heap.committed.gauge.bytes", "marathon.jvm.memory.heap.used.gauge.bytes",
+    "marathon.jvm.memory.non-heap.committed.gauge.bytes", "marathon.jvm.memory.non-heap.used.gauge.bytes",
+)
+CHRONOS_GAUGES = (
+    "jvm.memory.heap.committed", "jvm.memory.heap.used", "jvm.memory.non-heap.committed",
+    "jvm.memory.non-heap.used", "jvm.threads.count", "jvm.threads.daemon.count", "jvm.threads.new.count",
+    "jvm.threads.runnable.count",
+)
+COUCHBASE_NODE = (
+    "cmd_get", "couch_docs_data_size", "curr_items", "curr_items_tot", "ep_bg_fetched", "get_hits",
+    "mem_used", "ops", "vb_replica_curr_items",
+)
+COUCHBASE_BASIC = ("quotaPercentUsed", "opsPerSec", "itemCount", "memUsed")
+RABBIT_QUEUE = (
+    "messages", "messages_unacknowledged", "messages_ready", "message_bytes_persistent",
+    "message_bytes_ram", "messages_persistent", "messages_ram",
+)
 
 
 def _at(*keys: str) -> str:
@@ -215,6 +257,130 @@ def nomad(df: DataFrame) -> DataFrame:
     return rows.withColumn("name", replace_chain(F.col("name"), [("nomad.nomad", "nomad"), (".", "_")]))
 
 
+COUCHDB2 = [
+    *[Path(_at("couchdb", op, "value"), f"couchdb_{op}", "rate_int") for op in COUCHDB2_OPS],
+    *[Path(_at("couchdb", "httpd", h, "value"), f"couchdb_{h}", "rate_int") for h in COUCHDB2_HTTPD],
+]
+FDB = [
+    *[
+        Path(_at("cluster", "workload", l, o, "counter"), f"fdb_{l}_{o}", "rate")
+        for l in FDB_WORKLOADS
+        for o in FDB_OPERATIONS
+    ],
+    *[Path("$.cluster." + path, f"fdb_{name}") for path, name in FDB_GAUGES],
+]
+
+
+def foundationdb(df: DataFrame) -> DataFrame:
+    """Workload rates, cluster gauges, memory per machine and moving data by kind."""
+    memory = [Path(f"$.memory.{m}", f"fdb_memory_{m}") for m in FDB_MEMORY]
+    return union_sources(
+        extract_paths(df, FDB),
+        extract_paths(df, memory, each="$.cluster.machines", tag="node", tag_path="$.address"),
+        extract_paths(df, [Path("$", "fdb_moving_data")], each="$.cluster.data.moving_data", tag="fdb_move_type"),
+    )
+
+
+def _gauge_paths(names: Sequence[str], prefix: str, drop: Sequence[tuple[str, str]]) -> list[Path]:
+    out = []
+    for key in names:
+        short = key
+        for old, new in (*drop, (".", "_"), ("-", "_")):
+            short = short.replace(old, new)
+        out.append(Path(_at("gauges", key, "value"), prefix + short))
+    return out
+
+
+MARATHON = _gauge_paths(
+    MARATHON_GAUGES, "mesos_marathon_",
+    [("marathon.", ""), (".gauge", ""), ("jvm.memory.heap", "heap"), ("jvm.memory.non-heap", "nonheap"), (".bytes", "")],
+)
+CHRONOS = _gauge_paths(
+    CHRONOS_GAUGES, "mesos_chronos_",
+    [("jvm.memory.heap", "heap"), ("jvm.memory.non-heap", "nonheap"), (".count", "")],
+)
+
+
+def _keyed(df: DataFrame, each: str, path: str) -> DataFrame:
+    """Every child of a section with its key in the column `key`."""
+    rows = extract_paths(df, [Path(path, "_")], each=each, tag="key")
+    return rows.withColumn("key", F.col("tags")["key"])
+
+
+def _tagged(rows: DataFrame, tag: str, value: Column, name: Column) -> DataFrame:
+    rows = rows.withColumn("name", name).withColumn("tags", F.create_map(F.lit(tag), value))
+    return rows.filter(F.col("name").isNotNull()).drop("key")
+
+
+def mesos_marathon(df: DataFrame) -> DataFrame:
+    """Listed gauges, and collector gauges told apart by the length of their key."""
+    gc = _keyed(df, "$.gauges", "$.value").filter(F.col("key").contains("marathon.jvm.gc"))
+    parts = F.split("key", r"\.")
+    name = F.when(F.size(parts) == 6, "mesos_marathon_gc_collections").when(F.size(parts) == 8, "mesos_marathon_gc_duration")
+    return union_sources(extract_paths(df, MARATHON), _tagged(gc, "gctype", F.get(parts, F.lit(3)), name))
+
+
+def mesos_chronos(df: DataFrame) -> DataFrame:
+    """Listed gauges, collector gauges and job counters."""
+    key = F.col("key")
+    gc = _keyed(df, "$.gauges", "$.value").filter(key.contains("jvm.gc"))
+    kind = F.lower(F.get(F.split("key", r"\."), F.lit(2)))
+    count = key.contains("count")
+    gc = _tagged(
+        gc, "gctype", F.when(count, F.replace(kind, F.lit(" "), F.lit("_"))).otherwise(F.replace(kind, F.lit(" "), F.lit("-"))),
+        F.when(count, "mesos_chronos_gc_collections").when(key.contains("time"), "mesos_chronos_gc_duration"),
+    )
+    jobs = _keyed(df, "$.counters", "$.count")
+    job = F.replace(F.get(F.split("key", r"\."), F.lit(3)), F.lit(" "), F.lit("_"))
+    outcome = F.when(key.contains("jobs.run.success"), "mesos_chronos_jobs_success").when(
+        key.contains("jobs.run.failure"), "mesos_chronos_jobs_failure"
+    )
+    return union_sources(extract_paths(df, CHRONOS), gc, _tagged(jobs, "chronos_jobname", job, outcome))
+
+
+def couchbase(df: DataFrame) -> DataFrame:
+    """Node values under the node's host, cluster values under the scraping host."""
+    nodes = extract_paths(
+        df, [Path(f"$.interestingStats.{s}", f"couchbase_{s}") for s in COUCHBASE_NODE],
+        each="$.nodes", tag="node", tag_path="$.hostname",
+    )
+    nodes = nodes.withColumn("host", F.substring_index(F.col("tags")["node"], ":", 1))
+    nodes = nodes.withColumn("tags", F.create_map().cast("map<string,string>"))
+    wide = extract_paths(
+        df, [Path(f"$.basicStats.{s}", f"couchbase_clusterwide_{s.lower()}") for s in COUCHBASE_BASIC]
+    )
+    return union_sources(nodes, wide)
+
+
+def rabbitmq_queues(df: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
+    """Per-queue values of a list of queues; all of them when none are asked for."""
+    rows = extract_paths(
+        df.withColumn("payload", F.concat(F.lit('{"queues":'), F.col("payload"), F.lit("}"))),
+        [Path(f"$.{s}", f"rabbitmq_{s}") for s in RABBIT_QUEUE], each="$.queues", tag="queue", tag_path="$.name",
+    )
+    rows = allow_or_all(rows.withColumn("_queue", F.col("tags")["queue"]), list(wanted), "_queue")
+    clean = F.regexp_replace("_queue", "[^a-zA-Z0-9]", "_")
+    return rows.withColumn("tags", F.create_map(F.lit("queue"), clean)).drop("_queue")
+
+
+def janus(df: DataFrame) -> DataFrame:
+    """Number of sessions, and of handles per session."""
+    keep = scrape_columns(df)
+    doc = F.try_parse_json("payload")
+    sizes = F.create_map(
+        F.lit("janus_sessions"), F.size(F.try_variant_get(doc, "$.sessions", "array<variant>")),
+        F.lit("janus_handlers"), F.size(F.try_variant_get(doc, "$.handles", "array<variant>")),
+    )
+    session = F.try_variant_get(doc, "$.session_id", "string")
+    rows = df.select(*keep, session.alias("_s"), F.explode(sizes).alias("name", "n")).filter(F.col("n") >= 0)
+    tags = F.when(F.col("_s").isNotNull(), F.create_map(F.lit("session"), F.col("_s")))
+    rows = rows.select(
+        *keep, F.lit(0).cast("bigint").alias("seq"), "name",
+        F.coalesce(tags, F.create_map().cast("map<string,string>")).alias("tags"), F.col("n").cast("string").alias("value_raw"),
+    )
+    return finish(rows, keep)
+
+
 for _name, _fn, _type in (
     ("varnish", partial(extract_paths, spec=VARNISH), "varnish"),
     ("riak", riak, "riak"),
@@ -226,6 +392,13 @@ for _name, _fn, _type in (
     ("twemproxy", twemproxy, "twemproxy"),
     ("elasticsearch", elasticsearch, "elasticsearch"),
     ("mongodb", mongodb, "mongo"),
+    ("couchdb_2x", partial(extract_paths, spec=COUCHDB2), "couchdb"),
+    ("foundationdb", foundationdb, "foundationdb"),
+    ("mesos_marathon", mesos_marathon, "marathon"),
+    ("mesos_chronos", mesos_chronos, "chronos"),
+    ("couchbase_5x", couchbase, "couchbase"),
+    ("rabbitmq_queues", rabbitmq_queues, "rabbitmq"),
+    ("janus", janus, "janus"),
     ("hashicorp_consul", consul, "consul"),
     ("hashicorp_vault", vault, "vault"),
     ("hashicorp_nomad", nomad, "nomad"),

@@ -170,14 +170,14 @@ def _summed(df: DataFrame, names: tuple[str, ...], style: str, keep_label: str |
     if keep_label:
         tags = F.when(F.col(keep_label).isNotNull(), F.create_map(F.lit(out_label), F.col(keep_label)))
     total = total.withColumn("tags", tags)
-    if style == "rate":
+    if style.startswith("rate"):
         total = total.withColumn("total", F.col("total").cast("bigint"))
     return _as_samples(total, keep, "total", style)
 
 
 def scylla_commands(df: DataFrame) -> DataFrame:
     """Command counters summed over shards, then rated."""
-    return _summed(df, SCYLLA_SUMMED, "rate")
+    return _summed(df, SCYLLA_SUMMED, "rate_int")
 
 
 def scylla_gauges(df: DataFrame) -> DataFrame:

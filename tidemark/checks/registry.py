@@ -15,12 +15,14 @@ from tidemark.operators.windows import derive_styles
 from tidemark.schema import METRIC_RECIPES
 from tidemark.session import broadcast_checked
 
+STATEFUL_STYLES = ("rate", "rate_int", "rate_tenth", "delta")
+
 Extract = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """What becomes of one extracted name: metric, style (gauge, rate, delta) and annotations."""
+    """What becomes of one extracted name: metric, style (gauge or one of the stateful styles) and annotations."""
 
     match: str
     metric: str
@@ -124,7 +126,7 @@ def derive(samples: DataFrame, **split) -> DataFrame:
 
     The result keeps one row per sample: `value` is the derived value.
     """
-    stateful = F.col("style").isin("rate", "delta")
+    stateful = F.col("style").isin(*STATEFUL_STYLES)
     passed = samples.filter(~F.coalesce(stateful, F.lit(False)))
     counter = as_int(F.col("value_raw"), F.col("value_kind"), F.col("value"))
     moving = samples.filter(stateful).withColumn("_counter", counter)

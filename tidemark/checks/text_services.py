@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.checks.registry import Check, Recipe, gauges, rates, register
 from tidemark.functions.text import path_tag
 from tidemark.operators.filters import digits_only, not_loopback, whole_disk
-from tidemark.sources.base import finish, scrape_columns
+from tidemark.operators.projections import extract_all_indexed
+from tidemark.operators.sets import union_sources
+from tidemark.operators.windows import delta_share
+from tidemark.sources.base import finish, lines, scrape_columns
+from tidemark.sources.status import STATUS_GAUGES
 from tidemark.sources.text import Cell, extract_columns, extract_csv, extract_kv_lines, extract_positional, extract_script_lines
 
 # Names read from each service and the metrics they become.
@@ -70,6 +74,14 @@ CONNTRACK = [Cell("conntrack_cur", 0, 0), Cell("conntrack_max", 1, 0)]
 CPU_PARTS = ("cpu_user", "cpu_nice", "cpu_system", "cpu_idle", "cpu_iowait", "cpu_irq", "cpu_softirq")
 
 
+TCP_STATES = (
+    ("01", "established"), ("02", "syn_sent"), ("03", "syn_recv"), ("04", "syn_recv"), ("05", "fin_wait1"),
+    ("06", "fin_wait2"), ("07", "time_wait"), ("08", "close"), ("09", "close_wait"), ("0A", "last_ack"),
+    ("0B", "listen"), ("0C", "closing"), ("0D", "new_syn_recv"), ("0E", "max_states"),
+)
+TOMCAT_THREADS = ("PeakThreadCount", "DaemonThreadCount", "ThreadCount", "TotalStartedThreadCount")
+
+
 def _short_kv(df: DataFrame) -> DataFrame:
     """Keys squeezed: blanks and `Total` dropped, lower case."""
     rows = extract_kv_lines(df, ":")
@@ -108,10 +120,10 @@ def script(df: DataFrame) -> DataFrame:
 
 
 def disk_io(df: DataFrame) -> DataFrame:
-    """Time spent on I/O per whole disk, a counter of milliseconds."""
+    """Milliseconds spent on I/O per whole disk; their rate over ten is the busy percentage."""
     rows = extract_columns(df, {"drive": 2, "value_raw": 12}).filter(whole_disk(F.col("drive")))
-    rows = rows.withColumn("name", F.lit("drive_io_ms")).withColumn("tags", F.create_map(F.lit("drive"), F.col("drive")))
-    return finish(rows.filter(F.col("value_raw").isNotNull()), scrape_columns(df)).withColumn("style", F.lit("rate"))
+    rows = rows.withColumn("name", F.lit("drive_io_percent_used")).withColumn("tags", F.create_map(F.lit("drive"), F.col("drive")))
+    return finish(rows.filter(F.col("value_raw").isNotNull()), scrape_columns(df)).withColumn("style", F.lit("rate_tenth"))
 
 
 def mounts(df: DataFrame) -> DataFrame:
@@ -141,6 +153,76 @@ def cpu_times(df: DataFrame) -> DataFrame:
     return rows.withColumn("core", core).withColumns({p: F.col(p).try_cast("double") for p in CPU_PARTS})
 
 
+def cpu_shares(raw: DataFrame, **split) -> DataFrame:
+    """Processor times to percent samples, tag `core`."""
+    wide = cpu_times(raw)
+    total, load = CPU_PARTS[:4], CPU_PARTS[:3]
+    out = delta_share(wide, CPU_PARTS, total, load, ("host", "core"), **split)
+    names = {"load_pct": "cpu_load", **{f"{p}_pct": p for p in CPU_PARTS}}
+    keep = [c for c in scrape_columns(raw) if c in out.columns]
+    return (
+        out.drop(*CPU_PARTS)
+        .withColumnsRenamed(names)
+        .unpivot([*keep, "seq", "core"], list(names.values()), "name", "value")
+        .withColumn("tags", F.create_map(F.lit("core"), F.col("core")))
+        .withColumn("chart_type", F.lit("Percent"))
+        .drop("core")
+    )
+
+
+def btrfs(df: DataFrame) -> DataFrame:
+    """Error counters per device, names cleaned of brackets, dots and slashes."""
+    rows = extract_kv_lines(df, r"\s+")
+    return rows.withColumn("name", F.concat(F.lit("btrfs"), F.translate("name", "./[]", "__")))
+
+
+def sockets(df: DataFrame) -> DataFrame:
+    """TCP sockets by state; every state is present."""
+    keep = scrape_columns(df)
+    rows = extract_columns(df, {"code": 3}, skip=1).filter(F.col("code").isNotNull())
+    label = F.create_map(*[F.lit(x) for pair in TCP_STATES for x in pair])[F.col("code")]
+    labels = list(dict.fromkeys(name for _, name in TCP_STATES))
+    counts = rows.groupBy(*keep).pivot(label.alias("flag"), labels).agg(F.count(F.lit(1)))
+    wide = counts.fillna(0, subset=labels)
+    long = wide.unpivot(keep, labels, "flag", "n").select(
+        *keep, F.lit(0).cast("bigint").alias("seq"), F.lit("tcp_connections").alias("name"),
+        F.create_map(F.lit("flag"), F.col("flag")).alias("tags"), F.col("n").cast("string").alias("value_raw"),
+    )
+    return finish(long, keep)
+
+
+def mysql(df: DataFrame) -> DataFrame:
+    """Tab-separated status rows."""
+    rows = extract_kv_lines(df, "\t")
+    gauge = F.col("name").isin(*STATUS_GAUGES)
+    return rows.withColumn("style", F.when(gauge, "gauge").otherwise("rate")).withColumn(
+        "name", F.concat(F.lit("mysql_"), F.lower("name"))
+    )
+
+
+def tomcat(df: DataFrame) -> DataFrame:
+    """Memory pools, thread counts and the numbered durations of the last collections."""
+    keep = scrape_columns(df)
+    rows = lines(df)
+    heap = F.regexp_extract("line", r"^(NonHeap|Heap)MemoryUsage", 1)
+    fields_ = F.arrays_zip(
+        F.regexp_extract_all("line", F.lit(r"(\w+)=(\d+)"), F.lit(1)).alias("key"),
+        F.regexp_extract_all("line", F.lit(r"(\w+)=(\d+)"), F.lit(2)).alias("value"),
+    )
+    memory_ = rows.filter(heap != "").select(
+        *keep, "seq", F.lower(heap).alias("_heap"), F.explode(fields_).alias("_f")
+    ).select(*keep, "seq", F.concat(F.lit("tomcat_"), "_heap", F.lit("_"), "_f.key").alias("name"), F.col("_f.value").alias("value_raw"))
+    threads = rows.withColumn("_key", F.regexp_extract("line", r"^(\w+):?\s+(\d+)$", 1)).filter(
+        F.col("_key").isin(*TOMCAT_THREADS)
+    ).select(*keep, "seq", F.concat(F.lit("tomcat_"), F.lower("_key")).alias("name"),
+             F.regexp_extract("line", r"^(\w+):?\s+(\d+)$", 2).alias("value_raw"))
+    gc = extract_all_indexed(df, r"duration=([+-]?\d+(?:\.\d+)?)").select(
+        *keep, F.col("idx").cast("bigint").alias("seq"),
+        F.concat(F.lit("tomcat_lastgc_"), F.col("idx").cast("string")).alias("name"), "value_raw",
+    )
+    return finish(union_sources(memory_, threads, gc), keep)
+
+
 for _name, _check in {
     "redis": Check("redis", partial(extract_kv_lines, sep=":", last_wins=True), REDIS, "redis"),
     "memcached": Check("memcached", partial(extract_kv_lines, sep=" ", prefix="STAT "), MEMCACHED, "memcached"),
@@ -156,6 +238,10 @@ for _name, _check in {
     "disk_io": Check("disk_io", disk_io, (), "system"),
     "mounts": Check("mounts", mounts, (), "system"),
     "network_bytes": Check("network_bytes", interfaces, (), "system"),
+    "btrfs": Check("btrfs", btrfs, (), "system"),
+    "tcpconn": Check("tcpconn", sockets, (), "system"),
+    "mysql": Check("mysql", mysql, (), "mysql"),
+    "tomcat": Check("tomcat", tomcat, (), "tomcat"),
     "scripts": Check("scripts", script),
 }.items():
     register(_name, _check)

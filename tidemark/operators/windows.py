@@ -238,9 +238,10 @@ def derive_styles(
     """Rates and deltas of a mixed table in one pass; `value` becomes the derived value.
 
     Rows of style `rate` are rated on `counter`, rows of style `delta` differenced
-    on `value`. The style is part of the series.
+    on `value`. `rate_int` truncates the rate, `rate_tenth` divides it by ten.
+    The style is part of the series.
     """
-    is_rate = F.col(style) == "rate"
+    is_rate = F.col(style).startswith("rate")
     c, v = F.col(counter), F.col(value).cast("double")
     ok = F.col(ts).isNotNull() & F.when(is_rate, c.isNotNull()).otherwise(v.isNotNull())
     prev = previous(
@@ -248,6 +249,11 @@ def derive_styles(
     )
     dt = F.col(ts) - F.col("_prev.ts")
     rate = F.when(dt > 0, _rate(F.try_subtract(c, F.col("_prev.c")), dt, reset_value))
+    rate = (
+        F.when(F.col(style) == "rate_int", post_rate(rate, "int").cast("double"))
+        .when(F.col(style) == "rate_tenth", post_rate(rate, "tenth"))
+        .otherwise(rate)
+    )
     change = fixed(v - F.col("_prev.v"))
     derived = F.when(
         ok,
