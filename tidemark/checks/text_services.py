@@ -182,7 +182,7 @@ def sockets(df: DataFrame) -> DataFrame:
     rows = extract_columns(df, {"code": 3}, skip=1).filter(F.col("code").isNotNull())
     label = F.create_map(*[F.lit(x) for pair in TCP_STATES for x in pair])[F.col("code")]
     labels = list(dict.fromkeys(name for _, name in TCP_STATES))
-    counts = rows.groupBy(*keep).pivot(label.alias("flag"), labels).agg(F.count(F.lit(1)))
+    counts = rows.withColumn("flag", label).groupBy(*keep).pivot("flag", labels).agg(F.count(F.lit(1)))
     wide = counts.fillna(0, subset=labels)
     long = wide.unpivot(keep, labels, "flag", "n").select(
         *keep, F.lit(0).cast("bigint").alias("seq"), F.lit("tcp_connections").alias("name"),
