@@ -43,12 +43,12 @@ def extract_exposition(df: DataFrame) -> DataFrame:
     patterns only read the label pairs.
     """
     keep = scrape_columns(df)
-    rows = lines(df).withColumn("line", F.trim("line")).filter(~F.col("line").startswith("#"))
+    rows = lines(df).filter(~F.ltrim("line").startswith("#"))
     line = F.col("line")
     labelled = line.contains("{")
     head = F.substring_index(line, "{", 1)
     tail = F.substring_index(line, "}", -1)
-    spaced = F.replace(line, F.lit("\t"), F.lit(" "))
+    spaced = F.ltrim(F.replace(line, F.lit("\t"), F.lit(" ")))
     inner = F.substring(
         line, F.length(head) + 2, F.length(line) - F.length(head) - F.length(tail) - 2
     )

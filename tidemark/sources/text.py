@@ -8,7 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.base import PAYLOAD, field, fields, finish, lines, scrape_columns
+from tidemark.sources.base import (
+    PAYLOAD,
+    field,
+    fields,
+    finish,
+    lines,
+    scrape_columns,
+    split_lines,
+)
 
 _CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
@@ -40,7 +48,7 @@ def extract_kv_lines(
             name, value = _key_and_value(bare(line), sep, first_token)
             return F.struct(name.alias("key"), F.struct(i.alias("seq"), value.alias("raw")).alias("value"))
 
-        found = F.split(PAYLOAD, r"\r?\n")
+        found = split_lines(PAYLOAD)
         if prefix:
             found = F.filter(found, lambda line: line.startswith(prefix))
         found = F.filter(
@@ -73,7 +81,7 @@ class Cell:
 def extract_positional(df: DataFrame, spec: Sequence[Cell]) -> DataFrame:
     """Values at fixed places of a payload; missing places are left out."""
     keep = scrape_columns(df)
-    rows = df.withColumn("_lines", F.split(PAYLOAD, r"\r?\n"))
+    rows = df.withColumn("_lines", split_lines(PAYLOAD))
     found = F.array(
         *[
             F.struct(
@@ -124,7 +132,7 @@ def extract_csv(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
     (name, value_raw). A comment sign before the header is ignored.
     """
     keep = scrape_columns(df)
-    split = F.split(PAYLOAD, r"\r?\n")
+    split = split_lines(PAYLOAD)
     header = _cells(F.regexp_replace(F.get(split, F.lit(0)), r"^#\s*", ""))
     rows = df.select(*keep, header.alias("_header"), F.posexplode(split).alias("_row", "line"))
     rows = rows.filter((F.col("_row") > 0) & (F.trim("line") != ""))
