@@ -16,11 +16,12 @@ CYCLE = "20 seconds"
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names; `fallback` only where it names none."""
+    """The shared folder the cluster names; `fallback` only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = named or fallback
+    local = spark.sparkContext.master.startswith("local")
+    root = named or (fallback if local else None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     return root.rstrip("/")
 
 
