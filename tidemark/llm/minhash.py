@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import bucket_links, components, shared_buckets
+from tidemark.llm.components import bucket_components, shared_buckets
 from tidemark.llm.shared import _BASE, bit_filter, hashed_texts, kept_table, maybe_in, mixed, shingle_hashes, text_keys
 
 PERMUTATIONS, BAND = 40, 4
@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 85, id_col
     keys `_k1`, `_k2` for joining back.
 
     Sets of words as in `shingle_hashes`. Documents with one and the same set are one node.
-    Nodes that share a band of min-max values share a bucket; `bucket_links` compares what
+    Nodes that share a band of min-max values share a bucket; `bucket_components` compares what
     it must of a bucket, and links are confirmed on whole sets.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows without an id
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 85, id_col
     sets = kept_table(here.select("node", "text").mapInArrow(_sets(n_words), "node long, shingles array<long>"))
 
     close = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    roots = components(bucket_links(entries, ["n"], close, lambda pairs: _confirmed(pairs, sets, percent)))
+    roots = bucket_components(entries, ["n"], close, lambda pairs: _confirmed(pairs, sets, percent))
     named = nodes.select("_f1", "_f2", "n_shingles", "node", F.col("_first.n").alias("_null"), F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_r"))
     placed = kept_table(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = placed.groupBy("root").agg(F.min(F.struct("_null", "_id", "_r")).alias("_best"))
