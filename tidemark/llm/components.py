@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     return kept_table(out.select("node", F.col("up").alias("root")))
 
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -54,22 +54,23 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(shared.select("bucket"), "bucket")
 
 
-def bucket_links(entries: DataFrame, marks: list[str], close: str, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect whatever the confirmed pairs of the buckets connect.
+def bucket_components(entries: DataFrame, marks: list[str], close: str, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the links between nodes that share a bucket; unlinked nodes are left out.
 
     `entries` has bucket, node and the columns `marks`; `close` is SQL over a node's marks
     and another's (`other_<mark>`), symmetric and true for every link; `confirmed` keeps the
     rows of (a, b) that are links.
 
     A bucket is not expanded into all pairs. Its members are compared with one head (first
-    the smallest node, then others by hash), unless already connected with it, and links
-    merge components. What is still in different components after that is compared pair by
-    pair, so in the end every pair of a bucket is connected or known to be no link.
+    the smallest node, then the one with the most links so far, which is the middle of a
+    crowd of variants), unless already connected with it, and links merge components. What
+    is still in different components after that and passes `close` is compared pair by
+    pair, in one of the buckets a pair shares, so in the end every pair of a bucket is
+    connected or known to be no link.
     """
 
-    def other(rows: DataFrame, extra: str | None = None) -> DataFrame:
-        more = [F.col(extra).alias(f"other_{extra}")] if extra else []
-        return rows.select("bucket", F.col("node").alias("other"), *[F.col(m).alias(f"other_{m}") for m in marks], *more)
+    def other(rows: DataFrame, *extra: str) -> DataFrame:
+        return rows.select("bucket", F.col("node").alias("other"), *[F.col(m).alias(f"other_{m}") for m in (*marks, *extra)])
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
@@ -78,19 +79,26 @@ def bucket_links(entries: DataFrame, marks: list[str], close: str, confirmed: Ca
     heads = other(entries.groupBy("bucket").agg(picked).select("bucket", "_head.*"))
     tried = kept_table(ends(entries.join(heads, "bucket").where("node <> other").where(close)))
     found = kept_table(confirmed(tried))
+    roots = components(found)
     for turn in range(1, STAR_ROUNDS + 2):
-        roots = components(found)
         known = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "root", *marks)
-        split = known.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(order).alias("_head"))
-        split = split.where("_lo < _hi")
+        split = known.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("bucket")
+        rest = kept_table(known.join(split, "bucket"))
         if turn <= STAR_ROUNDS:
-            pairs = known.join(other(split.select("bucket", "_head.*"), "root"), "bucket").where("root <> other_root").where(close)
+            links = found.select(F.explode(F.array("a", "b")).alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_links"))
+            counted = rest.join(links, F.col("node") == F.col("_of"), "left").withColumn("_few", -F.coalesce("_links", F.lit(0)))
+            picked = F.min(F.struct("_few", "node", "root", *marks)).alias("_head")
+            heads = other(counted.groupBy("bucket").agg(picked).select("bucket", "_head.*"), "root")
+            pairs = rest.join(heads, "bucket").where("root <> other_root").where(close)
         else:
-            rest = kept_table(known.join(split.select("bucket"), "bucket"))
-            pairs = rest.join(other(rest, "root"), "bucket").where("node < other and root <> other_root").where(close)
+            lists = rest.groupBy("node").agg(F.collect_list("bucket").alias("shares"))
+            listed = rest.join(lists, "node")
+            pairs = listed.join(other(listed, "root", "shares"), "bucket").where("node < other and root <> other_root")
+            pairs = pairs.where(close).where("array_min(array_intersect(shares, other_shares)) = bucket")
         fresh = kept_table(ends(pairs).join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tried = tried.union(fresh)
-            found = found.union(kept_table(confirmed(fresh)))
-    return found
+        more = kept_table(confirmed(fresh))
+        if not more.isEmpty():
+            found = found.union(more)
+            roots = components(found)
+        tried = tried.union(fresh)
+    return roots

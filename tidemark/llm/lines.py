@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import bucket_links, components, shared_buckets
+from tidemark.llm.components import bucket_components, shared_buckets
 from tidemark.llm.shared import bit_filter, kept_table, maybe_in
 
 # Letter groups counted per line; an edit changes at most two counts by one each.
 _COMPARED = 16
-_GROUPS = ("eèéêE", "tT", "nhñNH", "aäáAio")
+_GROUPS = ("eéèE", "tT", "nñN", "hH", "aäáA", "iíI", "oóöO", "sS", "rR", "dlu")
 
 
 def segment_keys(line: str, n: str, edits: int) -> Column:
@@ -95,7 +95,7 @@ def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
     text differs from that line's), and `_t`, a key of the document's text.
 
     Lines end at line feeds. Equal lines are one node. A node's segment keys are its
-    buckets (`segment_keys`), and `bucket_links` confirms pairs by `within_edits`; counts of
+    buckets (`segment_keys`), and `bucket_components` confirms pairs by `within_edits`; counts of
     letter groups rule out most pairs before. Texts are shuffled for candidates only.
 
     Null and empty texts have no lines; rows without an id come last in the order of a
@@ -131,7 +131,7 @@ def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
         right = texts.select(F.col("node").alias("b"), F.col("line").alias("_lb"))
         return pairs.join(left, "a").join(right, "b").where(within_edits("_la", "_lb", edits)).select("a", "b")
 
-    roots = components(bucket_links(marked, marks, close, confirmed))
+    roots = bucket_components(marked, marks, close, confirmed)
     placed = kept_table(nodes.select("node", "_h1", "_h2", "_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = placed.groupBy("root").agg(F.min("_at").alias("_best"))
     classes = placed.join(best, "root").select(F.col("_h1").alias("_c1"), F.col("_h2").alias("_c2"), (F.col("_at") != F.col("_best")).alias("near"), "_best")
