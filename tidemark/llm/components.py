@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     return kept_table(out.select("node", F.col("up").alias("root")))
 
 
-STAR_ROUNDS = 1
+STAR_ROUNDS = 2
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(shared.select("bucket"), "bucket")
 
 
-def bucket_components(entries: DataFrame, marks: list[str], close: str, confirmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(entries: DataFrame, marks: list[str], close: str, confirmed: Callable[[DataFrame], DataFrame],
+                      remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the links between nodes that share a bucket; unlinked nodes are left out.
 
     `entries` has bucket, node and the columns `marks`; `close` is SQL over a node's marks
@@ -62,8 +63,8 @@ def bucket_components(entries: DataFrame, marks: list[str], close: str, confirme
     rows of (a, b) that are links.
 
     A bucket is not expanded into all pairs. Its members are compared with one head (first
-    the smallest node, then the one with the most links so far, which is the middle of a
-    crowd of variants), unless already connected with it, and links merge components. What
+    the smallest node, then one by a hash that differs between buckets, then the one with
+    the most links so far), unless already connected with it, and links merge components. What
     is still in different components after that and passes `close` is compared pair by
     pair, in one of the buckets a pair shares, so in the end every pair of a bucket is
     connected or known to be no link.
@@ -86,10 +87,14 @@ def bucket_components(entries: DataFrame, marks: list[str], close: str, confirme
         rest = kept_table(known.join(split, "bucket"))
         if turn <= STAR_ROUNDS:
             links = found.select(F.explode(F.array("a", "b")).alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_links"))
-            counted = rest.join(links, F.col("node") == F.col("_of"), "left").withColumn("_few", -F.coalesce("_links", F.lit(0)))
+            counted = rest.join(links, F.col("node") == F.col("_of"), "left")
+            by_hash = F.xxhash64("node", "bucket")
+            counted = counted.withColumn("_few", by_hash if turn == 1 else -F.coalesce("_links", F.lit(0)))
             picked = F.min(F.struct("_few", "node", "root", *marks)).alias("_head")
             heads = other(counted.groupBy("bucket").agg(picked).select("bucket", "_head.*"), "root")
             pairs = rest.join(heads, "bucket").where("root <> other_root").where(close)
+        elif remaining:
+            return components(found.union(kept_table(remaining(rest))))
         else:
             lists = rest.groupBy("node").agg(F.collect_list("bucket").alias("shares"))
             listed = rest.join(lists, "node")

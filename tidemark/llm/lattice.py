@@ -15,9 +15,11 @@ from tidemark.llm.shared import kept_table
 
 FREQUENT = 200_000
 FLUSH = 300_000
+GATHERED = 60_000
 ROUNDS = 2
 _LN10 = math.log(10)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_SLOT_BITS = 20
 _BYTE = np.random.default_rng(13).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -35,15 +37,15 @@ class Vocabulary:
         self.prior /= self.prior.sum()
         self.longest = max(map(len, pieces))
         keys = np.array([_hash(p) for p in pieces], np.uint64)
-        self.keys = np.append(keys, np.uint64(0))
-        self.tables: list[np.ndarray] = []
-        left = np.arange(len(pieces))
-        while len(left):
-            table = np.full(1 << 18, len(pieces), np.int32)
-            slots = self._slots(keys[left], len(self.tables))
-            table[slots] = left
-            self.tables.append(table)
-            left = left[table[slots] != left]
+        self.keys = np.append(keys, np.zeros(1, np.uint64))
+        # One slot per piece; pieces that meet in a slot are marked and found by search.
+        slots = self._slots(keys)
+        self.table = np.full(1 << _SLOT_BITS, len(pieces), np.int32)
+        self.table[slots] = np.arange(len(pieces))
+        met = np.flatnonzero(np.bincount(slots, minlength=len(self.table))[slots] > 1)
+        self.table[slots[met]] = len(pieces) + 1
+        order = np.argsort(keys[met])
+        self.met_keys, self.met = keys[met][order], met[order]
 
     @classmethod
     def load(cls, model_path: str) -> Vocabulary:
@@ -61,17 +63,21 @@ class Vocabulary:
         return cls(ranked + [bytes([b]) for b in range(256) if bytes([b]) not in scored])
 
     @staticmethod
-    def _slots(keys: np.ndarray, level: int) -> np.ndarray:
-        return ((keys * (_BASE + np.uint64(2 * level))) >> np.uint64(46)).astype(np.int64)
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys * _BASE) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece number of each hash, or the number of pieces where there is none."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, by position, and the numbers of those pieces."""
         none = len(self.pieces)
-        out = np.full(keys.shape, none, np.int32)
-        for level, table in enumerate(self.tables):
-            at = table[self._slots(keys, level)]
-            np.copyto(out, at, where=self.keys[at] == keys)
-        return out
+        at = self.table[self._slots(keys)]
+        where = np.flatnonzero(at != none)
+        found = at[where]
+        crowded = np.flatnonzero(found > none)
+        if len(crowded):
+            pos = np.searchsorted(self.met_keys, keys[where[crowded]])
+            found[crowded] = self.met[np.minimum(pos, len(self.met) - 1)]
+        right = self.keys[found] == keys[where]
+        return where[right], found[right]
 
 
 def _hash(piece: bytes) -> int:
@@ -86,31 +92,33 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray):
         self.vocabulary = vocabulary
-        self.log_p = np.append(log_p, -np.inf)
+        self.log_p = log_p
 
-    def _arcs(self, words: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers of the substrings of equally long words, by (start, end)."""
+    def _arcs(self, words: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """By (start, end): the words whose substring is a piece, and the piece of each."""
         grid = np.frombuffer(b"".join(b" " + w for w in words), np.uint8).reshape(len(words), -1)
-        coded, n = _BYTE[grid], grid.shape[1]
-        arcs: dict[tuple[int, int], np.ndarray] = {}
+        coded, n = np.ascontiguousarray(_BYTE[grid].T), grid.shape[1]
+        arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for start in range(n):
             key = np.zeros(len(words), np.uint64)
             for end in range(start + 1, min(n, start + self.vocabulary.longest) + 1):
-                key = key * _BASE + coded[:, end - 1]
-                found = self.vocabulary.find(key)
-                if end == start + 1 or (found < len(self.vocabulary.pieces)).any():
-                    arcs[start, end] = found
+                key = key * _BASE + coded[end - 1]
+                where, found = self.vocabulary.find(key)
+                if len(where):
+                    arcs[start, end] = (where, found)
         return arcs
 
-    def _forward(self, arcs: dict, size: int, n: int) -> np.ndarray:
-        alpha = np.full((n + 1, size), -np.inf)
-        alpha[0] = 0.0
-        into: dict[int, list[int]] = {}
-        for start, end in arcs:
-            into.setdefault(end, []).append(start)
-        for end in range(1, n + 1):
-            alpha[end] = _log_sum([alpha[s] + self.log_p[arcs[s, end]] for s in into[end]])
-        return alpha
+    def _summed(self, arcs: dict, size: int, n: int, forward: bool) -> np.ndarray:
+        """Log of the summed probabilities of all ways to (or from) each place."""
+        out = np.full((n + 1, size), -np.inf)
+        out[0 if forward else n] = 0.0
+        # Ends (or starts) in order: what a place is reached from is complete before it.
+        for start, end in sorted(arcs, key=lambda a: (a[1], a[0]) if forward else (-a[0], a[1])):
+            where, found = arcs[start, end]
+            source, target = (start, end) if forward else (end, start)
+            more = out[source, where] + self.log_p[found]
+            out[target, where] = np.logaddexp(out[target, where], more)
+        return out
 
     def groups(self, words: list[bytes]) -> Iterator[np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -126,38 +134,26 @@ class Lattice:
         for at in self.groups(words):
             part = [words[i] for i in at]
             n = len(part[0]) + 1
-            out[at] = self._forward(self._arcs(part), len(part), n)[n]
+            out[at] = self._summed(self._arcs(part), len(part), n, True)[n]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations by their probability."""
-        out = np.zeros(len(self.log_p))
+        pieces, uses = [], []
         for at in self.groups(words):
             part = [words[i] for i in at]
             n = len(part[0]) + 1
             arcs = self._arcs(part)
-            alpha = self._forward(arcs, len(part), n)
-            beta = np.full((n + 1, len(part)), -np.inf)
-            beta[n] = 0.0
-            out_of: dict[int, list[int]] = {}
-            for start, end in arcs:
-                out_of.setdefault(start, []).append(end)
-            for start in range(n - 1, -1, -1):
-                beta[start] = _log_sum([self.log_p[arcs[start, e]] + beta[e] for e in out_of[start]])
-            for (start, end), found in arcs.items():
-                p = np.exp(alpha[start] + self.log_p[found] + beta[end] - alpha[n]) * counts[at]
-                out += np.bincount(found, p, len(out))
-        return out[:-1]
-
-
-def _log_sum(rows: list[np.ndarray]) -> np.ndarray:
-    if len(rows) == 1:
-        return rows[0]
-    stack = np.stack(rows)
-    top = stack.max(axis=0)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(stack - safe).sum(axis=0)) + safe
+            alpha, beta = self._summed(arcs, len(part), n, True), self._summed(arcs, len(part), n, False)
+            rest = beta - alpha[n]
+            weight = counts[at]
+            for (start, end), (where, found) in arcs.items():
+                p = np.exp(alpha[start, where] + self.log_p[found] + rest[end, where]) * weight[where]
+                pieces.append(found)
+                uses.append(p)
+        if not pieces:
+            return np.zeros(len(self.log_p))
+        return np.bincount(np.concatenate(pieces), np.concatenate(uses), len(self.log_p))
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -194,11 +190,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least `rows` rows: numpy works by word length, on long arrays."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expected(model_path: str, log_p):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(model_path), log_p.value)
         total = np.zeros(len(log_p.value))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
@@ -282,7 +292,7 @@ def _tail_scores(sent, model_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p, types, denominator, total = sent.value
         lattice = Lattice(vocabulary(model_path), log_p)
-        for batch in batches:
+        for batch in _gathered(batches):
             encoded = batch.column(1).dictionary_encode()
             words = lattice.marginals(encoded.dictionary.to_pylist()) if len(encoded) else np.empty(0)
             n, c = batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float)

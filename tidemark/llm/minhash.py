@@ -16,6 +16,7 @@ PERMUTATIONS, BAND = 40, 4
 _SEED = np.random.default_rng(11)
 _MULTIPLY = _SEED.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
+_PART = 512
 
 SIGNED = "doc_id long, _k1 long, _k2 long, n_shingles long, _f1 long, _f2 long, bands array<long>"
 
@@ -82,6 +83,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
+def _block_links(percent: int):
+    """Links across components between the two sides of a block, as a spanning forest."""
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes, roots = block.column("node").to_numpy(), block.column("root").to_numpy()
+        side = block.column("side").to_numpy()
+        sets = [v.values.to_numpy() for chunk in block.column("shingles").chunks for v in chunk]
+        sizes = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            left, right = np.arange(0), np.arange(0)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column[-1]) + 1, _CHUNK):
+            lo, hi = np.searchsorted(column, (at, at + _CHUNK))
+            has = np.zeros((len(sets), _CHUNK), np.float32)
+            has[row[lo:hi], column[lo:hi] - at] = 1
+            both += has[left] @ has[right].T
+        inter = both.astype(np.int64)
+        union = sizes[left][:, None] + sizes[right][None] - inter
+        links = (100 * inter >= percent * union) & (roots[left][:, None] != roots[right][None])
+        i, j = np.nonzero(links)
+        names, back = np.unique(np.concatenate([nodes[left], nodes[right]]), return_inverse=True)
+        u, v = back[: len(left)][i], back[len(left) :][j]
+        low = np.arange(len(names))
+        while True:
+            new = low.copy()
+            np.minimum.at(new, u, low[v])
+            np.minimum.at(new, v, low[u])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[low[moved]], pa.int64())})
+
+    return run
+
+
+def _remaining_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links in buckets that still hold several components, block by block.
+
+    A bucket is cut into parts of about `_PART` nodes by a hash, every two parts are one
+    task's block, and only links leave it: no pairs are emitted, and no bucket is gathered.
+    """
+    parts = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / _PART).cast("int").alias("_p"))
+    dealt = rest.join(parts, "bucket").withColumn("_of", F.pmod(F.xxhash64("node", "bucket"), "_p").cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_with")
+    rows = dealt.select("bucket", "node", "root", "_of", meets)
+    first = rows.where("_of <= _with").select("bucket", "node", "root", F.col("_of").alias("_i"), F.col("_with").alias("_j"), F.lit(0).alias("side"))
+    second = rows.where("_of >= _with").select("bucket", "node", "root", F.col("_with").alias("_i"), F.col("_of").alias("_j"), F.lit(1).alias("side"))
+    blocks = first.union(second).join(sets, "node")
+    return blocks.groupBy("bucket", "_i", "_j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of `percent` or more.
 
@@ -90,8 +149,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 85, id_col
     keys `_k1`, `_k2` for joining back.
 
     Sets of words as in `shingle_hashes`. Documents with one and the same set are one node.
-    Nodes that share a band of min-max values share a bucket; `bucket_components` compares what
-    it must of a bucket, and links are confirmed on whole sets.
+    Nodes that share a band of min-max values share a bucket; `bucket_components` compares
+    what it must of a bucket with heads, what stays apart is compared by blocks
+    (`_remaining_links`), and links are confirmed on whole sets.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows without an id
     take part; a group without any id has a null component, and none of its rows is `kept`,
@@ -117,7 +177,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 85, id_col
     sets = kept_table(here.select("node", "text").mapInArrow(_sets(n_words), "node long, shingles array<long>"))
 
     close = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    roots = bucket_components(entries, ["n"], close, lambda pairs: _confirmed(pairs, sets, percent))
+    roots = bucket_components(entries, ["n"], close, lambda pairs: _confirmed(pairs, sets, percent), lambda rest: _remaining_links(rest, sets, percent))
     named = nodes.select("_f1", "_f2", "n_shingles", "node", F.col("_first.n").alias("_null"), F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_r"))
     placed = kept_table(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = placed.groupBy("root").agg(F.min(F.struct("_null", "_id", "_r")).alias("_best"))
