@@ -13,7 +13,6 @@ from tidemark.operators.projections import normalise
 from tidemark.operators.sets import union_samples
 from tidemark.operators.windows import derive_styles
 from tidemark.schema import METRIC_RECIPES
-from tidemark.session import broadcast_checked
 
 STATEFUL_STYLES = ("rate", "rate_int", "rate_tenth", "delta")
 
@@ -91,7 +90,7 @@ def apply_recipes(samples: DataFrame, recipes: DataFrame) -> DataFrame:
     )
     rows = samples.drop("style", "chart_type", "reaction")
     return (
-        rows.join(broadcast_checked(dim), ["source", "name"])
+        rows.join(dim, ["source", "name"])
         .withColumn("name", F.col("_metric"))
         .withColumn("style", F.col("_style"))
         .drop("_metric", "_style")

@@ -9,14 +9,13 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_checked
 
 
 def allow(df: DataFrame, names: DataFrame | Sequence[str], col: str = "name") -> DataFrame:
     """Exact allow-list: literals, or a dimension with the same column."""
     if isinstance(names, DataFrame):
         wanted = names.select(F.col(names.columns[0]).alias(col)).distinct()
-        return df.join(broadcast_checked(wanted), col, "left_semi")
+        return df.join(wanted, col, "left_semi")
     return df.filter(F.col(col).isin(*names))
 
 

@@ -1,7 +1,7 @@
 """Equi-joins with dimensions, sibling metrics and child documents.
 
-Dimensions are broadcast only behind a row count. Beyond that, and between two
-fact tables, the join shuffles and adaptive execution splits hot keys.
+No join carries a hint: Spark broadcasts a side below its own size threshold, and
+otherwise the join shuffles and adaptive execution splits hot keys.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_checked
 
 
 def label_counts(
@@ -21,20 +20,17 @@ def label_counts(
     label: str = "label",
     keys: Sequence[str] = ("host", "scrape_id"),
     out: str = "n",
-    max_labels: int = 1_000,
 ) -> DataFrame:
     """Rows per (keys, label) with every label present, 0 where none occurs.
 
-    Codes that share a label add up. The label names are read once, so counting
-    is one pivot: a single pre-aggregated shuffle on the keys.
+    Codes that share a label add up. Every (keys, label) is one output row, and starts
+    from a 0 row; counting is one pre-aggregated shuffle for any number of labels.
     """
-    names = dim.select(label).distinct().orderBy(label).limit(max_labels + 1)
-    labels = [row[0] for row in names.collect() if row[0] is not None]
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    labelled = df.join(broadcast_checked(dim.select(code, label)), code, "left")
-    counts = labelled.groupBy(*keys).pivot(label, labels).agg(F.count(F.lit(1)))
-    return counts.fillna(0, subset=labels).unpivot(list(keys), labels, label, out)
+    labels = dim.select(label).where(F.col(label).isNotNull()).distinct()
+    zero = df.select(*keys).distinct().crossJoin(labels).withColumn(out, F.lit(0).cast("bigint"))
+    labelled = df.join(dim.select(code, label), code).where(F.col(label).isNotNull())
+    ones = labelled.select(*keys, label, F.lit(1).cast("bigint").alias(out))
+    return zero.union(ones).groupBy(*keys, label).agg(F.sum(out).alias(out))
 
 
 def resolve_oid(df: DataFrame, oid_names: DataFrame, oid: str = "oid") -> DataFrame:
@@ -44,7 +40,7 @@ def resolve_oid(df: DataFrame, oid_names: DataFrame, oid: str = "oid") -> DataFr
         "device", F.regexp_replace(F.col("oid"), r"^\.", "").alias("_oid"), "name"
     )
     rows = df.drop("name").withColumn("_oid", bare)
-    return rows.join(broadcast_checked(dim), ["device", "_oid"]).drop("_oid")
+    return rows.join(dim, ["device", "_oid"]).drop("_oid")
 
 
 def pair(
@@ -73,7 +69,7 @@ def attach_children(parent: DataFrame, child: DataFrame, key: str | Sequence[str
 
 def with_attribute(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Entity attributes (sector size, CPU count) added to samples."""
-    return df.join(broadcast_checked(dim), list(keys), "left")
+    return df.join(dim, list(keys), "left")
 
 
 def with_thresholds(df: DataFrame, thresholds: DataFrame, name: str = "name") -> DataFrame:
@@ -81,4 +77,4 @@ def with_thresholds(df: DataFrame, thresholds: DataFrame, name: str = "name") ->
     dim = thresholds.filter(F.coalesce(F.col("enabled"), F.lit(True))).select(
         F.col("metric").alias(name), "warn", "crit", "emit_ok"
     )
-    return df.join(broadcast_checked(dim), name, "left")
+    return df.join(dim, name, "left")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import float_text, int_text, percent_of
-from tidemark.session import broadcast_checked
 
 UNTYPED = "untyped"
 IDENTITY_TAGS = ("cluster", "group", "location")
@@ -25,7 +24,7 @@ def normalise(df: DataFrame, default_host: Column | str) -> DataFrame:
 def with_identity(df: DataFrame, identity: DataFrame) -> DataFrame:
     """Add `all_tags`: host, type, cluster, group, location, overridden by the sample's own tags."""
     dim = identity.select("host", *[F.col(t).alias(f"_{t}") for t in IDENTITY_TAGS])
-    joined = df.join(broadcast_checked(dim), "host", "left")
+    joined = df.join(dim, "host", "left")
     fixed_tags = F.create_map(
         F.lit("host"), F.col("host"), F.lit("type"), F.col("check_type"),
         *[x for t in IDENTITY_TAGS for x in (F.lit(t), F.col(f"_{t}"))],
