@@ -28,7 +28,6 @@ from tidemark.schema import SERIES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TTL_MS = 7 * 24 * 3600 * 1000
 
 _STATE = "ts BIGINT, seq BIGINT, longs ARRAY<BIGINT>, doubles ARRAY<DOUBLE>"
 KINDS = ("rate", "delta", "prev", "ratio", "share", "changed_rate")
@@ -45,7 +44,7 @@ def _rate(d: int, dt: int, reset: float) -> float:
 class Derivation(StatefulProcessor):
     """One kind of derivation over rows with `tm_ok`, `tm_ts`, `tm_seq`, `tm_v0`, `tm_v1`, ..."""
 
-    def __init__(self, kind: str, width: int, outs: Sequence[str], reset: float, ttl_ms: int):
+    def __init__(self, kind: str, width: int, outs: Sequence[str], reset: float, ttl_ms: int | None):
         self.kind, self.width, self.outs = kind, width, list(outs)
         self.reset, self.ttl_ms = reset, ttl_ms
 
@@ -143,7 +142,7 @@ def stateful(
     ts: str = "ts_s",
     seq: str = "seq",
     reset_value: float = 1.0,
-    ttl_ms: int = TTL_MS,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
     """A derivation over a stream, kept across micro-batches.
 
