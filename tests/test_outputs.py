@@ -33,6 +33,26 @@ def test_influx(spark):
     ]
 
 
+def test_influx_keeps_lines_whole_and_numbers_plain(spark):
+    odd = [
+        ("h", "c", 0, "big", 1, 12345678.5, "12345678.5", "float", "gauge", None, 0, None),
+        ("h", "c", 1, "tiny", 1, 0.00001, "1e-05", "float", "gauge", None, 0, None),
+        ("h", "c", 2, "huge", 1, 1e25, "1e25", "float", "gauge", None, 0, None),
+        ("h", "c", 3, "endless", 1, float("inf"), "inf", "float", "gauge", None, 0, None),
+        ("h", "c", 4, "none", 1, float("nan"), "nan", "float", "gauge", None, 0, None),
+        ("h", "c", 5, "text", 1, None, "a\nb\\", "str", "gauge", None, 0, {"path": "x\ny\\"}),
+    ]
+    df = spark.createDataFrame(odd, SAMPLES).withColumn("check_type", F.lit("gauge"))
+    df = with_identity(df, spark.createDataFrame([("h", "prod", "front", None)], IDENTITY))
+    tags = "host=h,cluster=prod,group=front,type=gauge"
+    assert lines(encoders.to_influx(df)) == [
+        f"big,{tags} value=12345678.5 1000000000",
+        f"huge,{tags} value=10000000000000000000000000 1000000000",
+        f"text,{tags},path=x\\ny\\\\ value=\"a\\nb\\\\\" 1000000000",
+        f"tiny,{tags} value=0.00001 1000000000",
+    ]
+
+
 def test_json_points(spark):
     got = lines(encoders.to_kairos(tagged(spark)))
     assert '{"name":"load","timestamp":1700000000000,"value":0.5,"tags":{"cluster":"prod","group":"front","host":"web.1","type":"untyped"}}' in got
@@ -64,6 +84,12 @@ def test_routes_and_replay(spark, scratch):
     assert {r["batch_id"]: r["route"] for r in routed.collect()} == {
         "0": "done", "1": "cached", "2": "refused", "3": "cached", "4": "cached", "5": "done", "6": "overflow", "7": "overflow",
     }
+    hosted = batches.withColumn("host", F.when(F.col("seq") < 4, "a").otherwise("b"))
+    held = spark.createDataFrame([("a", 2)], "host STRING, cached BIGINT")
+    got = delivery.route_outcomes(hosted, outcomes, max_cache=2, keys=["host"], cached_before=held)
+    assert {r["batch_id"]: r["route"] for r in got.collect() if r["route"] in ("cached", "overflow")} == {
+        "1": "cached", "3": "overflow", "4": "cached", "6": "cached", "7": "cached",
+    }
     delivery.write_routes(routed, scratch + "/routes")
     assert spark.read.parquet(scratch + "/routes").count() == 8
     plan = delivery.replay_plan(batches, spark.createDataFrame([("0", 200), ("1", 204), ("2", 500), ("3", 200)], "batch_id STRING, code INT"))

@@ -119,3 +119,12 @@ def test_landed_scrapes_are_pruned(spark, scratch):
     assert got.count() == 12
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "source" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_named_queries_keep_text_and_long_integers(spark):
+    found = status.run_named_queries(spark, {"text": "SELECT 'on' AS v", "long": "SELECT 9007199254740993L AS v", "real": "SELECT 12345678.5D AS v", "none": "SELECT CAST(NULL AS INT) AS v"})
+    got = {r["tags"]["prettyname"]: (r["value_raw"], r["value_kind"], r["value"]) for r in found.collect()}
+    assert got["text"] == ("on", "str", None)
+    assert got["long"] == ("9007199254740993", "int", 9007199254740992.0)
+    assert got["real"][1:] == ("float", 12345678.5)
+    assert got["none"] == (None, None, None)

@@ -156,16 +156,20 @@ def gc_kind(
     keys: Sequence[str] = ("host", "scrape_id"),
     out: str = "gc_kind",
 ) -> DataFrame:
-    """Label every row with the first rule that any row of its scrape meets; NULL if none."""
-    flags = df.groupBy(*keys).agg(
-        *[F.bool_or(F.coalesce(cond, F.lit(False))).alias(f"_f{i}") for i, (_, cond) in enumerate(rules)]
-    )
+    """Label every row with the first rule that any row of its scrape meets; NULL if none.
+
+    A scrape is one payload, so a window over its rows is small; the input is read once.
+    Rows without a key belong to no scrape and get NULL.
+    """
+    scrape = Window.partitionBy(*keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    flags = {f"_f{i}": known & F.bool_or(F.coalesce(cond, F.lit(False))).over(scrape) for i, (_, cond) in enumerate(rules)}
     pick = reduce(
         lambda col, item: F.when(F.col(f"_f{item[0]}"), F.lit(item[1][0])).otherwise(col),
         reversed(list(enumerate(rules))),
         F.lit(None).cast("string"),
     )
-    return df.join(flags.select(*keys, pick.alias(out)), list(keys), "left")
+    return df.withColumns(flags).withColumn(out, pick).drop(*flags)
 
 
 def first_k(

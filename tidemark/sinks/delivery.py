@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,14 @@ def route_outcomes(
     outcomes: DataFrame,
     max_cache: int = MAX_CACHE,
     keys: Sequence[str] = (),
-    cached_before: int = 0,
+    cached_before: int | DataFrame = 0,
 ) -> DataFrame:
     """Batches with a `route`: done, refused (logged and dropped), cached or overflow.
 
     Other codes and transport errors (NULL code, or no outcome at all) are
     cached for retry in `seq` order, per `keys` (the sending host). A batch is
-    still cached while at most `max_cache` are; later ones overflow.
+    still cached while at most `max_cache` are; later ones overflow. `cached_before` is what the
+    cache holds already: one number for all, or a frame of `keys` and `cached`.
     """
     joined = batches.join(outcomes, "batch_id", "left")
     code = F.col("code")
@@ -38,8 +41,14 @@ def route_outcomes(
         F.when(code.isin(*DONE_CODES), "done").when(code.isin(*REFUSED_CODES), "refused").otherwise("retry"),
     )
     retry = rank_in_order(routed.filter(F.col("route") == "retry"), keys, "seq", "_rank")
-    fits = F.col("_rank") + cached_before <= max_cache + 1
-    retry = retry.withColumn("route", F.when(fits, "cached").otherwise("overflow")).drop("_rank")
+    if isinstance(cached_before, DataFrame):
+        held = cached_before.select(*[F.col(k).alias(f"_held_{k}") for k in keys], F.col("cached").alias("_held"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys])
+        retry = retry.join(held, same, "left").drop(*[f"_held_{k}" for k in keys])
+    else:
+        retry = retry.withColumn("_held", F.lit(cached_before))
+    fits = F.col("_rank") + F.coalesce("_held", F.lit(0)) <= max_cache + 1
+    retry = retry.withColumn("route", F.when(fits, "cached").otherwise("overflow")).drop("_rank", "_held")
     return routed.filter(F.col("route") != "retry").unionByName(retry)
 
 

@@ -18,10 +18,19 @@ EXPOSITION_TYPES = ("gauge", "counter", "histogram", "summary")
 HELP_TEXT = "Metrics provided by the fleet telemetry engine."
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text without an exponent, down to 18 decimal places and below 1e37."""
+    text = x.cast("string")
+    small = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    large = text.try_cast("decimal(38,0)").cast("string")
+    moved = F.when(F.abs(x) >= 1e19, large).when(F.abs(x) >= 1e-18, small)
+    return F.when(text.contains("E"), F.coalesce(moved, text)).otherwise(text)
+
+
 def number_text(df: DataFrame) -> Column:
     """Value as text: integers without a fraction, unparsable text as it came."""
     whole = int_text(F.col("value_raw")).cast("string")
-    number = F.col("value").cast("string")
+    number = plain_number(F.col("value"))
     return (
         F.when(F.col("value_kind") == "int", F.coalesce(whole, number))
         .when(F.col("value").isNotNull(), number)
@@ -70,14 +79,25 @@ def to_opentsdb(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(point).alias("line"))
 
 
+def _one_line(text: Column) -> Column:
+    """Backslashes doubled and line breaks written out, so that a point stays one line."""
+    for sign, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
 def _line_escape(text: Column, signs: str = ",= ") -> Column:
+    text = _one_line(text)
     for sign in signs:
         text = F.replace(text, F.lit(sign), F.lit("\\" + sign))
     return text
 
 
 def to_influx(df: DataFrame) -> DataFrame:
-    """Influx lines: escaped tags, `i` after integers, text quoted, sample time in nanoseconds."""
+    """Influx lines: escaped tags, `i` after integers, text quoted, sample time in nanoseconds.
+
+    Infinite and undefined values give no line, as the protocol has no form for them.
+    """
     fixed_tags = [
         F.when(_tag(t).isNotNull(), F.concat(F.lit(f"{t}="), _line_escape(_tag(t)))) for t in LINE_TAGS
     ]
@@ -90,14 +110,15 @@ def to_influx(df: DataFrame) -> DataFrame:
         ",", _line_escape(F.col("name"), ", "), *fixed_tags, F.when(own != "", own)
     )
     text = number_text(df)
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(_one_line(text), F.lit('"'), F.lit('\\"')), F.lit('"'))
     value = (
         F.when(F.col("value_kind") == "int", F.concat(text, F.lit("i")))
         .when(F.col("value").isNotNull(), text)
         .otherwise(quoted)
     )
     nanos = (F.col("ts_s") * 1_000_000_000).cast("string")
-    return df.filter(text.isNotNull()).select(
+    odd = F.isnan("value") | (F.abs("value") == float("inf"))
+    return df.filter(text.isNotNull() & ~F.coalesce(odd, F.lit(False))).select(
         F.concat(series, F.lit(" value="), value, F.lit(" "), nanos).alias("line")
     )
 

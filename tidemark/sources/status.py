@@ -31,7 +31,11 @@ def extract_status_rows(
 def run_named_queries(
     spark: SparkSession, queries: dict[str, str], metric: str = QUERY_METRIC
 ) -> DataFrame:
-    """Scalar queries over registered views: first column as value, query name as tag."""
+    """Scalar queries over registered views: first column as value, query name as tag.
+
+    The result is kept as text in `value_raw`, so long integers keep all digits and a text
+    result gives a text sample (`value` NULL, `value_kind` str).
+    """
     parts = []
     for name, text in queries.items():
         rows = spark.sql(text)
@@ -39,7 +43,7 @@ def run_named_queries(
             rows.select(
                 F.lit(metric).alias("name"),
                 F.create_map(F.lit("prettyname"), F.lit(name)).alias("tags"),
-                F.col(rows.columns[0]).cast("double").alias("value"),
+                F.col(rows.columns[0]).cast("string").alias("value_raw"),
             )
         )
-    return union_samples(*parts)
+    return typed_value(union_samples(*parts))
