@@ -1,5 +1,5 @@
-"""Stateful operators against plain loops, with chunks small enough to exercise
-the carried state and the split of crowded seconds."""
+"""Stateful operators against plain loops, with ranges small enough to exercise
+the carried state and cuts inside one second."""
 
 import random
 
@@ -11,9 +11,9 @@ from tidemark.operators import windows as w
 
 SPLITS = [
     {},
-    {"chunk_s": 7},
-    {"chunk_s": 50, "split_rows": 3},
-    {"chunk_s": 10_000, "split_rows": 0},
+    {"ranges": 1},
+    {"ranges": 7},
+    {"ranges": 150},
 ]
 
 
@@ -135,18 +135,42 @@ def test_rank_in_order_is_a_row_number(spark):
     rng = random.Random(6)
     rows = [(rng.choice("ab"), i * 3) for i in range(500)]
     df = spark.createDataFrame(rows, "k STRING, seq BIGINT").repartition(4)
-    got = w.rank_in_order(df, ["k"], "seq", block=64).collect()
+    got = w.rank_in_order(df, ["k"], "seq", ranges=9).collect()
     for k in "ab":
         mine = sorted((r["seq"], r["rank"]) for r in got if r["k"] == k)
         assert [r for _, r in mine] == list(range(1, len(mine) + 1))
 
 
-def test_hot_series_is_spread_over_partitions(spark):
-    """A third of all rows in one series: no shuffle key holds more than one chunk of it."""
+def test_hot_series_is_spread_over_ranges(spark):
+    """All rows in one series and a few seconds, `seq` hashed, a third of them one row copied."""
     df = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 997)).alias("s"),
-        F.col("id").alias("ts_s"), F.col("id").alias("seq"), F.col("id").alias("v"),
+        F.lit("hot").alias("s"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 4).alias("ts_s"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64("id") % 10**15).alias("seq"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("v"),
     )
-    keyed = w.with_chunks(df, ["s"], chunk_s=600)
-    largest = keyed.groupBy("_hash", "_series", "_chunk").count().agg(F.max("count")).first()[0]
-    assert largest <= 200
+    ranged = w.in_ranges(df, ["s"], ["ts_s", "seq"], 30)
+    assert ranged.groupBy("_part").count().agg(F.max("count")).first()[0] <= 3_000
+    rows = [(r["s"], r["ts_s"], i, r["v"]) for i, r in enumerate(df.orderBy("ts_s", "seq").collect())]
+    want = loops.deltas(rows)
+    got = w.delta(df, "v", ("s",), ranges=30)
+    assert sorted(r["delta"] for r in got.collect()) == sorted(want.values())
+
+
+def test_rows_of_one_second_and_seq_have_one_order(spark):
+    rows = [("x", 0, 0, v) for v in range(40)] + [("x", 20, 1, 100)]
+    runs = [
+        sorted((r["v"], r["delta"]) for r in w.delta(frame(spark, rows).repartition(k), "v", ("s",), ranges=k).collect())
+        for k in (1, 3, 11)
+    ]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_series_with_maps_and_nulls(spark):
+    rows = [(None, {"a": None}, 0, 0, 1), ("", {"a": None}, 20, 1, 41), (None, {"a": None}, 20, 2, 21), (None, None, 20, 3, 9)]
+    df = spark.createDataFrame(rows, "s STRING, tags MAP<STRING, STRING>, ts_s BIGINT, seq BIGINT, v BIGINT")
+    assert found(w.counter_rate(df, {"v": "rate"}, ("s", "tags")), "rate") == {0: 0.0, 1: 0.0, 2: 1.0, 3: 0.0}
+
+
+def test_empty_table(spark):
+    assert w.counter_rate(frame(spark, []), {"v": "rate"}, ("s",)).count() == 0

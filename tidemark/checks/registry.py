@@ -120,7 +120,7 @@ def apply_listed(samples: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
     }).drop("_r")
 
 
-def derive(samples: DataFrame, **split) -> DataFrame:
+def derive(samples: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rates and deltas where the style asks for them; gauges pass without a shuffle.
 
     The result keeps one row per sample: `value` is the derived value.
@@ -129,7 +129,7 @@ def derive(samples: DataFrame, **split) -> DataFrame:
     passed = samples.filter(~F.coalesce(stateful, F.lit(False)))
     counter = as_int(F.col("value_raw"), F.col("value_kind"), F.col("value"))
     moving = samples.filter(stateful).withColumn("_counter", counter)
-    derived = derive_styles(moving, "_counter", "value", ("host", "source", "name", "tags"), **split)
+    derived = derive_styles(moving, "_counter", "value", ("host", "source", "name", "tags"), ranges=ranges)
     return union_samples(passed, derived.drop("_counter"))
 
 
@@ -159,16 +159,16 @@ def run_checks(
     checks: Iterable[Check],
     recipes: DataFrame | None = None,
     samples_path: str | None = None,
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Raw scrapes to derived samples.
 
     With `samples_path` (shared storage) the extracted samples are written there
-    first, so that payloads are parsed once; without it every pass of the
-    derivation parses them again.
+    first, so that payloads are parsed once; without it the gauges, the derivation and
+    the sampling of its ranges each parse them.
     """
     samples = extract_all(raw, checks, recipes)
     if samples_path:
         samples.write.mode("overwrite").parquet(samples_path)
         samples = raw.sparkSession.read.parquet(samples_path)
-    return derive(samples, **split)
+    return derive(samples, ranges)

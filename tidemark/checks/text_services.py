@@ -153,11 +153,11 @@ def cpu_times(df: DataFrame) -> DataFrame:
     return rows.withColumn("core", core).withColumns({p: F.col(p).try_cast("double") for p in CPU_PARTS})
 
 
-def cpu_shares(raw: DataFrame, **split) -> DataFrame:
+def cpu_shares(raw: DataFrame, ranges: int | None = None) -> DataFrame:
     """Processor times to percent samples, tag `core`."""
     wide = cpu_times(raw)
     total, load = CPU_PARTS[:4], CPU_PARTS[:3]
-    out = delta_share(wide, CPU_PARTS, total, load, ("host", "core"), **split)
+    out = delta_share(wide, CPU_PARTS, total, load, ("host", "core"), ranges=ranges)
     names = {"load_pct": "cpu_load", **{f"{p}_pct": p for p in CPU_PARTS}}
     keep = [c for c in scrape_columns(raw) if c in out.columns]
     return (

@@ -1,15 +1,16 @@
 """Stateful derivations over ordered series: rates, deltas, ratios, gates.
 
 All of them need, for each row, the latest earlier accepted row of its series.
-`previous` computes that without ever putting a whole series into one task:
+`previous` computes that without ever putting a whole series into one task, by one layout
+for all inputs:
 
-* a series is cut into chunks of `chunk_s` seconds, and the window runs per chunk;
-* one row per chunk (its latest accepted row, pre-aggregated before the
-  shuffle) is carried forward to the chunks after it;
-* a chunk holding more than `split_rows` rows, which only copies within the
-  same seconds can cause, is cut further by second and by blocks of `seq`.
+* the rows are range-partitioned by series, time, `seq` and a full order of rows, so a
+  series of any size is cut wherever a partition ends, within one second and among copies too;
+* the window runs per partition and series;
+* one row per partition and series (its latest accepted row, aggregated before the shuffle)
+  is carried to the partitions after it: at most as many per series as there are partitions.
 
-`seq` must tell rows of one series and second apart.
+The partitions are written to the shared folder, because both steps must see the same cuts.
 """
 
 from __future__ import annotations
@@ -23,65 +24,46 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import fixed, post_rate, ratio
 from tidemark.operators.aggregates import sum_over
 from tidemark.schema import SERIES
+from tidemark.shared import stored
 
-CHUNK_SECONDS = 86_400
-SPLIT_ROWS = 5_000_000
-BLOCK = 65_536
+_KEYS = ["_part", "_hash", "_series"]
 
-_KEYS = ["_hash", "_series", "_chunk"]
+
+def _comparable(field: T.StructField) -> Column:
+    """The column; maps become sorted entries."""
+    col = F.col(field.name)
+    return F.array_sort(F.map_entries(col)) if isinstance(field.dataType, T.MapType) else col
 
 
 def series_struct(df: DataFrame, series: Sequence[str]) -> Column:
     """The series columns as one comparable value; maps become sorted entries."""
-    fields = []
-    for name in series:
-        col = F.col(name)
-        if isinstance(df.schema[name].dataType, T.MapType):
-            col = F.array_sort(F.map_entries(col))
-        fields.append(col.alias(name))
-    return F.struct(*fields)
+    return F.struct(*[_comparable(df.schema[name]).alias(name) for name in series])
 
 
-def with_chunks(
-    df: DataFrame,
-    series: Sequence[str],
-    ts: str = "ts_s",
-    seq: str = "seq",
-    chunk_s: int = CHUNK_SECONDS,
-    split_rows: int = SPLIT_ROWS,
-) -> DataFrame:
-    """Add `_hash`, `_series` and `_chunk`; chunks order like (ts, seq)."""
-    keyed = (
-        df.withColumn("_series", series_struct(df, series))
-        .withColumn("_hash", F.xxhash64("_series"))
-        .withColumn("_span", F.floor(F.col(ts) / chunk_s))
-    )
-    # At most total rows / split_rows spans are crowded, so the list stays small.
-    crowded = (
-        keyed.groupBy("_hash", "_series", "_span")
-        .count()
-        .filter(F.col("count") > split_rows)
-        .select(
-            F.col("_hash").alias("_c_hash"),
-            F.col("_series").alias("_c_series"),
-            F.col("_span").alias("_c_span"),
-        )
-    )
-    # The series struct and the hash are never NULL; the span may be.
-    marked = keyed.join(
-        F.broadcast(crowded),
-        (F.col("_hash") == F.col("_c_hash"))
-        & (F.col("_series") == F.col("_c_series"))
-        & F.col("_span").eqNullSafe(F.col("_c_span")),
-        "left",
-    )
-    is_crowded = F.col("_c_hash").isNotNull()
-    chunk = F.struct(
-        F.col("_span").alias("span"),
-        F.when(is_crowded, F.col(ts)).alias("tick"),
-        F.when(is_crowded, F.floor(F.col(seq) / BLOCK)).alias("block"),
-    )
-    return marked.withColumn("_chunk", chunk).drop("_span", "_c_hash", "_c_series", "_c_span")
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, the last digit of its order; maps deep inside other types are left out."""
+    cols = [
+        _comparable(f)
+        for f in df.schema
+        if "map<" not in (f.dataType.valueType if isinstance(f.dataType, T.MapType) else f.dataType).simpleString()
+    ]
+    return F.xxhash64(*cols)
+
+
+def in_ranges(df: DataFrame, series: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """`df` stored in that many `ranges` of (series, `order`), with `_part`, `_hash`, `_series`, `_tie`.
+
+    `_part` grows with the order inside a series. Rows equal in `order` are ordered by `_tie`,
+    a hash of the row; exact copies, which nothing tells apart, are spread like other rows.
+    `ranges` is the number of shuffle partitions by default: set that so that a task gets
+    rows / ranges of them. The input is read twice, once for the sampling of the ranges.
+    """
+    key = series_struct(df, series) if series else F.struct(F.lit(1).alias("all"))
+    keyed = df.withColumns({"_series": key, "_tie": _row_hash(df)})
+    keyed = keyed.withColumns({"_hash": F.xxhash64("_series"), "_row": F.monotonically_increasing_id()})
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(n, "_hash", "_series", *order, "_tie", "_row")
+    return stored(ranged.drop("_row").withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def previous(
@@ -93,40 +75,40 @@ def previous(
     seq: str = "seq",
     first_of_second: bool | Column = False,
     out: str = "prev",
-    chunk_s: int = CHUNK_SECONDS,
-    split_rows: int = SPLIT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add `out`: ts and payload of the latest earlier accepted row, NULL if none.
 
     With `first_of_second` (which may vary by series), only the first accepted
     row of a second counts and the later ones see it as their predecessor (its
-    ts equals their own). The input is read once for the rows and twice, narrowly,
-    for the chunk summaries: feed it from a stored table, not from raw payloads.
-    A frame that already has the chunk columns is used as it is.
+    ts equals their own). Rows are stored in ranges first (`in_ranges`), unless the frame
+    comes from there.
     """
     if not set(_KEYS) <= set(df.columns):
-        df = with_chunks(df, series, ts, seq, chunk_s, split_rows)
-    if isinstance(first_of_second, Column):
-        rank = F.when(first_of_second, -F.col(seq)).otherwise(F.col(seq))
-    else:
-        rank = -F.col(seq) if first_of_second else F.col(seq)
+        df = in_ranges(df, series, [ts, seq], ranges)
+    first = first_of_second if isinstance(first_of_second, Column) else F.lit(first_of_second)
+    rank = F.struct(
+        F.when(first, -F.col(seq)).otherwise(F.col(seq)).alias("seq"),
+        F.when(first, F.bitwise_not("_tie")).otherwise(F.col("_tie")).alias("tie"),
+    )
     state = F.struct(
         F.col(ts).alias("ts"), rank.alias("rank"), *[c.alias(k) for k, c in payload.items()]
     )
     usable = F.col(ts).isNotNull() if accept is None else (accept & F.col(ts).isNotNull())
     state = F.when(usable, state)
 
-    # The highest (ts, rank) seen so far is the latest accepted row.
+    # The highest (ts, rank) seen so far is the latest accepted row, here or in an earlier range:
+    # of a second cut in two, the first row may be there.
     within = (
         Window.partitionBy(*_KEYS)
-        .orderBy(ts, seq)
+        .orderBy(ts, seq, "_tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = df.withColumn("_local", F.max(state).over(within))
 
     earlier = (
         Window.partitionBy("_hash", "_series")
-        .orderBy("_chunk")
+        .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
@@ -137,13 +119,13 @@ def previous(
     )
     return (
         local.join(carried, _KEYS, "left")
-        .withColumn(out, F.coalesce("_local", "_carry"))
+        .withColumn(out, F.greatest("_local", "_carry"))
         .drop("_local", "_carry")
     )
 
 
-def drop_chunks(df: DataFrame) -> DataFrame:
-    return df.drop(*_KEYS)
+def drop_ranges(df: DataFrame) -> DataFrame:
+    return df.drop(*_KEYS, "_tie")
 
 
 def _rate(d: Column, dt: Column, reset_value: float) -> Column:
@@ -157,7 +139,7 @@ def counter_rate(
     ts: str = "ts_s",
     seq: str = "seq",
     reset_value: float = 1.0,
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per-second rate of counters; `values` maps BIGINT input column to output column.
 
@@ -177,7 +159,7 @@ def counter_rate(
         seq,
         first_of_second=True,
         out="_prev",
-        **split,
+        ranges=ranges,
     )
     dt = F.col(ts) - F.col("_prev.ts")
     accepted = readable & F.col(ts).isNotNull()
@@ -187,7 +169,7 @@ def counter_rate(
             accepted & (dt > 0), _rate(d, dt, reset_value)
         )
         prev = prev.withColumn(name, rate)
-    return drop_chunks(prev).drop("_prev")
+    return drop_ranges(prev).drop("_prev")
 
 
 def delta(
@@ -197,15 +179,15 @@ def delta(
     ts: str = "ts_s",
     seq: str = "seq",
     out: str = "delta",
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Difference to the previous readable value, 2 places; first 0.0; may be negative."""
     v = F.col(value).cast("double")
-    prev = previous(df, {"v": v}, series, v.isNotNull(), ts, seq, out="_prev", **split)
+    prev = previous(df, {"v": v}, series, v.isNotNull(), ts, seq, out="_prev", ranges=ranges)
     change = F.when(v.isNotNull() & F.col("_prev").isNull(), F.lit(0.0)).otherwise(
         fixed(v - F.col("_prev.v"))
     )
-    return drop_chunks(prev.withColumn(out, change)).drop("_prev")
+    return drop_ranges(prev.withColumn(out, change)).drop("_prev")
 
 
 def prev_value(
@@ -215,13 +197,13 @@ def prev_value(
     ts: str = "ts_s",
     seq: str = "seq",
     out: str = "prev_value",
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Value of the previous row, whatever it is; 0.0 for the first row."""
     v = F.col(value).cast("double")
-    prev = previous(df, {"v": v}, series, None, ts, seq, out="_prev", **split)
+    prev = previous(df, {"v": v}, series, None, ts, seq, out="_prev", ranges=ranges)
     last = F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(F.col("_prev.v"))
-    return drop_chunks(prev.withColumn(out, last)).drop("_prev")
+    return drop_ranges(prev.withColumn(out, last)).drop("_prev")
 
 
 def derive_styles(
@@ -233,7 +215,7 @@ def derive_styles(
     ts: str = "ts_s",
     seq: str = "seq",
     reset_value: float = 1.0,
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Rates and deltas of a mixed table in one pass; `value` becomes the derived value.
 
@@ -245,7 +227,7 @@ def derive_styles(
     c, v = F.col(counter), F.col(value).cast("double")
     ok = F.col(ts).isNotNull() & F.when(is_rate, c.isNotNull()).otherwise(v.isNotNull())
     prev = previous(
-        df, {"c": c, "v": v}, [*series, style], ok, ts, seq, first_of_second=is_rate, out="_prev", **split
+        df, {"c": c, "v": v}, [*series, style], ok, ts, seq, first_of_second=is_rate, out="_prev", ranges=ranges
     )
     dt = F.col(ts) - F.col("_prev.ts")
     rate = F.when(dt > 0, _rate(F.try_subtract(c, F.col("_prev.c")), dt, reset_value))
@@ -259,7 +241,7 @@ def derive_styles(
         ok,
         F.when(F.col("_prev").isNull(), F.lit(0.0)).when(is_rate, rate).otherwise(change),
     )
-    return drop_chunks(prev.withColumn(value, derived)).drop("_prev")
+    return drop_ranges(prev.withColumn(value, derived)).drop("_prev")
 
 
 def delta_ratio(
@@ -272,7 +254,7 @@ def delta_ratio(
     out: str = "delta_ratio",
     gated: bool = True,
     factor: Column | float = 1.0,
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Growth of `num` over growth of `den` since the previous row, 2 places.
 
@@ -280,7 +262,7 @@ def delta_ratio(
     Ungated: scaled by `factor`, NULL when `den` did not move.
     """
     n, d = F.col(num).cast("double"), F.col(den).cast("double")
-    prev = previous(df, {"n": n, "d": d}, series, None, ts, seq, out="_prev", **split)
+    prev = previous(df, {"n": n, "d": d}, series, None, ts, seq, out="_prev", ranges=ranges)
     first = F.col("_prev").isNull()
     dn = n - F.when(first, F.lit(0.0)).otherwise(F.col("_prev.n"))
     dd = d - F.when(first, F.lit(0.0)).otherwise(F.col("_prev.d"))
@@ -288,7 +270,7 @@ def delta_ratio(
         value = F.when((dn > 0) & (dd > 0), fixed(ratio(dn, dd))).otherwise(F.lit(0.0))
     else:
         value = fixed(ratio(dn, dd) * factor)
-    return drop_chunks(prev.withColumn(out, value)).drop("_prev")
+    return drop_ranges(prev.withColumn(out, value)).drop("_prev")
 
 
 def delta_share(
@@ -300,7 +282,7 @@ def delta_share(
     ts: str = "ts_s",
     seq: str = "seq",
     suffix: str = "_pct",
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Share of each part's growth in the growth of the total, in percent.
 
@@ -318,7 +300,7 @@ def delta_share(
     rows = df.withColumn("_total", added(total_parts)).withColumn("load", added(load_parts))
     stage = previous(
         rows, {"v": F.col("_total")}, series, F.col("_total").isNotNull(), ts, seq,
-        out="_prev", **split,
+        out="_prev", ranges=ranges,
     )
     moved = (
         stage.withColumn("_moved", fixed(F.col("_total") - F.col("_prev.v")))
@@ -335,7 +317,7 @@ def delta_share(
             fixed(F.col(p).cast("double") - F.col(f"_prev.p{i}"))
         )
         stage = stage.withColumn(p + suffix, ratio(grown, F.col("_moved")) * 100 + F.lit(0.0))
-    return drop_chunks(stage).drop("_prev", "_total", "_moved", "load")
+    return drop_ranges(stage).drop("_prev", "_total", "_moved", "load")
 
 
 def changed(
@@ -344,20 +326,20 @@ def changed(
     series: Sequence[str],
     ts: str = "ts_s",
     seq: str = "seq",
-    keep_chunks: bool = False,
-    **split,
+    keep_ranges: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Rows in which any of `cols` grew since the previous row (0 before the first)."""
     stage = previous(
         df, {f"g{i}": F.col(c).cast("double") for i, c in enumerate(cols)}, series, None,
-        ts, seq, out="_prev", **split,
+        ts, seq, out="_prev", ranges=ranges,
     )
     grew = F.lit(False)
     for i, c in enumerate(cols):
         before = F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(F.col(f"_prev.g{i}"))
         grew = grew | F.coalesce(F.col(c).cast("double") > before, F.lit(False))
     stage = stage.filter(grew).drop("_prev")
-    return stage if keep_chunks else drop_chunks(stage)
+    return stage if keep_ranges else drop_ranges(stage)
 
 
 def changed_rate(
@@ -366,10 +348,10 @@ def changed_rate(
     series: Sequence[str],
     ts: str = "ts_s",
     seq: str = "seq",
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Change gate, then rates over the rows that passed, so a rate spans the idle gap."""
-    gated = changed(df, list(values), series, ts, seq, keep_chunks=True, **split)
+    gated = changed(df, list(values), series, ts, seq, keep_ranges=True, ranges=ranges)
     return counter_rate(gated, values, series, ts, seq)
 
 
@@ -381,12 +363,12 @@ def rate_of_sum(
     ts: str = "ts_s",
     seq: str = "seq",
     out: str = "rate",
-    **split,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Sum over the dropped labels per scrape, then the rate of the sum, truncated."""
     summed = sum_over(df, [*keys, ts], value, out="_sum", extra=[F.min(seq).alias(seq)])
     summed = summed.withColumn("_sum", F.col("_sum").cast("bigint"))
-    rated = counter_rate(summed, {"_sum": "_rate"}, series, ts, seq, **split)
+    rated = counter_rate(summed, {"_sum": "_rate"}, series, ts, seq, ranges=ranges)
     return (
         rated.withColumn(out, post_rate(F.col("_rate"), "int"))
         .withColumnRenamed("_sum", "total")
@@ -395,25 +377,24 @@ def rate_of_sum(
 
 
 def rank_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, out: str = "rank", block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, out: str = "rank", ranges: int | None = None
 ) -> DataFrame:
-    """Row number per key along the integer `order`, without sorting a key in one task.
+    """Row number per key along `order` (and a full order of rows), without sorting a key in one task.
 
-    Rows are numbered inside blocks of `order`; the row counts of the blocks
-    before are added.
+    Rows are numbered inside the ranges of `in_ranges`; the row counts of the ranges
+    before, at most one per range and key, are added.
     """
-    part = series_struct(df, keys) if keys else F.struct(F.lit(1).alias("all"))
-    rows = df.withColumn("_key", part).withColumn("_block", F.floor(F.col(order) / block))
-    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = in_ranges(df, keys, [order], ranges)
+    before = Window.partitionBy("_hash", "_series").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy("_key", "_block")
+        rows.groupBy(*_KEYS)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_key", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(*_KEYS, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy("_key", "_block").orderBy(order)
-    return (
+    inside = Window.partitionBy(*_KEYS).orderBy(order, "_tie")
+    numbered = (
         rows.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, ["_key", "_block"])
+        .join(offsets, _KEYS)
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_key", "_block", "_local", "_offset")
     )
+    return drop_ranges(numbered).drop("_local", "_offset")

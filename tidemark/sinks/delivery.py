@@ -36,20 +36,19 @@ def route_outcomes(
     """
     joined = batches.join(outcomes, "batch_id", "left")
     code = F.col("code")
-    routed = joined.withColumn(
-        "route",
-        F.when(code.isin(*DONE_CODES), "done").when(code.isin(*REFUSED_CODES), "refused").otherwise("retry"),
-    )
-    retry = rank_in_order(routed.filter(F.col("route") == "retry"), keys, "seq", "_rank")
+    route = F.when(code.isin(*DONE_CODES), "done").when(code.isin(*REFUSED_CODES), "refused").otherwise("retry")
+    # Ranked with a flag in one pass; the ranks of the other routes are not used.
+    routed = joined.withColumn("route", route).withColumn("_retry", F.col("route") == "retry")
+    routed = rank_in_order(routed, [*keys, "_retry"], "seq", "_rank")
     if isinstance(cached_before, DataFrame):
         held = cached_before.select(*[F.col(k).alias(f"_held_{k}") for k in keys], F.col("cached").alias("_held"))
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys])
-        retry = retry.join(held, same, "left").drop(*[f"_held_{k}" for k in keys])
+        routed = routed.join(held, same, "left").drop(*[f"_held_{k}" for k in keys])
     else:
-        retry = retry.withColumn("_held", F.lit(cached_before))
+        routed = routed.withColumn("_held", F.lit(cached_before))
     fits = F.col("_rank") + F.coalesce("_held", F.lit(0)) <= max_cache + 1
-    retry = retry.withColumn("route", F.when(fits, "cached").otherwise("overflow")).drop("_rank", "_held")
-    return routed.filter(F.col("route") != "retry").unionByName(retry)
+    kept = F.when(~F.col("_retry"), F.col("route")).when(fits, "cached").otherwise("overflow")
+    return routed.withColumn("route", kept).drop("_retry", "_rank", "_held")
 
 
 def write_routes(routed: DataFrame, path: str, mode: str = "append") -> None:

@@ -9,22 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.aggregates import latest_snapshot
+from tidemark.shared import checkpoint_root
 from tidemark.streaming.derive import STATE_STORE
 
 # Fixed value: the shipped collection period.
 CYCLE = "20 seconds"
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names; `fallback` only in local mode, where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    local = spark.sparkContext.master.startswith("local")
-    root = named or (fallback if local else None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return root.rstrip("/")
-
-
 def start(
     stream: DataFrame,
     sink: Callable[[DataFrame, int], None],
