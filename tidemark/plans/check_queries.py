@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import checks
-from tidemark.plans.tables import cents, epoch_seconds, event_counters, table
-from tidemark.plans.window_queries import RATE_SQL
+from tidemark.functions.numbers import fixed
+from tidemark.plans.tables import cents, epoch_seconds, event_counters, event_samples, table
+from tidemark.plans.window_queries import ORACLE as WINDOW_ORACLE
+from tidemark.plans.window_queries import RATE_SQL, customer_days, user_parts
+from tidemark.shared import local_folder
 from tidemark.sources.scrapes import read_scrapes, write_scrapes
 from tidemark.streaming import cycle
 from tidemark.streaming.derive import stateful
@@ -60,7 +64,7 @@ def enabled_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names."""
-    return f"{cycle.checkpoint_root(spark, '/tmp/tidemark')}/{name}-{uuid.uuid4().hex}"
+    return f"{cycle.checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
 
 
 def landed_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,24 +75,90 @@ def landed_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("host", "source", "scrape_id", "ts_s")
 
 
+SLICES = 3
+
+
+def _landed_in_slices(batch: DataFrame, path: str, run: Callable[[DataFrame], None]) -> None:
+    """Land `batch` in time slices and run the stream after each, so that its state is read back.
+
+    Every slice is a run of its own with the same checkpoint: what came before it is known
+    to the stream by its state alone.
+    """
+    spark = batch.sparkSession
+    first, last = batch.agg(F.min("ts_s"), F.max("ts_s")).first()
+    step = ((last or 0) - (first or 0)) // SLICES + 1
+    at = F.least(F.floor((F.col("ts_s") - F.lit(first or 0)) / step), F.lit(SLICES - 1))
+    for i in range(SLICES):
+        batch.filter(at == i).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(batch.schema).parquet(f"{path}/in"))
+
+
+def _streamed(spark: SparkSession, batch: DataFrame, kind: str, values, series: tuple[str, ...], name: str) -> DataFrame:
+    path = _scratch(spark, name)
+    label = path.rsplit("/", 1)[1]
+
+    def run(stream: DataFrame) -> None:
+        derived = stateful(stream, kind, values, series)
+        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+
+    _landed_in_slices(batch, path, run)
+    return spark.read.parquet(f"{path}/out")
+
+
 def stream_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter rates by keyed streaming state; the same result as the batch windows."""
-    path = _scratch(spark, "stream-rate")
     batch = event_counters(spark, sf_dir).select("host", "name", "ts_s", "seq", "total")
-    batch.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{path}/in")
-    rated = stateful(stream, "rate", {"total": "rate"}, ("host", "name"))
-    cycle.start(rated, cycle.table_sink(f"{path}/out"), path.rsplit("/", 1)[1], None, "/tmp/tidemark").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("host", "name", "ts_s", "seq", "total", "rate")
+    out = _streamed(spark, batch, "rate", {"total": "rate"}, ("host", "name"), "stream-rate")
+    return out.select("host", "name", "ts_s", "seq", "total", "rate")
+
+
+def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences to the previous readable value, over micro-batches."""
+    batch = event_samples(spark, sf_dir).select("host", "name", "ts_s", "seq", "value")
+    out = _streamed(spark, batch, "delta", {"value": "delta"}, ("host", "name"), "stream-delta")
+    return out.select("host", "name", "ts_s", "seq", "delta")
+
+
+def stream_prev_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous value, over micro-batches."""
+    batch = event_samples(spark, sf_dir).select("host", "name", "ts_s", "seq", "value")
+    out = _streamed(spark, batch, "prev", {"value": "prev_value"}, ("host", "name"), "stream-prev")
+    return out.select("host", "name", "ts_s", "seq", "prev_value")
+
+
+def stream_delta_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated growth ratios, over micro-batches."""
+    batch = customer_days(spark, sf_dir)
+    out = _streamed(spark, batch, "ratio", ["spent", "seq", "delta_ratio"], ("host",), "stream-ratio")
+    return out.select("host", "ts_s", "delta_ratio")
+
+
+def stream_delta_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the growth of a total, over micro-batches."""
+    load = F.col("click") + F.col("view") + F.col("error")
+    batch = user_parts(spark, sf_dir).withColumns({"load": load, "total": load + F.col("signup")})
+    parts = ["load", "click", "view", "error", "signup", "purchase"]
+    out = _streamed(spark, batch, "share", ["total", *parts], ("host",), "stream-share")
+    return out.select("host", "ts_s", *[fixed(F.col(f"{p}_pct")).alias(f"{p}_pct") for p in parts])
+
+
+def stream_changed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change gate and rates over the rows that passed, over micro-batches."""
+    rates = {"click": "click_rate", "view": "view_rate"}
+    out = _streamed(spark, user_parts(spark, sf_dir), "changed_rate", rates, ("host",), "stream-changed")
+    return out.select("host", "ts_s", "click_rate", "view_rate")
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest scrape of every host, maintained by a stream."""
+    """The newest scrape of every host, maintained by a stream over micro-batches."""
     path = _scratch(spark, "stream-latest")
-    _event_scrapes(spark, sf_dir).select("host", "source", "scrape_id", "ts_s").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("host STRING, source STRING, scrape_id STRING, ts_s BIGINT").parquet(f"{path}/in")
-    cycle.maintain_latest(stream, f"{path}/out", path.rsplit("/", 1)[1], None, "/tmp/tidemark").awaitTermination()
-    return cycle.read_latest(spark, f"{path}/out")
+    label = path.rsplit("/", 1)[1]
+
+    def run(stream: DataFrame) -> None:
+        cycle.maintain_latest(stream, f"{path}/latest", label, None, local_folder()).awaitTermination()
+
+    _landed_in_slices(_event_scrapes(spark, sf_dir).select("host", "source", "scrape_id", "ts_s"), path, run)
+    return cycle.read_latest(spark, f"{path}/latest")
 
 
 QUERIES = {
@@ -96,6 +166,11 @@ QUERIES = {
     "enabled_recipes": enabled_recipes,
     "landed_scrapes": landed_scrapes,
     "stream_counter_rate": stream_counter_rate,
+    "stream_delta": stream_delta,
+    "stream_prev_value": stream_prev_value,
+    "stream_delta_ratio": stream_delta_ratio,
+    "stream_delta_share": stream_delta_share,
+    "stream_changed_rate": stream_changed_rate,
     "stream_latest": stream_latest,
 }
 
@@ -123,6 +198,8 @@ SELECT 'h' || user_id AS host, 'redis' AS source, CAST(event_id AS VARCHAR) AS s
        CAST(floor(epoch(ts)) AS BIGINT) AS ts_s FROM events WHERE floor(epoch(ts)) >= 1705000000
 """,
     "stream_counter_rate": RATE_SQL.format(tick=1),
+    # The batch queries' SQL: a stream over slices has to give the same rows.
+    **{f"stream_{k}": WINDOW_ORACLE[k] for k in ("delta", "prev_value", "delta_ratio", "delta_share", "changed_rate")},
     "stream_latest": """
 WITH n AS (SELECT 'h' || user_id AS host, CAST(event_id AS VARCHAR) AS scrape_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s
            FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) DESC, CAST(event_id AS VARCHAR) DESC) = 1)

@@ -70,7 +70,7 @@ def prev_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host", "name", "ts_s", "seq", "prev_value")
 
 
-def _customer_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per customer and day: spent cents and count, as wide gauges."""
     orders = table(spark, sf_dir, "orders")
     day = (F.floor(epoch_seconds(orders, "o_orderdate") / DAY) * DAY).alias("ts_s")
@@ -90,20 +90,20 @@ c AS (SELECT o_custkey AS host, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT
 
 
 def delta_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = w.delta_ratio(_customer_days(spark, sf_dir), "spent", "seq", ("host",))
+    out = w.delta_ratio(customer_days(spark, sf_dir), "spent", "seq", ("host",))
     return out.select("host", "ts_s", "delta_ratio")
 
 
 def delta_ratio_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container CPU form: growth ratio scaled by the number of CPUs and 100."""
     out = w.delta_ratio(
-        _customer_days(spark, sf_dir), "spent", "ts_s", ("host",), gated=False,
+        customer_days(spark, sf_dir), "spent", "ts_s", ("host",), gated=False,
         factor=F.col("orders") * 100.0,
     )
     return out.select("host", "ts_s", "delta_ratio")
 
 
-def _user_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event counts per user and day, one column per type: the shape of CPU times."""
     ev = table(spark, sf_dir, "events")
     types = ("click", "view", "error", "signup", "purchase")
@@ -116,7 +116,7 @@ def _user_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delta_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = w.delta_share(
-        _user_parts(spark, sf_dir),
+        user_parts(spark, sf_dir),
         parts=("click", "view", "error", "signup", "purchase"),
         total_parts=("click", "view", "error", "signup"),
         load_parts=("click", "view", "error"),
@@ -128,7 +128,7 @@ def delta_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two counters gated together, rated over the rows that passed."""
-    wide = _user_parts(spark, sf_dir)
+    wide = user_parts(spark, sf_dir)
     out = w.changed_rate(wide, {"click": "click_rate", "view": "view_rate"}, ("host",))
     return out.select("host", "ts_s", "click_rate", "view_rate")
 

@@ -57,11 +57,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Version numbers below `path`, newest first, complete or not."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted((int(n.split("=", 1)[1]) for n in names if n.startswith("version=")), reverse=True)
+
+
+def _retire(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the versions before the one that `before` was made from."""
+    for version in [v for v in _versions(spark, path) if v < before][1:]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Sink that keeps the newest scrape of every host as a table of versions.
 
     Version n is version n - 1 with the batch folded in; the newest complete
-    version is the table (`read_latest`). A repeated batch rewrites its version.
+    version is the table (`read_latest`). A repeated batch rewrites its version from the
+    one before it; older ones are removed.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -69,6 +87,7 @@ def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
         known = read_latest(spark, path, before=batch_id)
         rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
         latest_snapshot(rows).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        _retire(spark, path, batch_id)
 
     return fold
 
@@ -78,18 +97,10 @@ def read_latest(spark: SparkSession, path: str, before: int | None = None) -> Da
 
     Only complete versions (with a success marker) count.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    versions = [
-        int(name.split("=", 1)[1])
-        for name in (s.getPath().getName() for s in fs.listStatus(root))
-        if name.startswith("version=") and _exists(spark, f"{path}/{name}/_SUCCESS")
-    ]
-    if before is not None:
-        versions = [v for v in versions if v < before]
-    return spark.read.parquet(f"{path}/version={max(versions)}") if versions else None
+    for version in _versions(spark, path):
+        if (before is None or version < before) and _exists(spark, f"{path}/version={version}/_SUCCESS"):
+            return spark.read.parquet(f"{path}/version={version}")
+    return None
 
 
 def maintain_latest(
