@@ -166,6 +166,25 @@ def test_lines_keep_the_first_of_each_class(spark):
     assert lines.near_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    short = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(150)]
+    short += ["Released under the MIT License.", "Released under the MIT Licence", "All rights reserved.", "All rights reserved.", "ab", "ab", "ad"]
+    rows = [(i, f"\n {'' if i % 2 else chr(9)}\n{t}") for i, t in enumerate(short)]
+    linked = [(i, k) for i, a in enumerate(short) for k, b in enumerate(short[:i]) if a == b or (min(len(a), len(b)) > 2 and edits(a, b) <= 2)]
+    low = smallest_reachable(range(len(short)), linked)
+    got = lines.near_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()
+    assert {(r["doc_id"], r["line_no"]): r["class_doc"] for r in got} == {(i, 2): c for i, c in low.items()}
+
+
+def test_line_query_and_pipeline_take_every_length(spark, docs, texts):
+    want = {(d, i) for d, t in texts.items() for i, line in enumerate((t or "").split("\n")) if line.strip()}
+    got = {(r["doc_id"], r["line_no"]): r for r in queries.op8_line_dedup(spark, SF).collect()}
+    assert set(got) == want and any(r["n_chars"] < 32 and not r["kept"] for r in got.values())
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()
+    assert sum(bool(x.strip()) for r in left for x in (r["text"] or "").split("\n")) == sum(r["kept"] for r in got.values())
+
+
 def test_packing_round_trip(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 

@@ -19,7 +19,8 @@ def segment_keys(line: str, n: str, edits: int) -> Column:
     A line of l characters is split into `edits` + 1 segments, the last l mod (edits + 1)
     of them a character longer. For every partner length from l - `edits` to l and every
     segment, the key holds the substrings whose place fits both the edits spent before the
-    segment and those left after it; equal (segment, start, length) count once.
+    segment and those left after it; equal (segment, start, length) count once. Lines of at
+    most `edits` characters have no keys: one of their segments would be empty.
     """
     parts = edits + 1
     spans: list[str] = []
@@ -34,7 +35,8 @@ def segment_keys(line: str, n: str, edits: int) -> Column:
                 spans.append(f"named_struct('i', {i}, 's', {start} + {shift}, 'n', {size})")
     distinct = f"array_distinct(array({', '.join(spans)}))"
     key = f"x -> xxhash64(x.i, x.n, substring({line}, x.s + 1, x.n))"
-    return F.expr(f"array_distinct(transform(filter({distinct}, x -> x.s >= 0 and x.s + x.n <= {n}), {key}))")
+    keys = f"array_distinct(transform(filter({distinct}, x -> x.s >= 0 and x.n > 0 and x.s + x.n <= {n}), {key}))"
+    return F.expr(f"if({n} > {edits}, {keys}, cast(array() as array<bigint>))")
 
 
 def within_edits(a: str, b: str, edits: int) -> Column:
@@ -82,17 +84,18 @@ def within_edits(a: str, b: str, edits: int) -> Column:
 def _occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     lines = rows.select("doc_id", F.xxhash64("_text").alias("_t"), F.posexplode(F.split("_text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("n_chars", F.length("line")).where(F.col("n_chars") >= min_chars)
+    lines = lines.withColumn("n_chars", F.length("line")).where((F.col("n_chars") >= min_chars) & F.col("line").rlike(r"\S"))
     return lines.select("doc_id", "_t", "line_no", "n_chars", F.xxhash64("line").alias("_h1"), F.xxhash64(F.lit(1), "line").alias("_h2"), "line")
 
 
 def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of lines that `edits` single-character edits link, over all documents.
 
-    A row per line of at least `min_chars` characters (shorter ones are no evidence of
-    copying and are left alone): doc_id, line_no (from 0), n_chars, class_doc and class_line
-    (the first line of the class, by doc_id then line_no), kept (it is that line), near (its
-    text differs from that line's), and `_t`, a key of the document's text.
+    A row per line of at least `min_chars` characters that is not blank (1 takes them all,
+    as the query and the pipeline do): doc_id, line_no (from 0), n_chars, class_doc and
+    class_line (the first line of the class, by doc_id then line_no), kept (it is that line),
+    near (its text differs from that line's), and `_t`, a key of the document's text. Lines of
+    at most `edits` characters, of which any two are that near, are linked by equality only.
 
     Lines end at line feeds. Equal lines are one node. A node's segment keys are its
     buckets (`segment_keys`), and `bucket_components` confirms pairs by `within_edits`; counts of
@@ -102,8 +105,8 @@ def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
     class; rows equal in id and text are one document, whose lines have the same result in
     each row; an empty table gives no rows; other columns are ignored.
     """
-    if min_chars <= 2 * edits + 1:
-        raise ValueError("min_chars has to leave every segment a character")
+    if min_chars < 1:
+        raise ValueError("min_chars has to be 1 or more")
     occ = _occurrences(docs, min_chars, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_t", "line_no")
     keyed = occ.select("_h1", "_h2", "n_chars", place.alias("_at"), segment_keys("line", "n_chars", edits).alias("_keys"))

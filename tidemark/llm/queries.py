@@ -74,7 +74,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.near_lines(table(spark, sf_dir, "documents")).drop("_t")
+    return lines.near_lines(table(spark, sf_dir, "documents"), min_chars=1).drop("_t")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
