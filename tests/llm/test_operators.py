@@ -72,6 +72,18 @@ def test_html_blocks_and_boilerplate():
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_bare_text_beside_the_densest_block():
+    one, two, three, items = ("abcd " * 75).strip(), ("efgh " * 75).strip(), ("ijkl " * 75).strip(), ["mnop " * 25] * 10
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    want = [x.strip() for x in items]
+    blocks = html.main_text(f"<body><div>{one}<br><br>{two}{listed}</div></body>").split("\n\n")
+    assert blocks == [f"{one} {two}", *want]
+    page = f"<body>{one} <b>bold</b> end<div>{listed}{two}</div>by <a href=x>me</a><p>x</p>{three}<a href=y>{'q' * 900}</a></body>"
+    assert html.main_text(page).split("\n\n") == [f"{one} bold end", *want, two, three]
+    poem = "<br>".join(["a line of verse of forty letters, or so"] * 60)
+    assert html.main_text(f"<body><div>{poem}{listed}</div></body>").split("\n\n") == [poem.replace("<br>", " "), *want]
+
+
 def test_html_query_keeps_every_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = html.extracted(pages).collect()

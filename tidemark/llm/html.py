@@ -203,20 +203,46 @@ def _stripped(root: Node) -> None:
         x.children = kept
 
 
+def _density(x: Node, share: float) -> float:
+    c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - x.link_chars) * x.link_chars + share * c + math.e)
+    return c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / base
+
+
 def _densities(nodes: list[Node], body: Node) -> None:
     """Composite text density of every node: characters per tag, lowered by links."""
     share = body.link_chars / max(1, body.chars)
     for x in nodes:
-        c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
-        if not c:
-            x.density = 0.0
-            continue
-        base = math.log(c / max(1, c - x.link_chars) * x.link_chars + share * c + math.e)
-        x.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / base
+        x.density = _density(x, share)
     for x in nodes:
         x.total = sum(c.density for c in x.children if isinstance(c, Node))
 
 
+def _grouped(node: Node, on_path: set[int]) -> list[Node | list[Node | str]]:
+    """The children of a node, with runs of strings and inline elements as lists."""
+    out: list[Node | list[Node | str]] = []
+    for c in node.children:
+        if isinstance(c, Node) and (id(c) in on_path or any(x.name in BLOCKS for x in _ordered(c))):
+            out.append(c)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def _block(run: list[Node | str], parent: Node, share: float) -> Node:
+    """A block of a run of strings and inline elements; its line breaks are no tags."""
+    x = Node("div", parent)
+    x.children = run
+    _measured([x])
+    x.tags -= sum(n.name in ("br", "wbr") for c in run if isinstance(c, Node) for n in _ordered(c))
+    x.density = _density(x, share)
+    return x
+
+
 def _text(start: list[Node]) -> list[str]:
     """Blocks of the subtrees in page order."""
     blocks: list[str] = []
@@ -272,17 +298,28 @@ def main_text(source: str | None) -> str:
         return "\n\n".join(_text([body]))
     chosen: list[Node] = []
     on_path = set(map(id, path))
+    share = body.link_chars / max(1, body.chars)
+
+    def dense(c: Node) -> bool:
+        return c.density >= threshold and c.chars > 0 and 2 * c.link_chars < c.chars
+
     todo = [body]
     while todo:
         x = todo.pop()
         if x is best or id(x) not in on_path:
             chosen.append(x)
             continue
-        for c in reversed(x.children):
+        inside: list[Node] = []
+        for c in _grouped(x, on_path):
             if isinstance(c, Node):
-                dense = c.density >= threshold and c.chars and 2 * c.link_chars < c.chars
-                if id(c) in on_path or c.name in HEADINGS or dense:
-                    todo.append(c)
+                if id(c) in on_path or c.name in HEADINGS or dense(c):
+                    inside.append(c)
+                continue
+            # A run that is too thin as a whole may still hold a piece that is not.
+            block = _block(c, x, share)
+            pieces = [block] if dense(block) else [p if isinstance(p, Node) else _block([p], x, share) for p in c]
+            inside += filter(dense, pieces)
+        todo += reversed(inside)
     return "\n\n".join(_text(chosen))
 
 
@@ -300,7 +337,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     its composite text density, a node's sum is that of its children's densities, and the
     node of the largest sum is the article. Inside an `article` or `main` element that
     element is taken; elsewhere also what is as dense as the thinnest node between the
-    article and the body, and the headings on that way. White space in a block is one space.
+    article and the body, and the headings on that way; there a run of strings and inline
+    elements between blocks is a block too. White space in a block is one space.
 
     Null and empty pages give an empty text; a page without text too. Null and repeated ids
     keep their rows; an empty table gives no rows; other columns are ignored.
