@@ -84,6 +84,26 @@ def test_html_bare_text_beside_the_densest_block():
     assert html.main_text(f"<body><div>{poem}{listed}</div></body>").split("\n\n") == [poem.replace("<br>", " "), *want]
 
 
+def test_html_boilerplate_is_no_matter_of_size():
+    text = "A short article that has a single paragraph, and no more than some hundred letters in it."
+    side = "".join(f"<p>Sidebar text {i}, which is long and goes on, and has no links, {'word ' * 60}</p>" for i in range(30))
+    script = f"<script>{'var x = 1; ' * 5000}</script>"
+    for more in ("", script):
+        for name in ("sidebar", "ad", "popup", "cookie-notice", "menu"):
+            page = f"<html><head><title>t</title></head><body>{more}<div id=c><p>{text}</p></div><div class='{name}'>{side}</div></body></html>"
+            assert html.main_text(page) == text
+            assert html.main_text(page.replace("<div id=c>", "<div class=content>")) == text
+        tail = "<p>About</p><div class='cookie-notice'>We use cookies.</div><div>All rights reserved.</div>"
+        for name in ("post search", "widget"):
+            page = f"<body>{more}<div>Home</div><div class='{name}'><h1>T</h1><p>{text}</p><p>{text}</p><div class='share'>Tell your friends</div></div>{tail}</body>"
+            got = html.main_text(page)
+            assert got.count(text) == 2 and "cookies" not in got and "friends" not in got
+        page = f"<body>{more}<article><h1>T</h1><p>Short.</p></article><div class=ad>{side}</div></body>"
+        assert html.main_text(page) == "T\n\nShort."
+        page = f"<body>{more}<div class='post search'><p>{text}</p></div><div class=sidebar>{side}</div></body>"
+        assert html.main_text(page) == text
+
+
 def test_html_query_keeps_every_page(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = html.extracted(pages).collect()

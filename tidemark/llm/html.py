@@ -38,6 +38,10 @@ BOILERPLATE = frozenset(
     "sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
 READERS = frozenset("comment comments commentlist disqus replies reply respond shoutbox".split())
+# Words of class and id that mark an article, whatever else the element is called.
+ARTICLE = frozenset("article content entry hentry main post story text".split())
+# Characters without spaces of a block from which on it counts as prose, on a page of any length.
+PROSE = 60
 KEPT_NAMES = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -180,11 +184,11 @@ def _measured(nodes: list[Node]) -> None:
 def _stripped(root: Node) -> None:
     """Remove what is no article by its name, role, class or state."""
     nodes = _ordered(root)
-    _measured(nodes)
     landmark: dict[int, bool] = {}
     for x in reversed(nodes):
         landmark[id(x)] = x.name in ("article", "main") or any(landmark[id(c)] for c in x.children if isinstance(c, Node))
-    whole = max(1, root.chars)
+    doubtful: set[int] = set()
+    articles: set[int] = set()
     for x in nodes:
         kept: list[Node | str] = []
         for c in x.children:
@@ -193,14 +197,79 @@ def _stripped(root: Node) -> None:
                     continue
                 if c.name == "header" and not any(a.name in ("article", "main") for a in _above(x)):
                     continue
+                if c.name in ("article", "main"):
+                    articles.add(id(c))
                 if c.attributes and c.name not in ("html", "body"):
                     words, roles, hidden = _name_words(c.attributes)
                     if hidden or roles & DROPPED_ROLES or words & READERS:
                         continue
-                    if words & BOILERPLATE and c.name not in KEPT_NAMES and not landmark[id(c)] and 2 * c.chars < whole:
-                        continue
+                    if words & ARTICLE:
+                        articles.add(id(c))
+                    if words & BOILERPLATE and c.name not in KEPT_NAMES and not landmark[id(c)]:
+                        doubtful.add(id(c))
             kept.append(c)
         x.children = kept
+    while doubtful:
+        _judged(root, doubtful, articles)
+
+
+class Part:
+    """What `_judged` knows of a subtree or the rest of the page: its thickest block, whether it has a title and lies in a landmark."""
+
+    __slots__ = ("landmark", "node", "thick", "title")
+
+    def __init__(self, node: Node, landmark: bool = False):
+        self.node, self.landmark, self.thick, self.title = node, landmark, 0, False
+
+
+def _judged(root: Node, doubtful: set[int], articles: set[int]) -> None:
+    """Remove the outermost `doubtful` subtrees, or settle that they stay; those inside come next.
+
+    A block's characters outside links are its thickness, if links do not hold half of it. A
+    subtree goes if the rest of the page holds an article: a block of prose, one at least
+    as thick, or an `article` or `main` element with text that is not around it. If the subtree is also named as an article or has the only title, the prose
+    has to be inside an element named as an article; if another such subtree has prose, that is the article.
+    """
+    rest, named, landmarks = Part(root), Part(root), False
+    parts: list[Part] = []
+    blocks: list[tuple[Part, bool, list[int]]] = []
+    todo: list[tuple[Node, Part, bool, bool, bool, list[int]]] = [(root, rest, False, False, False, [0, 0])]
+    while todo:
+        x, part, inside, landmark, linked, block = todo.pop()
+        if part is rest and id(x) in doubtful:
+            part = Part(x, landmark)
+            parts.append(part)
+            block = [0, 0]
+            blocks.append((part, False, block))
+        inside = inside or id(x) in articles
+        landmark = landmark or x.name in ("article", "main")
+        linked = linked or x.name == "a"
+        part.title = part.title or x.name == "h1"
+        if x.name in BLOCKS or x is root:
+            block = [0, 0]
+            if x.name not in HEADINGS:
+                blocks.append((part, inside, block))
+        for c in x.children:
+            if isinstance(c, Node):
+                todo.append((c, part, inside, landmark, linked, block))
+            else:
+                block[linked] += sum(map(len, c.split()))
+                landmarks = landmarks or (landmark and part is rest and not linked and not c.isspace())
+    for part, inside, (plain, link) in blocks:
+        if plain > link:
+            part.thick = max(part.thick, plain)
+            if part is rest and inside:
+                named.thick = max(named.thick, plain)
+    as_article = {id(p): id(p.node) in articles or (p.title and not rest.title) for p in parts}
+    other = any(as_article[id(p)] and p.thick >= PROSE for p in parts)
+    for p in parts:
+        doubtful.discard(id(p.node))
+        prose = (named if as_article[id(p)] else rest).thick >= PROSE
+        beside = landmarks and not p.landmark and not as_article[id(p)]
+        if prose or beside or rest.thick >= p.thick or (other and not as_article[id(p)]):
+            above = p.node.parent
+            above.children = [c for c in above.children if c is not p.node]
+            doubtful.difference_update(id(x) for x in _ordered(p.node))
 
 
 def _density(x: Node, share: float) -> float:
@@ -333,7 +402,9 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from the whole html.
 
-    Subtrees whose name, role, class or state rules them out go first. Then every node has
+    Subtrees whose name, role, class or state rules them out go first; those named like
+    sidebars or adverts go if the rest of the page still holds an article (`_judged`), whatever
+    the lengths of both and of scripts. Then every node has
     its composite text density, a node's sum is that of its children's densities, and the
     node of the largest sum is the article. Inside an `article` or `main` element that
     element is taken; elsewhere also what is as dense as the thinnest node between the
