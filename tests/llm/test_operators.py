@@ -14,7 +14,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import decontam, html, lattice, lines, minhash, multiindex, packing, quality, queries, sharding, toxicity  # noqa: E402
+from tidemark.llm import decontam, html, labelled, lattice, lines, minhash, multiindex, packing, quality, queries, sharding, toxicity  # noqa: E402
 
 WORDS = "red blue green stone river cloud maple train paper light window garden silver".split()
 LONG = " ".join(WORDS[(i * 7 + i // 5) % len(WORDS)] + str(i % 97) for i in range(4000))
@@ -295,6 +295,20 @@ def test_classifiers_score_every_row(spark, docs, odd, op):
     assert op.scored(odd, bare).count() == 12
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    rows = [(i % 10, f"{prose(i, 2000)} {i}") for i in range(60)] + [(3, None), (77, "unlabelled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    sample = labelled.labelled_sample(docs, labels, "quality", F.lit(True), 100).collect()
+    assert sorted(r["doc_id"] for r in sample) == list(range(10))
+    seen = []
+    monkeypatch.setattr(quality, "trained", lambda bags, y: seen.append([len(b) for b in bags]))
+    quality.fit(docs, labels, F.lit(True))
+    monkeypatch.setattr(quality, "PASSAGES", 100)
+    quality.fit(docs, labels, F.lit(True))
+    assert len(seen[0]) == 10 and sum(seen[0]) > 100 and seen[1] == [min(10, n) for n in seen[0]]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(5)
     net = quality.Network.fresh()

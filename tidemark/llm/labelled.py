@@ -14,6 +14,8 @@ def remainder(id_col: str, divisor: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """About `most` labelled rows at most: doc_id, text, label, and a hash `pick` from 0 to 99.
 
+    An id that several rows have gives one of them, the one whose text has the smallest hash.
+
     The sample is drawn from the label table by a hash of the id, so its size is known
     before any text is read, and the sampled labels are broadcast (16 bytes a row). An id
     with several labels counts as 1 if any of them is. `usable` is over `doc_id`.
@@ -24,4 +26,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     drawn = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)) if share < 1 else known
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pick = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(100)).cast("int")
-    return rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label", pick.alias("pick"))
+    found = rows.join(F.broadcast(drawn), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_one"), F.first("label").alias("label"))
+    return one.select("doc_id", F.col("_one.text").alias("text"), "label", pick.alias("pick"))

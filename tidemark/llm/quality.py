@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import labelled_sample
+from tidemark.llm.shared import kept_table
 
 SAMPLE = 4_000
+PASSAGES = 200_000  # that training takes to the driver at most, 536 bytes each
 PASSAGE = 600  # bytes, up to the next white space
 BINS, SHAPES, HIDDEN, GATE = 128, 6, 32, 16
 WIDTH = BINS + SHAPES
@@ -134,17 +136,35 @@ def trained(bags: list[np.ndarray], labels: np.ndarray) -> Network:
 def _encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [encoded(t.as_py() or "").astype("<f4").tobytes() for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1)], ["bag", "label"])
+        sizes = pa.array([len(b) // (4 * WIDTH) for b in bags], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1), batch.column(2), sizes], ["bag", "label", "doc_id", "n"])
+
+
+def _thinned(most: int):
+    """Bags of more than `most` passages with as many of theirs, evenly spread."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for b in batch.column(0):
+                x = np.frombuffer(b.as_py(), "<f4").reshape(-1, WIDTH)
+                bags.append((x if len(x) <= most else x[np.arange(most) * len(x) // most]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1), batch.column(2)], ["bag", "label", "doc_id"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on about `SAMPLE` labelled rows at most, which `usable` (over `doc_id`) admits.
 
-    Passages are encoded on the executors; training sees the encoded passages of the
-    sampled documents, all of each.
+    Passages are encoded and stored on the executors. Training sees all those of the sampled
+    documents, one row per id; if they are more than `PASSAGES`, an even spread of each
+    document's, so that no more than `PASSAGES` leave for the driver.
     """
     sample = labelled_sample(docs, labels, label, usable, SAMPLE, id_col, text_col)
-    table = sample.select("text", "label").mapInArrow(_encoded_rows, "bag binary, label int").toArrow()
+    bagged = kept_table(sample.select("text", "label", "doc_id").mapInArrow(_encoded_rows, "bag binary, label int, doc_id long, n long"))
+    rows, total = bagged.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    most = PASSAGES if total <= PASSAGES else max(1, PASSAGES // rows)
+    table = bagged.drop("n").mapInArrow(_thinned(most), "bag binary, label int, doc_id long").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b.as_py(), "<f4").reshape(-1, WIDTH) for b in table.column("bag")]
     return trained(bags, table.column("label").to_numpy().astype(float))
 
