@@ -145,6 +145,12 @@ def test_contaminated_matches_brute_force(spark, docs, texts, odd):
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_items_without_an_id_count_in_the_pipeline(spark):
+    docs = spark.createDataFrame([(1, prose(5, 80)), (2, prose(8, 80)), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, prose(5, 40)), (4, None)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.without_items(docs, bench).collect()) == [2, 3]
+
+
 def test_near_documents_match_brute_force(docs, texts, odd):
     own = {d: shingles(t, 3) for d, t in texts.items()}
     ids = sorted(own)

@@ -123,9 +123,14 @@ class Items:
         return int((distinct[np.minimum(pos, len(distinct) - 1)] == s).sum())
 
 
-def item_blocks(bench: DataFrame, n_words: int, block: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with their shingle sets, by blocks of at most `block` shingles (or one item), one block at a time."""
-    rows = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+def item_blocks(bench: DataFrame, n_words: int, block: int, id_col: str, text_col: str, unnamed: bool = False) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items with their shingle sets, by blocks of at most `block` shingles (or one item), one block at a time.
+
+    Items without an id are left out, unless `unnamed`.
+    """
+    rows = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    if not unnamed:
+        rows = rows.where("i is not null")
     held: list[tuple[int, np.ndarray]] = []
     size = 0
     for r in rows.toLocalIterator():
@@ -148,7 +153,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, n_words: int = 5, percent: i
     documents are searched by MinHash, size class by size class (`Items`), and candidates
     are counted exactly against the document's whole shingle set in the same task; no
     document text is shuffled. Items are sent to the tasks by blocks of at most `block`
-    shingles, and each block reads the documents once, so memory does not grow with the benchmark.
+    shingles, and each block reads the documents once, so the memory of a task does not grow
+    with the benchmark; the driver shingles all items and holds all blocks until the job ends.
 
     Null or empty texts on either side match nothing; items without an id are left out;
     documents without one are reported with a null id. Repeated documents and items are
@@ -185,12 +191,12 @@ def without_items(docs: DataFrame, bench: DataFrame, n_words: int = 5, percent:
     """`docs` without the contaminated documents, columns unchanged; null texts stay.
 
     A row is judged by its own text: rows pass through the search one block of items after
-    the other, and those that match an item do not come out.
+    the other, and those that match an item, with an id or without, do not come out.
     """
     spark = docs.sparkSession
     names = docs.columns
     kept = docs
-    for held in item_blocks(bench, n_words, block, item_id_col, item_text_col):
+    for held in item_blocks(bench, n_words, block, item_id_col, item_text_col, unnamed=True):
         sent = spark.sparkContext.broadcast(held)
         row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
         wrapped = kept.select(row.alias("c"), F.col(text_col).alias("text"))
