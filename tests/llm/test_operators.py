@@ -14,7 +14,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import decontam, html, labelled, lattice, lines, minhash, multiindex, packing, quality, queries, sharding, toxicity  # noqa: E402
+from tidemark.llm import decontam, html, labelled, lattice, lines, minhash, multiindex, packing, quality, queries, shared, sharding, toxicity  # noqa: E402
 
 WORDS = "red blue green stone river cloud maple train paper light window garden silver".split()
 LONG = " ".join(WORDS[(i * 7 + i // 5) % len(WORDS)] + str(i % 97) for i in range(4000))
@@ -151,6 +151,18 @@ def test_items_without_an_id_count_in_the_pipeline(spark):
     assert sorted(r["doc_id"] for r in decontam.without_items(docs, bench).collect()) == [2, 3]
 
 
+def test_words_of_any_length_have_one_hash(monkeypatch):
+    blob = b"x" * (5 << 20)
+    assert len(shared.word_hashes(blob)) == 1 and len(shared.word_hashes(b"a " + blob + b"\nb " + blob)) == 4
+    other = blob[: 3 << 20] + b"y" + blob[(3 << 20) + 1 :]
+    assert shared.word_hashes(blob)[0] != shared.word_hashes(other)[0]
+    text = " ".join("w" * n + str(n) for n in (1, 5, 30, 15, 16, 17, 64, 2, 2, 33, 14)).encode() + b" \n end"
+    want = shared.word_hashes(text).tolist()
+    for size in (1, 7, 16, 40):
+        monkeypatch.setattr(shared, "_PIECE", size)
+        assert shared.word_hashes(text).tolist() == want
+
+
 def test_near_documents_match_brute_force(docs, texts, odd):
     own = {d: shingles(t, 3) for d, t in texts.items()}
     ids = sorted(own)

@@ -94,10 +94,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of at most `_PIECE` bytes."""
+def _ready() -> None:
     if not _POWER:
         _POWER["up"], _POWER["down"] = _powers(_BASE), _powers(_INVERSE)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of at most `_PIECE` bytes."""
+    _ready()
     b = np.frombuffer(data, np.uint8)
     word = np.zeros(len(b) + 2, np.int8)
     word[1:-1] = ~_SPACE[b]
@@ -108,11 +112,27 @@ def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((total[ends] - total[starts]) * _POWER["down"][starts]), starts
 
 
+def _long_word(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """Hash and end of the word at `at`: its pieces add up, each shifted by the length before it."""
+    _ready()
+    total, shift = 0, 1
+    while at < len(data):
+        b = np.frombuffer(data, np.uint8, min(_PIECE, len(data) - at), at)
+        space = _SPACE[b]
+        stop = int(space.argmax()) if space.any() else len(b)
+        total += shift * int(np.sum(_BYTE[b[:stop]] * _POWER["up"][:stop], dtype=np.uint64))
+        shift = shift * pow(_BASE, stop, 2**64) % 2**64
+        at += stop
+        if stop < len(b):
+            break
+    return mixed(np.array([total % 2**64], np.uint64)), at
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the words of one text, A-Z lower-cased, in order.
 
-    Works through the text by pieces of a megabyte, cut at white space; a word of more
-    than a megabyte is hashed by the pieces it falls into.
+    Works through the text by pieces of a megabyte, cut at white space; the hash of a word of
+    more than a megabyte is carried over its pieces.
     """
     if len(data) <= _PIECE:
         return _hashed(data)[0]
@@ -123,7 +143,9 @@ def word_hashes(data: bytes) -> np.ndarray:
             while end > at and not _SPACE[data[end - 1]]:
                 end -= 1
             if end == at:
-                end = at + _PIECE
+                word, at = _long_word(data, at)
+                out.append(word)
+                continue
         out.append(_hashed(data[at:end])[0])
         at = end
     return np.concatenate(out)
