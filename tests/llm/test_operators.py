@@ -131,6 +131,14 @@ def test_vectors_match_brute_force(spark):
     assert multiindex.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_and_repeated_ids(spark):
+    a, b = [1.0, 0.5, 0.2, 0.9], [0.3, -1.0, 0.8]
+    rows = [(10, a, 0), (10, a, 0), (11, a, 0), (12, a, 1), (20, b, 0), (21, b, 0), (30, [2.0], 0), (31, [0.5], 0), (32, [-1.0], 0), (40, a[:3], 0)]
+    got = multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(10, 2, 10)] * 2 + [(11, 2, 10), (12, 0, 12), (20, 1, 20), (21, 1, 20), (30, 1, 30), (31, 1, 30), (32, 0, 32), (40, 0, 40)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
 def test_contaminated_matches_brute_force(spark, docs, texts, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r["item_id"]: shingles(r["text"], 5) for r in bench.collect()}

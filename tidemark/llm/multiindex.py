@@ -307,23 +307,37 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     members only where angles leave it open.
 
     Vectors that are null, empty, zero or hold nulls or non-finite values, and those with a
-    null label, link with nothing; so do vectors of another length than the most frequent.
-    Rows without an id are returned and link with nothing; ids are taken as unique. An
-    empty table gives no rows; other columns are ignored.
+    null label, link with nothing. Each length has an index of its own, fitted and searched
+    one after the other. Rows without an id are returned and link with nothing; rows that
+    repeat an id are vectors of their own, with their own links. An empty table gives no rows; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
-    usable = rows.where("id is not null and label is not null and vec is not null and size(vec) > 1")
-    dims_row = usable.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if dims_row is None:
-        return alone
-    dims, total = dims_row["d"], dims_row["n"]
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    rows = kept_table(rows.withColumn("id", F.monotonically_increasing_id()))
+    usable = rows.where("vec_id is not null and label is not null and size(vec) > 0").drop("vec_id")
+    lengths = usable.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    linked = rows.sparkSession.createDataFrame([], "a long, _n long, root long")
+    for length in lengths:
+        # A vector of one number has the angles of that number and a zero.
+        vec = F.col("vec") if length["d"] > 1 else F.concat("vec", F.array(F.lit(0.0)))
+        found = _links(usable.where(F.size("vec") == length["d"]).withColumn("vec", vec), max(2, length["d"]), length["n"], cosine)
+        linked = linked.union(found) if found is not None else linked
+    placed = kept_table(rows.select("vec_id", "id").join(linked, F.col("id") == F.col("a"), "left").withColumn("root", F.coalesce("root", "id")))
+    least = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    out = placed.join(least, "root")
+    return out.select(
+        "vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), "component_id",
+        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
+
+
+def _links(usable: DataFrame, dims: int, total: int, cosine: float) -> DataFrame | None:
+    """(a, _n, root) of the rows (id, label, vec of `dims` numbers) that link with another; None if none can."""
+    spark = usable.sparkSession
     share = min(1.0, SAMPLE / total)
-    drawn = usable.where(F.size("vec") == dims).where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).select("id", "label", "vec").toArrow()
+    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).select("id", "label", "vec").toArrow()
     good, units = _units(drawn.column("vec").combine_chunks())
     if not units:
-        return alone
+        return None
     most = usable.groupBy("label").count().agg(F.max("count")).first()[0]
     words = int(min(64, max(4, 2 ** round(math.log2(math.sqrt(most / 64) + 1)))))
     index = fitted(np.stack(units), drawn.column("label").to_numpy()[good], cosine, words)
@@ -356,9 +370,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     gains = found.where(F.col("kind") == BALL).groupBy(F.col("b").cast("int").alias("_l")).agg(F.sum("n").alias("_g"))
     gained = members.where("leader >= 0").join(F.broadcast(gains), F.col("leader") == F.col("_l")).select(F.col("id").alias("a"), F.col("_g").alias("n"))
     degrees = found.where(F.col("kind") == DEGREE).select("a", "n").union(gained).groupBy("a").agg(F.sum("n").alias("_n"))
-    out = rows.select("id").join(degrees, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("root", "id")
-    return out.select(
-        F.col("id").alias("vec_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
-    )
+    return degrees.join(roots, F.col("a") == F.col("node"), "left").select("a", "_n", "root")
