@@ -18,10 +18,9 @@ SUMMARY_WORDS = ("sum", "count", "process")
 PROXY_RATES = ("requests_by_method_total", "requests_total", "responses_total", "requests_by_version_total")
 PROXY_HISTOGRAMS = ("request_latency_seconds", "response_latency_seconds")
 COTURN_WORDS = (
-    "turn_traffic_sentb", "turn_traffic_peer_sentb", "turn_total_traffic_rcvb",
-    "turn_total_traffic_peer_sentb", "process_open_fds", "turn_total_traffic_sentb", "turn_traffic_rcvp",
-    "turn_traffic_peer_rcvb", "stun_binding_request", "turn_total_traffic_rcvp",
-    "turn_traffic_peer_sentp", "process_virtual_memory_bytes",
+    "turn_traffic_sentb", "turn_traffic_peer_sentb", "turn_total_traffic_rcvb", "turn_total_traffic_peer_sentb",
+    "process_open_fds", "turn_traffic_peer_sentp", "turn_total_traffic_sentb", "turn_traffic_rcvp",
+    "turn_traffic_peer_rcvb", "stun_binding_request", "turn_total_traffic_rcvp", "process_virtual_memory_bytes",
 )
 COTURN_GAUGES = ("process_open_fds", "process_virtual_memory_bytes")
 KUBE_TAGS = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import as_int
 from tidemark.operators.projections import normalise
+from tidemark.operators.resume import SeriesState
 from tidemark.operators.sets import union_samples
 from tidemark.operators.windows import derive_styles
 from tidemark.schema import METRIC_RECIPES
@@ -120,16 +121,17 @@ def apply_listed(samples: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
     }).drop("_r")
 
 
-def derive(samples: DataFrame, ranges: int | None = None) -> DataFrame:
+def derive(samples: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
     """Rates and deltas where the style asks for them; gauges pass without a shuffle.
 
-    The result keeps one row per sample: `value` is the derived value.
+    The result keeps one row per sample: `value` is the derived value. With `resume` the
+    counters go on from an earlier run's.
     """
     stateful = F.col("style").isin(*STATEFUL_STYLES)
     passed = samples.filter(~F.coalesce(stateful, F.lit(False)))
     counter = as_int(F.col("value_raw"), F.col("value_kind"), F.col("value"))
     moving = samples.filter(stateful).withColumn("_counter", counter)
-    derived = derive_styles(moving, "_counter", "value", ("host", "source", "name", "tags"), ranges=ranges)
+    derived = derive_styles(moving, "_counter", "value", ("host", "source", "name", "tags"), ranges=ranges, resume=resume)
     return union_samples(passed, derived.drop("_counter"))
 
 

@@ -73,7 +73,7 @@ LOAD = [Cell("sys_load_1", 0, 0), Cell("sys_load_5", 0, 1), Cell("sys_load_15",
 CONNTRACK = [Cell("conntrack_cur", 0, 0), Cell("conntrack_max", 1, 0)]
 CPU_PARTS = ("cpu_user", "cpu_nice", "cpu_system", "cpu_idle", "cpu_iowait", "cpu_irq", "cpu_softirq")
 
-
+# Socket states by their code, thread counters.
 TCP_STATES = (
     ("01", "established"), ("02", "syn_sent"), ("03", "syn_recv"), ("04", "syn_recv"), ("05", "fin_wait1"),
     ("06", "fin_wait2"), ("07", "time_wait"), ("08", "close"), ("09", "close_wait"), ("0A", "last_ack"),

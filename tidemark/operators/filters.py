@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def allow(df: DataFrame, names: DataFrame | Sequence[str], col: str = "name") -> DataFrame:
     """Exact allow-list: literals, or a dimension with the same column."""
     if isinstance(names, DataFrame):
@@ -58,32 +57,36 @@ def digits_only(col: Column) -> Column:
     return col.rlike("^[0-9]+$")
 
 
-def value_filter(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.filter(predicate)
-
-
-# Block devices that are partitions or not real disks.
-NOT_A_DISK = r"sd[a-z][0-9]|sr[0-9]|p[0-9]|boot|zram"
+# Names of block devices that are no whole disk, by kind.
+NOT_A_DISK = {
+    "partition": r"(?:sd|hd|vd|xvd)[a-z]+\d+",
+    "numbered partition": r"(?:nvme\d+n|mmcblk|md|nbd)\d+p\d+",
+    "boot area": r"mmcblk\d+boot\d+",
+    "optical drive": r"sr\d+",
+    "in memory or a file": r"(?:zram|ram|loop)\d+",
+}
 
 
 def whole_disk(device: Column) -> Column:
-    return ~device.contains("loop") & ~device.rlike(NOT_A_DISK)
+    return ~device.rlike(f"^(?:{'|'.join(NOT_A_DISK.values())})$")
 
 
 def not_loopback(interface: Column) -> Column:
     return ~interface.startswith("lo")
 
 
-def entity_filter(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.filter(predicate)
-
-
 def allow_or_all(
     df: DataFrame, wanted: DataFrame | Sequence[str] | None, col: str
 ) -> DataFrame:
-    """Entity allow-list; an empty or missing list lets everything through."""
+    """Entity allow-list; an empty or missing list lets everything through.
+
+    A list that is a frame is read by the query itself: no job runs while it is built.
+    """
     if wanted is None:
         return df
-    if isinstance(wanted, DataFrame):
-        return df if wanted.isEmpty() else allow(df, wanted, col)
-    return allow(df, wanted, col) if wanted else df
+    if not isinstance(wanted, DataFrame):
+        return allow(df, wanted, col) if wanted else df
+    listed = wanted.select(F.col(wanted.columns[0]).alias("_listed")).filter(F.col("_listed").isNotNull()).distinct()
+    nothing = wanted.agg(F.count(F.lit(1)) == 0).scalar()
+    marked = df.join(listed, F.col(col) == F.col("_listed"), "left")
+    return marked.filter(F.col("_listed").isNotNull() | nothing).drop("_listed")

@@ -11,10 +11,14 @@ for all inputs:
   is carried to the partitions after it: at most as many per series as there are partitions.
 
 The partitions are written to the shared folder, because both steps must see the same cuts.
+
+A derivation may go on from an earlier run: its saved states (`SeriesState`) are carried in
+like those of an earlier range.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +27,13 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numbers import fixed, post_rate, ratio
 from tidemark.operators.aggregates import sum_over
+from tidemark.operators.resume import SeriesState
 from tidemark.schema import SERIES
 from tidemark.shared import stored
 
 _KEYS = ["_part", "_hash", "_series"]
+RANGE_BYTES = 256 << 20
+_UNKNOWN = 1 << 60  # Spark's size of what it knows nothing about
 
 
 def _comparable(field: T.StructField) -> Column:
@@ -50,18 +57,26 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*cols)
 
 
+def _read_bytes(df: DataFrame) -> int:
+    """Size of the tables below the plan, as far as Spark knows it; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < _UNKNOWN)
+
+
 def in_ranges(df: DataFrame, series: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """`df` stored in that many `ranges` of (series, `order`), with `_part`, `_hash`, `_series`, `_tie`.
 
     `_part` grows with the order inside a series. Rows equal in `order` are ordered by `_tie`,
     a hash of the row; exact copies, which nothing tells apart, are spread like other rows.
-    `ranges` is the number of shuffle partitions by default: set that so that a task gets
-    rows / ranges of them. The input is read twice, once for the sampling of the ranges.
+    `ranges` is by default the number of shuffle partitions, or more where the tables that are
+    read need more to stay below `RANGE_BYTES` each. The input is read twice, once for the
+    sampling of the ranges.
     """
     key = series_struct(df, series) if series else F.struct(F.lit(1).alias("all"))
     keyed = df.withColumns({"_series": key, "_tie": _row_hash(df)})
     keyed = keyed.withColumns({"_hash": F.xxhash64("_series"), "_row": F.monotonically_increasing_id()})
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(_read_bytes(df) / RANGE_BYTES))
     ranged = keyed.repartitionByRange(n, "_hash", "_series", *order, "_tie", "_row")
     return stored(ranged.drop("_row").withColumn("_part", F.spark_partition_id()), "ranges")
 
@@ -76,13 +91,15 @@ def previous(
     first_of_second: bool | Column = False,
     out: str = "prev",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Add `out`: ts and payload of the latest earlier accepted row, NULL if none.
 
     With `first_of_second` (which may vary by series), only the first accepted
     row of a second counts and the later ones see it as their predecessor (its
     ts equals their own). Rows are stored in ranges first (`in_ranges`), unless the frame
-    comes from there.
+    comes from there. With `resume`, rows before the first one here are those of earlier runs;
+    a row that comes too late sees the state, whose ts is above its own (`_late`).
     """
     if not set(_KEYS) <= set(df.columns):
         df = in_ranges(df, series, [ts, seq], ranges)
@@ -111,12 +128,14 @@ def previous(
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = (
-        df.groupBy(*_KEYS)
-        .agg(F.max(state).alias("_last"))
-        .select(*_KEYS, F.max("_last").over(earlier).alias("_carry"))
-        .filter(F.col("_carry").isNotNull())
-    )
+    lasts = df.groupBy(*_KEYS).agg(F.max(state).alias("_last"))
+    carry = F.max("_last").over(earlier)
+    if resume:
+        saved = resume.step(lasts.filter(F.col("_last").isNotNull()).groupBy("_hash", "_series").agg(F.max("_last").alias("_state")))
+        if saved is not None:
+            lasts = lasts.join(saved, ["_hash", "_series"], "left")
+            carry = F.greatest(carry, F.col("_state"))
+    carried = lasts.select(*_KEYS, carry.alias("_carry")).filter(F.col("_carry").isNotNull())
     return (
         local.join(carried, _KEYS, "left")
         .withColumn(out, F.greatest("_local", "_carry"))
@@ -124,6 +143,11 @@ def previous(
     )
 
 
+def _late(ts: str, prev: str = "_prev") -> Column:
+    """Whether a row is older than the state that an earlier run left."""
+    return F.coalesce(F.col(f"{prev}.ts") > F.col(ts), F.lit(False))
+
+
 def drop_ranges(df: DataFrame) -> DataFrame:
     return df.drop(*_KEYS, "_tie")
 
@@ -140,6 +164,7 @@ def counter_rate(
     seq: str = "seq",
     reset_value: float = 1.0,
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Per-second rate of counters; `values` maps BIGINT input column to output column.
 
@@ -160,6 +185,7 @@ def counter_rate(
         first_of_second=True,
         out="_prev",
         ranges=ranges,
+        resume=resume,
     )
     dt = F.col(ts) - F.col("_prev.ts")
     accepted = readable & F.col(ts).isNotNull()
@@ -180,12 +206,13 @@ def delta(
     seq: str = "seq",
     out: str = "delta",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Difference to the previous readable value, 2 places; first 0.0; may be negative."""
     v = F.col(value).cast("double")
-    prev = previous(df, {"v": v}, series, v.isNotNull(), ts, seq, out="_prev", ranges=ranges)
-    change = F.when(v.isNotNull() & F.col("_prev").isNull(), F.lit(0.0)).otherwise(
-        fixed(v - F.col("_prev.v"))
+    prev = previous(df, {"v": v}, series, v.isNotNull(), ts, seq, out="_prev", ranges=ranges, resume=resume)
+    change = F.when(v.isNotNull() & F.col("_prev").isNull(), F.lit(0.0)).when(
+        ~_late(ts), fixed(v - F.col("_prev.v"))
     )
     return drop_ranges(prev.withColumn(out, change)).drop("_prev")
 
@@ -198,11 +225,12 @@ def prev_value(
     seq: str = "seq",
     out: str = "prev_value",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Value of the previous row, whatever it is; 0.0 for the first row."""
     v = F.col(value).cast("double")
-    prev = previous(df, {"v": v}, series, None, ts, seq, out="_prev", ranges=ranges)
-    last = F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(F.col("_prev.v"))
+    prev = previous(df, {"v": v}, series, None, ts, seq, out="_prev", ranges=ranges, resume=resume)
+    last = F.when(F.col("_prev").isNull(), F.lit(0.0)).when(~_late(ts), F.col("_prev.v"))
     return drop_ranges(prev.withColumn(out, last)).drop("_prev")
 
 
@@ -216,6 +244,7 @@ def derive_styles(
     seq: str = "seq",
     reset_value: float = 1.0,
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Rates and deltas of a mixed table in one pass; `value` becomes the derived value.
 
@@ -227,7 +256,8 @@ def derive_styles(
     c, v = F.col(counter), F.col(value).cast("double")
     ok = F.col(ts).isNotNull() & F.when(is_rate, c.isNotNull()).otherwise(v.isNotNull())
     prev = previous(
-        df, {"c": c, "v": v}, [*series, style], ok, ts, seq, first_of_second=is_rate, out="_prev", ranges=ranges
+        df, {"c": c, "v": v}, [*series, style], ok, ts, seq, first_of_second=is_rate, out="_prev", ranges=ranges,
+        resume=resume,
     )
     dt = F.col(ts) - F.col("_prev.ts")
     rate = F.when(dt > 0, _rate(F.try_subtract(c, F.col("_prev.c")), dt, reset_value))
@@ -236,7 +266,7 @@ def derive_styles(
         .when(F.col(style) == "rate_tenth", post_rate(rate, "tenth"))
         .otherwise(rate)
     )
-    change = fixed(v - F.col("_prev.v"))
+    change = F.when(~_late(ts), fixed(v - F.col("_prev.v")))
     derived = F.when(
         ok,
         F.when(F.col("_prev").isNull(), F.lit(0.0)).when(is_rate, rate).otherwise(change),
@@ -255,6 +285,7 @@ def delta_ratio(
     gated: bool = True,
     factor: Column | float = 1.0,
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Growth of `num` over growth of `den` since the previous row, 2 places.
 
@@ -262,7 +293,7 @@ def delta_ratio(
     Ungated: scaled by `factor`, NULL when `den` did not move.
     """
     n, d = F.col(num).cast("double"), F.col(den).cast("double")
-    prev = previous(df, {"n": n, "d": d}, series, None, ts, seq, out="_prev", ranges=ranges)
+    prev = previous(df, {"n": n, "d": d}, series, None, ts, seq, out="_prev", ranges=ranges, resume=resume)
     first = F.col("_prev").isNull()
     dn = n - F.when(first, F.lit(0.0)).otherwise(F.col("_prev.n"))
     dd = d - F.when(first, F.lit(0.0)).otherwise(F.col("_prev.d"))
@@ -270,7 +301,7 @@ def delta_ratio(
         value = F.when((dn > 0) & (dd > 0), fixed(ratio(dn, dd))).otherwise(F.lit(0.0))
     else:
         value = fixed(ratio(dn, dd) * factor)
-    return drop_ranges(prev.withColumn(out, value)).drop("_prev")
+    return drop_ranges(prev.withColumn(out, F.when(~_late(ts), value))).drop("_prev")
 
 
 def delta_share(
@@ -283,6 +314,7 @@ def delta_share(
     seq: str = "seq",
     suffix: str = "_pct",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Share of each part's growth in the growth of the total, in percent.
 
@@ -300,17 +332,17 @@ def delta_share(
     rows = df.withColumn("_total", added(total_parts)).withColumn("load", added(load_parts))
     stage = previous(
         rows, {"v": F.col("_total")}, series, F.col("_total").isNotNull(), ts, seq,
-        out="_prev", ranges=ranges,
+        out="_prev", ranges=ranges, resume=resume,
     )
     moved = (
         stage.withColumn("_moved", fixed(F.col("_total") - F.col("_prev.v")))
-        .filter(F.col("_moved") != 0)
+        .filter((F.col("_moved") != 0) & ~_late(ts))
         .drop("_prev")
     )
     names = ["load", *parts]
     stage = previous(
         moved, {f"p{i}": F.col(p).cast("double") for i, p in enumerate(names)}, series, None,
-        ts, seq, out="_prev",
+        ts, seq, out="_prev", resume=resume,
     )
     for i, p in enumerate(names):
         grown = F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(
@@ -328,17 +360,18 @@ def changed(
     seq: str = "seq",
     keep_ranges: bool = False,
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Rows in which any of `cols` grew since the previous row (0 before the first)."""
     stage = previous(
         df, {f"g{i}": F.col(c).cast("double") for i, c in enumerate(cols)}, series, None,
-        ts, seq, out="_prev", ranges=ranges,
+        ts, seq, out="_prev", ranges=ranges, resume=resume,
     )
     grew = F.lit(False)
     for i, c in enumerate(cols):
         before = F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(F.col(f"_prev.g{i}"))
         grew = grew | F.coalesce(F.col(c).cast("double") > before, F.lit(False))
-    stage = stage.filter(grew).drop("_prev")
+    stage = stage.filter(grew & ~_late(ts)).drop("_prev")
     return stage if keep_ranges else drop_ranges(stage)
 
 
@@ -349,10 +382,11 @@ def changed_rate(
     ts: str = "ts_s",
     seq: str = "seq",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Change gate, then rates over the rows that passed, so a rate spans the idle gap."""
-    gated = changed(df, list(values), series, ts, seq, keep_ranges=True, ranges=ranges)
-    return counter_rate(gated, values, series, ts, seq)
+    gated = changed(df, list(values), series, ts, seq, keep_ranges=True, ranges=ranges, resume=resume)
+    return counter_rate(gated, values, series, ts, seq, resume=resume)
 
 
 def rate_of_sum(
@@ -364,11 +398,12 @@ def rate_of_sum(
     seq: str = "seq",
     out: str = "rate",
     ranges: int | None = None,
+    resume: SeriesState | None = None,
 ) -> DataFrame:
     """Sum over the dropped labels per scrape, then the rate of the sum, truncated."""
     summed = sum_over(df, [*keys, ts], value, out="_sum", extra=[F.min(seq).alias(seq)])
     summed = summed.withColumn("_sum", F.col("_sum").cast("bigint"))
-    rated = counter_rate(summed, {"_sum": "_rate"}, series, ts, seq, ranges=ranges)
+    rated = counter_rate(summed, {"_sum": "_rate"}, series, ts, seq, ranges=ranges, resume=resume)
     return (
         rated.withColumn(out, post_rate(F.col("_rate"), "int"))
         .withColumnRenamed("_sum", "total")

@@ -9,10 +9,12 @@ from tidemark.plans import (
     output_queries,
     projection_queries,
     source_queries,
+    stream_queries,
     window_queries,
 )
 
-_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries, output_queries, check_queries)
+_MODULES = (fleet, window_queries, aggregate_queries, projection_queries, source_queries, output_queries, check_queries,
+            stream_queries)
 
 
 def queries() -> dict:

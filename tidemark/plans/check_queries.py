@@ -19,7 +19,7 @@ from tidemark.streaming import cycle
 from tidemark.streaming.derive import stateful
 
 
-def _event_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a key/value page of its user, and as a proxy statistics page."""
     ev = table(spark, sf_dir, "events")
     grown = (F.col("event_id") * 1000 + cents("value")).cast("string")
@@ -45,7 +45,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two kinds of service through their checks: gauges, rates, tags."""
     known = checks.registered()
     out = checks.run_checks(
-        _event_scrapes(spark, sf_dir), [known["redis"], known["haproxy"]], samples_path=_scratch(spark, "samples")
+        event_scrapes(spark, sf_dir), [known["redis"], known["haproxy"]], samples_path=scratch_path(spark, "samples")
     )
     return out.select(
         "host", "scrape_id", "name", F.try_element_at("tags", F.lit("appname")).alias("appname"), "ts_s", "value", "check_type",
@@ -58,19 +58,19 @@ def enabled_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = checks.registered()
     used = [known["redis"], known["haproxy"]]
     recipes = checks.recipe_table(spark, used).withColumn("enabled", F.col("metric") != "redis_keyspace_hits")
-    out = checks.run_checks(_event_scrapes(spark, sf_dir), used, recipes)
+    out = checks.run_checks(event_scrapes(spark, sf_dir), used, recipes)
     return out.select("host", "scrape_id", "name", "value")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names."""
     return f"{cycle.checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
 
 
 def landed_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrapes landed by source and day, then read back for one source from a day on."""
-    path = _scratch(spark, "scrapes")
-    write_scrapes(_event_scrapes(spark, sf_dir), path)
+    path = scratch_path(spark, "scrapes")
+    write_scrapes(event_scrapes(spark, sf_dir), path)
     rows = read_scrapes(spark, path, ["redis"], since=1_705_000_000)
     return rows.select("host", "source", "scrape_id", "ts_s")
 
@@ -78,7 +78,7 @@ def landed_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLICES = 3
 
 
-def _landed_in_slices(batch: DataFrame, path: str, run: Callable[[DataFrame], None]) -> None:
+def landed_in_slices(batch: DataFrame, path: str, run: Callable[[DataFrame], None]) -> None:
     """Land `batch` in time slices and run the stream after each, so that its state is read back.
 
     Every slice is a run of its own with the same checkpoint: what came before it is known
@@ -94,14 +94,14 @@ def _landed_in_slices(batch: DataFrame, path: str, run: Callable[[DataFrame], No
 
 
 def _streamed(spark: SparkSession, batch: DataFrame, kind: str, values, series: tuple[str, ...], name: str) -> DataFrame:
-    path = _scratch(spark, name)
+    path = scratch_path(spark, name)
     label = path.rsplit("/", 1)[1]
 
     def run(stream: DataFrame) -> None:
         derived = stateful(stream, kind, values, series)
         cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
 
-    _landed_in_slices(batch, path, run)
+    landed_in_slices(batch, path, run)
     return spark.read.parquet(f"{path}/out")
 
 
@@ -151,13 +151,13 @@ def stream_changed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest scrape of every host, maintained by a stream over micro-batches."""
-    path = _scratch(spark, "stream-latest")
+    path = scratch_path(spark, "stream-latest")
     label = path.rsplit("/", 1)[1]
 
     def run(stream: DataFrame) -> None:
         cycle.maintain_latest(stream, f"{path}/latest", label, None, local_folder()).awaitTermination()
 
-    _landed_in_slices(_event_scrapes(spark, sf_dir).select("host", "source", "scrape_id", "ts_s"), path, run)
+    landed_in_slices(event_scrapes(spark, sf_dir).select("host", "source", "scrape_id", "ts_s"), path, run)
     return cycle.read_latest(spark, f"{path}/latest")
 
 

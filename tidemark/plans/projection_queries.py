@@ -206,7 +206,7 @@ def value_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = (
         flt.positive(F.col("c_acctbal")) & flt.non_negative(F.col("c_acctbal") - 1000) & flt.digits_only(digits)
     )
-    return flt.value_filter(c, keep).select("c_custkey", "c_acctbal")
+    return c.filter(keep).select("c_custkey", "c_acctbal")
 
 
 def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nic = F.when(kind == 0, "lo").otherwise("eth0")
     df = table(spark, sf_dir, "part").select("p_partkey", device.alias("device"), nic.alias("nic"))
-    return flt.entity_filter(df, flt.whole_disk(F.col("device")) & flt.not_loopback(F.col("nic")))
+    return df.filter(flt.whole_disk(F.col("device")) & flt.not_loopback(F.col("nic")))
 
 
 def allow_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +229,15 @@ def allow_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.union(every)
 
 
+def allow_or_all_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list as a table: the segments with customers in debt, and one that holds nothing."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    debts = table(spark, sf_dir, "customer").filter("c_acctbal < -500").select("c_nationkey")
+    some = flt.allow_or_all(c, debts, "c_nationkey").withColumn("list", F.lit("some"))
+    every = flt.allow_or_all(c, debts.filter("c_nationkey < 0"), "c_nationkey").withColumn("list", F.lit("none"))
+    return some.union(every)
+
+
 def as_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integer reading: text with a fraction fails, a float is truncated."""
     p = table(spark, sf_dir, "part")
@@ -267,6 +276,7 @@ QUERIES = {
     "value_filters": value_filters,
     "entity_filter": entity_filter,
     "allow_or_all": allow_or_all,
+    "allow_or_all_frame": allow_or_all_frame,
     "as_int": as_int,
     "fixed_point": fixed_point,
 }
@@ -368,6 +378,11 @@ SELECT p_partkey, 'nvme0n1' AS device, 'eth0' AS nic FROM part WHERE p_size % 5
     "allow_or_all": """
 SELECT o_orderkey, o_orderstatus, 'some' AS list FROM orders WHERE o_orderstatus IN ('F', 'P')
 UNION ALL SELECT o_orderkey, o_orderstatus, 'none' FROM orders
+""",
+    "allow_or_all_frame": """
+SELECT c_custkey, c_mktsegment, c_nationkey, 'some' AS list FROM customer
+WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -500)
+UNION ALL SELECT c_custkey, c_mktsegment, c_nationkey, 'none' FROM customer
 """,
     "as_int": """
 SELECT p_partkey, CASE WHEN p_size < 25 THEN CAST(trunc(p_retailprice) AS BIGINT) END AS counter FROM part

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
@@ -28,14 +31,34 @@ def local_folder() -> str:
     return _LOCAL["root"]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of `path`."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` below the shared folder and read it back.
 
     Values that depend on how rows were dealt out (partition numbers, row ids) are fixed
-    by it, and lost executors cost no recomputation. The folder belongs to the job and can
-    be removed with it.
+    by it, and lost executors cost no recomputation. The folder belongs to the job; inside
+    `scratch` it is removed at the end, elsewhere it stays.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what `stored` wrote inside, once the block has ended well or badly."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            fs, jvm_path = file_system(spark, path)
+            fs.delete(jvm_path, True)

@@ -32,14 +32,17 @@ def route_outcomes(
     Other codes and transport errors (NULL code, or no outcome at all) are
     cached for retry in `seq` order, per `keys` (the sending host). A batch is
     still cached while at most `max_cache` are; later ones overflow. `cached_before` is what the
-    cache holds already: one number for all, or a frame of `keys` and `cached`.
+    cache holds already: one number for all, or a frame of `keys` and `cached`. Rows that repeat
+    a batch id are one batch and share a rank.
     """
     joined = batches.join(outcomes, "batch_id", "left")
     code = F.col("code")
     route = F.when(code.isin(*DONE_CODES), "done").when(code.isin(*REFUSED_CODES), "refused").otherwise("retry")
-    # Ranked with a flag in one pass; the ranks of the other routes are not used.
-    routed = joined.withColumn("route", route).withColumn("_retry", F.col("route") == "retry")
-    routed = rank_in_order(routed, [*keys, "_retry"], "seq", "_rank")
+    routed = joined.withColumn("route", route)
+    # Only what has to be retried is ranked, and only by its id: bodies are not sorted.
+    retries = routed.filter(F.col("route") == "retry").select("batch_id", "seq", *[k for k in keys if k not in ("batch_id", "seq")])
+    ranked = rank_in_order(retries, keys, "seq", "_rank").groupBy("batch_id").agg(F.min("_rank").alias("_rank"))
+    routed = routed.join(ranked, "batch_id", "left")
     if isinstance(cached_before, DataFrame):
         held = cached_before.select(*[F.col(k).alias(f"_held_{k}") for k in keys], F.col("cached").alias("_held"))
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys])
@@ -47,8 +50,8 @@ def route_outcomes(
     else:
         routed = routed.withColumn("_held", F.lit(cached_before))
     fits = F.col("_rank") + F.coalesce("_held", F.lit(0)) <= max_cache + 1
-    kept = F.when(~F.col("_retry"), F.col("route")).when(fits, "cached").otherwise("overflow")
-    return routed.withColumn("route", kept).drop("_retry", "_rank", "_held")
+    kept = F.when(F.col("route") != "retry", F.col("route")).when(fits, "cached").otherwise("overflow")
+    return routed.withColumn("route", kept).drop("_rank", "_held")
 
 
 def write_routes(routed: DataFrame, path: str, mode: str = "append") -> None:

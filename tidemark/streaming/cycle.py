@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.bucketed import BUCKETS, BucketTable
 from tidemark.operators.aggregates import latest_snapshot
-from tidemark.shared import checkpoint_root
+from tidemark.shared import checkpoint_root, scratch, stored
 from tidemark.streaming.derive import STATE_STORE
 
 # Fixed value: the shipped collection period.
@@ -52,55 +53,28 @@ def table_sink(path: str, partition_by: tuple[str, ...] = ()) -> Callable[[DataF
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def latest_sink(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps the newest scrape of every host as a table, dealt into buckets by host.
 
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Version numbers below `path`, newest first, complete or not."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted((int(n.split("=", 1)[1]) for n in names if n.startswith("version=")), reverse=True)
-
-
-def _retire(spark: SparkSession, path: str, before: int) -> None:
-    """Remove the versions before the one that `before` was made from."""
-    for version in [v for v in _versions(spark, path) if v < before][1:]:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
-def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink that keeps the newest scrape of every host as a table of versions.
-
-    Version n is version n - 1 with the batch folded in; the newest complete
-    version is the table (`read_latest`). A repeated batch rewrites its version from the
-    one before it; older ones are removed.
+    A micro-batch rewrites the buckets of its hosts only and then commits its version; a
+    repeated one starts from the version before it and replaces its own.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_latest(spark, path, before=batch_id)
-        rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
-        latest_snapshot(rows).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        _retire(spark, path, batch_id)
+        with scratch(spark):
+            BucketTable(spark, path, ["host"], buckets).fold(batch_id, stored(batch, "latest"), _newest)
 
     return fold
 
 
-def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The latest-snapshot table, or None before its first version.
+def _newest(known: DataFrame | None, batch: DataFrame) -> DataFrame:
+    return latest_snapshot(batch if known is None else known.unionByName(batch, allowMissingColumns=True))
 
-    Only complete versions (with a success marker) count.
-    """
-    for version in _versions(spark, path):
-        if (before is None or version < before) and _exists(spark, f"{path}/version={version}/_SUCCESS"):
-            return spark.read.parquet(f"{path}/version={version}")
-    return None
+
+def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The latest-snapshot table, or None before its first version."""
+    return BucketTable(spark, path, ["host"]).read(before)
 
 
 def maintain_latest(
