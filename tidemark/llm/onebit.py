@@ -18,7 +18,9 @@ ROUNDS = 5
 SEED_SHARE = 16  # one part in so many is searched first, for a floor of each question
 TILE_ROWS, TILE_ASKS, TILE_NUMBERS = 8_192, 512, 1 << 20
 STEP = 64
-PAIRS = 1 << 15
+PAIRS = 1 << 12
+AHEAD = 4  # so many times k rows of the best estimates are scored first
+DENSE = 1 / 32
 _SLACK = 1e-9
 
 CODES = "centre int, code binary, norm double, along double, inner double"
@@ -210,6 +212,45 @@ def _best(ask: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def _in_reach(q: np.ndarray, x: np.ndarray, near: np.ndarray, width: np.ndarray, barred: np.ndarray, tops: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to score: all of the `k` best in each window are among them.
+
+    The rows of the best estimates are scored first, and the k-th of them raises the floor. Then
+    the rows whose interval reaches into a window are scored without regard to the last digit,
+    pair by pair where they are few and as one product where they are many.
+    """
+    first = min(AHEAD * k, len(x))
+    slack = _SLACK * (1 + np.sqrt((q * q).sum(1)) * math.sqrt((x * x).sum(1).max()))[:, None]
+    reach, spans = np.zeros(near.shape, bool), []
+    for w in range(tops.shape[1]):
+        top, floor = tops[:, w, None].astype(float), floors[:, w, None].astype(float)
+        if len(x) > k:
+            hoped = np.where(barred | ~(near <= top), -np.inf, near)
+            ahead = np.argpartition(hoped, len(x) - first, axis=1)[:, len(x) - first :]
+            score = np.einsum("id,ijd->ij", q, x[ahead])
+            fits = ~np.take_along_axis(barred, ahead, 1) & (score <= top - slack) & (score >= floor)
+            kth = np.partition(np.where(fits, score, -np.inf), first - k, axis=1)[:, first - k]
+            floor = np.maximum(floor, kth[:, None])
+        spans.append((floor - slack, top + slack))
+        # Not-less-than keeps what overflow made undefined.
+        reach |= ~(near + width < spans[-1][0]) & ~(near - width > spans[-1][1])
+    reach &= ~barred
+    if reach.mean() > DENSE:
+        reach &= _in_spans(q @ x.T, spans)
+        return np.nonzero(reach)
+    i, j = np.nonzero(reach)
+    rough = np.concatenate([np.einsum("pd,pd->p", q[i[at : at + PAIRS]], x[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)] or [np.empty(0)])
+    kept = _in_spans(rough, [(low[i, 0], high[i, 0]) for low, high in spans])
+    return i[kept], j[kept]
+
+
+def _in_spans(score: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    inside = np.zeros(score.shape, bool)
+    for low, high in spans:
+        inside |= ~(score < low) & ~(score > high)
+    return inside
+
+
 def _searched(centres, k: int, bits: int, bounds: Bounds, rule: str, whole: bool):
     """One tile: up to `k` rows for each question and each of its windows (floor to top)."""
     number = np.int64 if whole else float
@@ -241,16 +282,7 @@ def _searched(centres, k: int, bits: int, bounds: Bounds, rule: str, whole: bool
                     barred |= label[None] != ask_label[part, None]
                 elif rule == "other":
                     barred |= label[None] == ask_label[part, None]
-                least, most = near - width, near + width
-                open_ = np.zeros(barred.shape, bool)
-                for w in range(tops.shape[1]):
-                    top, floor = tops[part, w, None], floors[part, w].astype(float)
-                    if len(x) > k:
-                        sure = np.where(barred | ~(most <= top) | np.isnan(least), -np.inf, least)
-                        floor = np.maximum(floor, np.partition(sure, len(x) - k, axis=1)[:, len(x) - k])
-                    # Not-less-than keeps what overflow made undefined.
-                    open_ |= ~(most < floor[:, None]) & ~(least > top)
-                i, j = np.nonzero(open_ & ~barred)
+                i, j = _in_reach(q[part], x, near, width, barred, tops[part], floors[part], k)
                 score = _scores(q[part], x, i, j, whole)
                 picked = np.zeros(len(i), bool)
                 for w in range(tops.shape[1]):
