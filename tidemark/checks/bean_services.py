@@ -12,6 +12,7 @@ from tidemark.operators.aggregates import dedup_last
 from tidemark.operators.projections import keep_tags
 from tidemark.sources.base import scrape_columns
 from tidemark.sources.beans import extract_bean_array, extract_bean_map
+from tidemark.sources.opened import PARSED
 
 # Memory fields, thread counts and the attributes of each service.
 HEAP_FIELDS = ("max", "init", "committed", "used")
@@ -202,7 +203,7 @@ def cassandra3(df: DataFrame) -> DataFrame:
     )
 
 
-register("cassandra3", Check("cassandra3", cassandra3, (), "cassandra"))
+register("cassandra3", Check("cassandra3", cassandra3, (), "cassandra", form=PARSED))
 
 for _name, _fn, _recipes, _type in (
     ("hadoop_datanode", bean_rows, HDFS_DATANODE, "hdfs"),
@@ -219,4 +220,4 @@ for _name, _fn, _recipes, _type in (
     ("kafka", bean_map_rows, jvm("kafka_"), "kafka"),
     ("storm_workers", bean_map_rows, jvm("storm_"), "Storm"),
 ):
-    register(_name, Check(_name, _fn, _recipes, _type))
+    register(_name, Check(_name, _fn, _recipes, _type, form=PARSED))

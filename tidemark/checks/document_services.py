@@ -12,8 +12,9 @@ from tidemark.checks.registry import Check, register
 from tidemark.functions.text import replace_chain
 from tidemark.operators.filters import allow_or_all
 from tidemark.operators.sets import union_sources
-from tidemark.sources.base import finish, scrape_columns
+from tidemark.sources.base import document, finish, scrape_columns
 from tidemark.sources.documents import Path, extract_named_arrays, extract_paths, plain_stat_name
+from tidemark.sources.opened import JSON_TEXT, PARSED
 
 # Names read from each service.
 VARNISH_RATES = ("MAIN.sess_conn", "MAIN.client_req", "MAIN.cache_hit", "MAIN.cache_miss", "MAIN.cache_hitpass")
@@ -355,8 +356,7 @@ def couchbase(df: DataFrame) -> DataFrame:
 def rabbitmq_queues(df: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
     """Per-queue values of a list of queues; all of them when none are asked for."""
     rows = extract_paths(
-        df.withColumn("payload", F.concat(F.lit('{"queues":'), F.col("payload"), F.lit("}"))),
-        [Path(f"$.{s}", f"rabbitmq_{s}") for s in RABBIT_QUEUE], each="$.queues", tag="queue", tag_path="$.name",
+        df, [Path(f"$.{s}", f"rabbitmq_{s}") for s in RABBIT_QUEUE], each="$", tag="queue", tag_path="$.name",
     )
     rows = allow_or_all(rows.withColumn("_queue", F.col("tags")["queue"]), list(wanted), "_queue")
     clean = F.regexp_replace("_queue", "[^a-zA-Z0-9]", "_")
@@ -366,7 +366,7 @@ def rabbitmq_queues(df: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
 def janus(df: DataFrame) -> DataFrame:
     """Number of sessions, and of handles per session."""
     keep = scrape_columns(df)
-    doc = F.try_parse_json("payload")
+    doc = document(df)
     sizes = F.create_map(
         F.lit("janus_sessions"), F.size(F.try_variant_get(doc, "$.sessions", "array<variant>")),
         F.lit("janus_handlers"), F.size(F.try_variant_get(doc, "$.handles", "array<variant>")),
@@ -403,4 +403,5 @@ for _name, _fn, _type in (
     ("hashicorp_vault", vault, "vault"),
     ("hashicorp_nomad", nomad, "nomad"),
 ):
-    register(_name, Check(_name, _fn, (), _type))
+    # Arrays of named stats are read by their schema, from the text.
+    register(_name, Check(_name, _fn, (), _type, form=JSON_TEXT if _name.startswith("hashicorp_") else PARSED))

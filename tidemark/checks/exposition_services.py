@@ -12,6 +12,7 @@ from tidemark.operators.aggregates import histogram_quantile, mean_latency, sum_
 from tidemark.operators.filters import any_of
 from tidemark.sources.base import scrape_columns
 from tidemark.sources.exposition import buckets, extract_exposition
+from tidemark.sources.opened import EXPOSITION
 
 # Names and substrings each service is read by.
 SUMMARY_WORDS = ("sum", "count", "process")
@@ -88,8 +89,8 @@ def proxy_latency(df: DataFrame, prefix: str) -> DataFrame:
 def proxy_checks(source: str, prefix: str) -> list[Check]:
     """The two checks of a proxy that exports request counters and latency histograms under a prefix."""
     return [
-        Check(source, partial(proxy_requests, prefix=prefix), (), source),
-        Check(source, partial(proxy_latency, prefix=prefix), (), source),
+        Check(source, partial(proxy_requests, prefix=prefix), (), source, form=EXPOSITION),
+        Check(source, partial(proxy_latency, prefix=prefix), (), source, form=EXPOSITION),
     ]
 
 
@@ -216,7 +217,7 @@ for _name, _source, _fn, _type in (
     ("scylla_gauges", "scylla", scylla_gauges, "scylladb"),
     ("scylla_latency", "scylla", scylla_latency, "scylladb"),
 ):
-    register(_name, Check(_source, _fn, (), _type))
+    register(_name, Check(_source, _fn, (), _type, form=EXPOSITION))
 
 for _name, _check in zip(("proxy_requests", "proxy_latency"), proxy_checks("proxy", "proxy")):
     register(_name, _check)

@@ -14,6 +14,8 @@ from tidemark.operators.resume import SeriesState
 from tidemark.operators.sets import union_samples
 from tidemark.operators.windows import derive_styles
 from tidemark.schema import METRIC_RECIPES
+from tidemark.shared import stored
+from tidemark.sources.opened import LINES, Opened, open_payloads
 
 STATEFUL_STYLES = ("rate", "rate_int", "rate_tenth", "delta")
 
@@ -36,7 +38,8 @@ class Check:
     """An extraction job for the payloads of one source.
 
     With recipes, only listed names pass and take their metric and style. Without,
-    the job names its samples itself and may set `style` (gauge by default).
+    the job names its samples itself and may set `style` (gauge by default). `form` is how
+    the job wants the payloads when they are opened for all checks at once.
     """
 
     source: str
@@ -44,6 +47,7 @@ class Check:
     recipes: Sequence[Recipe] = field(default_factory=tuple)
     check_type: str | None = None
     enabled: bool = True
+    form: str = LINES
 
 
 _CHECKS: dict[str, Check] = {}
@@ -135,42 +139,69 @@ def derive(samples: DataFrame, ranges: int | None = None, resume: SeriesState |
     return union_samples(passed, derived.drop("_counter"))
 
 
-def extract_all(raw: DataFrame, checks: Iterable[Check], recipes: DataFrame | None = None) -> DataFrame:
-    """Samples of all enabled checks; each reads only its own source."""
-    parts = []
-    for check in checks:
-        if not check.enabled:
-            continue
-        rows = raw.filter(F.col("source") == check.source).transform(check.extract)
-        if check.recipes:
-            rows = apply_listed(rows, check.recipes) if recipes is None else apply_recipes(rows, recipes)
-        elif "style" not in rows.columns:
-            rows = rows.withColumn("style", F.lit("gauge"))
-        kind = F.lit(check.check_type).cast("string")
-        rows = rows.withColumn("check_type", kind)
-        for name, type_ in (("chart_type", "string"), ("reaction", "int")):
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast(type_))
-        parts.append(rows)
+def _extracted(check: Check, payloads: DataFrame, recipes: DataFrame | None) -> DataFrame:
+    rows = payloads.transform(check.extract)
+    if check.recipes:
+        rows = apply_listed(rows, check.recipes) if recipes is None else apply_recipes(rows, recipes)
+    elif "style" not in rows.columns:
+        rows = rows.withColumn("style", F.lit("gauge"))
+    rows = rows.withColumn("check_type", F.lit(check.check_type).cast("string"))
+    for name, type_ in (("chart_type", "string"), ("reaction", "int")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(type_))
+    return rows
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
     out = union_samples(*parts).withColumn("reaction", F.coalesce("reaction", F.lit(0)))
     return normalise(out, "unknown")
 
 
+def extract_all(raw: DataFrame, checks: Iterable[Check], recipes: DataFrame | None = None) -> DataFrame:
+    """Samples of all enabled checks; each reads only its own source of a table laid out by source."""
+    return _together([_extracted(c, raw.filter(F.col("source") == c.source), recipes) for c in checks if c.enabled])
+
+
+def open_for(raw: DataFrame, checks: Iterable[Check]) -> Opened:
+    """The payloads of all enabled checks, read and opened once.
+
+    Checks of one source share what was opened; they have to agree on its form.
+    """
+    forms: dict[str, str] = {}
+    for check in checks:
+        if check.enabled and forms.setdefault(check.source, check.form) != check.form:
+            raise ValueError(f"checks of {check.source!r} want its payloads in different forms")
+    return open_payloads(raw, forms)
+
+
+def extract_opened(opened: Opened, checks: Iterable[Check], recipes: DataFrame | None = None) -> DataFrame:
+    """As `extract_all`, from payloads that have been opened."""
+    return _together([_extracted(c, opened.of(c.source, c.form), recipes) for c in checks if c.enabled])
+
+
 def run_checks(
     raw: DataFrame,
     checks: Iterable[Check],
     recipes: DataFrame | None = None,
     samples_path: str | None = None,
     ranges: int | None = None,
+    rejects_path: str | None = None,
 ) -> DataFrame:
     """Raw scrapes to derived samples.
 
-    With `samples_path` (shared storage) the extracted samples are written there
-    first, so that payloads are parsed once; without it the gauges, the derivation and
-    the sampling of its ranges each parse them.
+    `raw` is read by one scan whatever the number of checks, and each payload is parsed once:
+    opened payloads, and then the extracted samples, are stored on the way (below
+    `samples_path` where it is given, on shared storage). Payloads and lines that
+    cannot be used go to `rejects_path` with their reason and position.
     """
-    samples = extract_all(raw, checks, recipes)
+    wanted = list(checks)
+    opened = open_for(raw, wanted)
+    samples = extract_opened(opened, wanted, recipes)
     if samples_path:
         samples.write.mode("overwrite").parquet(samples_path)
-        samples = raw.sparkSession.read.parquet(samples_path)
+        samples = raw.sparkSession.read.schema(samples.schema).parquet(samples_path)
+    else:
+        samples = stored(samples, "samples")
+    if rejects_path:
+        opened.rejects.write.mode("overwrite").parquet(rejects_path)
     return derive(samples, ranges)

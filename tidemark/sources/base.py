@@ -11,11 +11,20 @@ from tidemark.functions.numbers import float_text
 from tidemark.operators.projections import typed_value
 
 PAYLOAD = "payload"
+DOCUMENT = "_doc"  # the payload as a parsed document, once it has been opened
+EXTRACTED = "_extracted"  # marks samples that a page has been turned into already
+SAMPLE_COLUMNS = ("seq", "name", "tags", "value_raw", "value", "value_kind")
 NO_TAGS = "map<string,string>"
 
 
 def scrape_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != PAYLOAD]
+    """Columns that say where a payload or a sample of it comes from."""
+    return [c for c in df.columns if c not in (PAYLOAD, DOCUMENT, EXTRACTED, *SAMPLE_COLUMNS)]
+
+
+def document(df: DataFrame) -> Column:
+    """The payload as a document, parsed here unless it has been (`sources.opened`)."""
+    return F.col(DOCUMENT) if DOCUMENT in df.columns else F.try_parse_json(PAYLOAD)
 
 
 def no_tags() -> Column:

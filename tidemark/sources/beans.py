@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import gc_name
 from tidemark.operators.filters import allow
-from tidemark.sources.base import PAYLOAD, finish_json, json_kind, scrape_columns
+from tidemark.sources.base import document, finish_json, json_kind, scrape_columns
 
 _MAP = "map<string,variant>"
 
@@ -53,7 +53,7 @@ def extract_bean_array(
     on the attribute. Beans of collectors that have run carry the tag `gctype`.
     """
     keep = scrape_columns(df)
-    beans = F.try_variant_get(F.try_parse_json(PAYLOAD), "$.beans", "array<variant>")
+    beans = F.try_variant_get(document(df), "$.beans", "array<variant>")
     rows = df.select(*keep, F.posexplode(beans).alias("_pos", "_bean")).select(
         *keep,
         F.col("_pos").cast("bigint").alias("seq"),
@@ -87,7 +87,7 @@ def extract_bean_map(
     Collector beans carry the tag `gctype` and have 0 for what they lack.
     """
     keep = scrape_columns(df)
-    whole = F.try_variant_get(F.try_parse_json(PAYLOAD), "$.value", _MAP)
+    whole = F.try_variant_get(document(df), "$.value", _MAP)
     rows = df.select(*keep, F.posexplode(whole).alias("_pos", "bean", "_bean"))
     attrs = F.try_variant_get("_bean", "$", _MAP)
     is_bean = F.col("bean").contains(":") & attrs.isNotNull()
@@ -124,7 +124,7 @@ def collector_stats(df: DataFrame) -> DataFrame:
     A missing count or time and a missing last collection give 0.
     """
     keep = scrape_columns(df)
-    beans = F.try_variant_get(F.try_parse_json(PAYLOAD), "$.value", _MAP)
+    beans = F.try_variant_get(document(df), "$.value", _MAP)
     rows = df.select(*keep, F.posexplode(beans).alias("_pos", "bean", "_bean"))
 
     def number(path: str) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.base import PAYLOAD, finish_json, scrape_columns
+from tidemark.sources.base import PAYLOAD, document, finish_json, scrape_columns
 
 _MAP = "map<string,variant>"
 
@@ -37,7 +37,7 @@ def extract_paths(
     the leading children only. `style` is added as a column.
     """
     keep = scrape_columns(df)
-    doc = F.try_parse_json(PAYLOAD)
+    doc = document(df)
     if each is None:
         rows = df.select(*keep, doc.alias("_doc"), F.lit(0).alias("_pos"), F.lit(None).cast("string").alias("_key"))
     else:

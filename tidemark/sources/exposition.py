@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.base import finish, lines, no_tags, scrape_columns
+from tidemark.sources.base import EXTRACTED, finish, lines, no_tags, scrape_columns
 
 # The name and label grammar of the format.
 NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
@@ -42,7 +44,40 @@ def extract_exposition(df: DataFrame) -> DataFrame:
     A line is cut at its first `{` and last `}` with plain string functions;
     patterns only read the label pairs.
     """
+    if EXTRACTED in df.columns:
+        return df.drop(EXTRACTED)
     keep = scrape_columns(df)
+    rows = _cut(df, keep, lambda labelled, line: ~labelled | line.contains("}"))
+    return _samples(rows.filter((F.col("_rest") != "") & F.col("name").rlike(NAME)), keep)
+
+
+def page_lines(df: DataFrame) -> DataFrame:
+    """As `extract_exposition` in one pass with the malformed lines, which have a `_reason`.
+
+    A rejected line has its number as `seq` and its text as `value_raw`. Samples taken from here
+    (`usable_lines`) are passed on by `extract_exposition` as they are.
+    """
+    keep = scrape_columns(df)
+    line = F.col("line")
+    rows = _cut(df, [*keep, "line"], lambda labelled, line: F.lit(True))
+    reason = (
+        F.when(line.contains("{") & ~line.contains("}"), "labels not closed")
+        .when(F.col("_rest") == "", "no value")
+        .when(~F.col("name").rlike(NAME), "bad name")
+    )
+    rows = rows.withColumn("_reason", reason)
+    bad = F.col("_reason").isNotNull()
+    rows = rows.withColumn("_rest", F.when(~bad, F.col("_rest"))).withColumn("_labels", F.when(bad, "").otherwise(F.col("_labels")))
+    out = _samples(rows, [*keep, "_reason", "line"])
+    return out.withColumn("value_raw", F.coalesce("value_raw", "line")).drop("line")
+
+
+def usable_lines(pages: DataFrame) -> DataFrame:
+    return pages.filter(F.col("_reason").isNull()).drop("_reason").withColumn(EXTRACTED, F.lit(True))
+
+
+def _cut(df: DataFrame, keep: list[str], wanted: Callable[[Column, Column], Column]) -> DataFrame:
+    """Name, label text and rest of every wanted line that is no comment."""
     rows = lines(df).filter(~F.ltrim("line").startswith("#"))
     line = F.col("line")
     labelled = line.contains("{")
@@ -53,7 +88,7 @@ def extract_exposition(df: DataFrame) -> DataFrame:
         line, F.length(head) + 2, F.length(line) - F.length(head) - F.length(tail) - 2
     )
     bare_name = F.substring_index(spaced, " ", 1)
-    rows = rows.filter(~labelled | line.contains("}")).select(
+    return rows.filter(wanted(labelled, line)).select(
         *keep,
         "seq",
         F.when(labelled, F.trim(head)).otherwise(bare_name).alias("name"),
@@ -62,7 +97,9 @@ def extract_exposition(df: DataFrame) -> DataFrame:
         .otherwise(F.trim(F.substring(spaced, F.length(bare_name) + 1, F.length(line))))
         .alias("_rest"),
     )
-    rows = rows.filter((F.col("_rest") != "") & F.col("name").rlike(NAME))
+
+
+def _samples(rows: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.select(
         *keep,
         "seq",

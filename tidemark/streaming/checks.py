@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.bucketed import BUCKETS
-from tidemark.checks.registry import Check, derive, extract_all
+from tidemark.checks.registry import Check, derive, extract_opened, open_for
 from tidemark.operators.resume import SeriesState
 from tidemark.shared import scratch, stored
 from tidemark.streaming import cycle
@@ -20,11 +20,12 @@ def checks_sink(checks: Iterable[Check], path: str, recipes: DataFrame | None =
                 ranges: int | None = None, buckets: int = BUCKETS) -> Sink:
     """Sink that runs the checks over each micro-batch of raw scrapes.
 
-    The micro-batch is landed by source (one read of the stream's files, then each check reads
-    its own source), its samples are extracted and stored, and counters go on from the
+    The payloads of the micro-batch are read and opened once, the samples that the checks find
+    there are stored, and counters go on from the
     state that the micro-batch before left in `path/state`: one row per series, of which
     only touched buckets are replaced. Derived samples are written to `path/samples`, a
-    folder per micro-batch, and handed to `then` (encoding, delivery) as read back from there.
+    folder per micro-batch, and handed to `then` (encoding, delivery) as read back from there;
+    what could not be used goes to `path/rejects` in the same way.
 
     The order makes a repeated micro-batch harmless: samples first, then `then`, the state's
     version last. One that failed in between starts from the same state and writes the same
@@ -35,8 +36,9 @@ def checks_sink(checks: Iterable[Check], path: str, recipes: DataFrame | None =
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch(spark):
-            landed = stored(batch, "landed", partition_by=("source",)).select(*batch.columns)
-            samples = stored(extract_all(landed, wanted, recipes), "samples")
+            opened = open_for(batch, wanted)
+            samples = stored(extract_opened(opened, wanted, recipes), "samples")
+            opened.rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
             state = SeriesState(spark, f"{path}/state", batch_id, buckets)
             out = f"{path}/samples/batch={batch_id}"
             derived = derive(samples, ranges, state)
