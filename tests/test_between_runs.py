@@ -133,8 +133,8 @@ def test_a_failed_and_repeated_micro_batch_gives_the_same_tables(spark, scratch)
                     sink(scrapes(spark, rows), i)
                 except RuntimeError:
                     pass
-        out = spark.read.parquet(path + "/samples").select("host", "ts_s", "name", "value")
-        state = BucketTable(spark, path + "/state/step-0", ["_hash", "_series"]).read()
+        out = spark.read.parquet(path + "/rows").select("host", "ts_s", "name", "value")
+        state = BucketTable(spark, path + "/state/styles/step-0", ["_hash", "_series"]).read()
         return pairs(out), pairs(state.select("_series.host", "_series.name", "_state.ts", "_state.c"))
 
     once, repeated = run(scratch + "/once", False), run(scratch + "/twice", True)

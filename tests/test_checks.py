@@ -74,7 +74,73 @@ PAYLOADS = {
     ),
     "memory": (
         "MemTotal:  16 kB\nMemAvailable: 4 kB\nSwapCached: 3 kB\nMemTotal:  32 kB",
-        {("mem_total", ()): 32768.0, ("mem_available", ()): 4096.0},
+        {("mem_total", ()): 32768.0, ("mem_available", ()): 4096.0, ("mem_used_percent", ()): 87.5},
+    ),
+    "load_average": (
+        "0.50 0.40 0.30 1/200 99\ncpu 1 2 3\ncpu0 1 2 3\ncpu1 1 2 3\n",
+        {("sys_load_1", ()): 0.5, ("sys_load_5", ()): 0.4, ("sys_load_15", ()): 0.3},
+    ),
+    "mounts": (
+        "/ 30 60 90\n/var/log 5 5\n/proc 0 0 0",
+        {("drive_bytes_used", (("mountpoint", "rootfs"),)): 30.0, ("drive_bytes_available", (("mountpoint", "rootfs"),)): 60.0,
+         ("drive_percent_used", (("mountpoint", "rootfs"),)): 33.33,
+         ("drive_bytes_used", (("mountpoint", "var_log"),)): 5.0, ("drive_bytes_available", (("mountpoint", "var_log"),)): 5.0,
+         ("drive_bytes_used", (("mountpoint", "proc"),)): 0.0, ("drive_bytes_available", (("mountpoint", "proc"),)): 0.0},
+    ),
+    "disk_bytes": (
+        "sda 512 1 2 100 3 4 5 200 6 7 8 9\nloop0 512 1 2 100 3 4 5 200 6",
+        {("drive_reads", (("drive", "sda"),)): 0.0, ("drive_writes", (("drive", "sda"),)): 0.0},
+    ),
+    "udpconn": ("sl local\n1: a\n2: b\n", {("udp_clients", (("flag", "udp"),)): 3.0}),
+    "cpu": ("cpu 10 0 5 85 0 0 0\ncpu0 10 0 5 85 0 0 0\nintr 1", {}),
+    "activemq": (
+        '{"value":{"java.lang:type=Memory":{"HeapMemoryUsage":{"used":1,"committed":2,"max":3,"init":4}},'
+        '"java.lang:name=ParNew,type=GarbageCollector":{"Name":"ParNew","CollectionCount":3,"CollectionTime":40,"LastGcInfo":{"duration":5}},'
+        '"java.lang:name=ConcurrentMarkSweep,type=GarbageCollector":{"Name":"ConcurrentMarkSweep","CollectionCount":1,"CollectionTime":9,"LastGcInfo":null},'
+        '"java.lang:name=G1 Young Generation,type=GarbageCollector":{"Name":"G1 Young Generation","CollectionCount":8,"CollectionTime":8,"LastGcInfo":null},'
+        '"java.lang:type=Threading":{"ThreadCount":7},"org.apache.activemq:brokerName=b,type=Broker":{"TotalMessageCount":12,"Other":1}}}',
+        {("activemq_heap_used", ()): 1.0, ("activemq_heap_committed", ()): 2.0, ("activemq_heap_max", ()): 3.0, ("activemq_threadcount", ()): 7.0,
+         ("activemq_parnew_lastgcinfo", ()): 5.0, ("activemq_parnew_collectioncount", ()): 3.0, ("activemq_parnew_collectiontime", ()): 0.0,
+         ("activemq_cms_lastgcinfo", ()): 0.0, ("activemq_cms_collectioncount", ()): 1.0, ("activemq_cms_collectiontime", ()): 0.0,
+         ("activemq_totalmessagecount", ()): 12.0},
+    ),
+    "spark_master": (
+        '{"value":{"java.lang:name=G1 Old Generation,type=GarbageCollector":{"Name":"G1 Old Generation","CollectionCount":0,"CollectionTime":0,"LastGcInfo":null},'
+        '"java.lang:name=G1 Young Generation,type=GarbageCollector":{"Name":"G1 Young Generation","CollectionCount":8,"CollectionTime":80,"LastGcInfo":{"duration":3}}}}',
+        {("spark_master_g1_old_lastgcinfo", ()): 0.0, ("spark_master_g1_old_collection_count", ()): 0.0, ("spark_master_g1_old_collectiontime", ()): 0.0,
+         ("spark_master_g1_young_lastgcinfo", ()): 3.0, ("spark_master_g1_young_collection_count", ()): 8.0, ("spark_master_g1_young_collectiontime", ()): 0.0},
+    ),
+    "kafka": (
+        '{"value":{"kafka.server:name=BytesInPerSec,type=BrokerTopicMetrics":{"OneMinuteRate":2.5,"Count":9},'
+        '"kafka.network:name=RequestsPerSec,request=Produce,type=RequestMetrics":{"Count":50},"java.lang:type=Threading":{"ThreadCount":4}}}',
+        {("kafka_bytesinpersec", ()): 2.5, ("kafka_produce", ()): 0.0, ("kafka_threadcount", ()): 4.0},
+    ),
+    "cassandra2": (
+        '{"value":{"org.apache.cassandra.db:type=Caches":{"RowCacheHits":0,"KeyCacheHits":5},'
+        '"org.apache.cassandra.request:type=ReadStage":{"CompletedTasks":7,"PendingTasks":1},'
+        '"org.apache.cassandra.transport:type=Native-Transport-Requests":{"CompletedTasks":3},'
+        '"org.apache.cassandra.metrics:name=PendingTasks,type=Compaction":{"Value":2}}}',
+        {("cassa_keycachehits", ()): 0.0, ("cassa_readstage", ()): 0.0, ("cassa_native_transport_requests", ()): 0.0, ("cassa_pending_compactions", ()): 2.0},
+    ),
+    "elasticsearch_health": (
+        '{"cluster_name":"c","status":"yellow","active_shards":5,"relocating_shards":0,"initializing_shards":1,"unassigned_shards":2}',
+        {("elasticsearch_active_shards", ()): 5.0, ("elasticsearch_relocating_shards", ()): 0.0,
+         ("elasticsearch_initializing_shards", ()): 1.0, ("elasticsearch_unassigned_shards", ()): 2.0},
+    ),
+    "elasticsearch_totals": (
+        '{"_shards":{"total":6},"_all":{"primaries":{"docs":{"count":100}},"total":{"store":{"size_in_bytes":9}}}}',
+        {("elasticsearch_cluster_docs", ()): 100.0, ("elasticsearch_cluster_ingest_rate", ()): 0.0, ("elasticsearch_cluster_shards", ()): 6.0,
+         ("elasticsearch_cluster_storage_usage", ()): 9.0},
+    ),
+    "docker": (
+        '{"name":"/web","cpu_stats":{"cpu_usage":{"total_usage":300,"x":1},"system_cpu_usage":2000,"throttling_data":{"throttled_periods":1,"throttled_time":2}},'
+        '"precpu_stats":{"cpu_usage":{"total_usage":100,"x":1},"system_cpu_usage":1000},"memory_stats":{"usage":7,"stats":{"active_anon":3}},'
+        '"networks":{"eth0":{"rx_bytes":10,"tx_bytes":20,"rx_errors":0,"rx_packets":5}}}',
+        {("docker_master_cpu_usage", (("container", "web"),)): 20.0, ("docker_cpu_throttled_periods", (("container", "web"),)): 1.0,
+         ("docker_cpu_throttled_time", (("container", "web"),)): 2.0, ("docker_mem_cur_usage", (("container", "web"),)): 7.0,
+         ("docker_mem_active_anon", (("container", "web"),)): 3.0, ("docker_bytes_rx_eth0", (("container", "web"),)): 10.0,
+         ("docker_bytes_tx_eth0", (("container", "web"),)): 20.0, ("docker_rx_errors_eth0", (("container", "web"),)): 0.0,
+         ("docker_rx_packets_eth0", (("container", "web"),)): 0.0, ("docker_container_cpu_usage", (("container", "web"),)): 30.0},
     ),
     "haproxy": (
         "# pxname,svname,rate,conn_tot\nweb,BACKEND,4,\nweb,FRONTEND,9,1\n",
@@ -137,13 +203,17 @@ PAYLOADS = {
     "mesos_master": ('{"master/cpus_percent":0.5,"registrar/state_store_ms/p99":2}',
                      {("mesos_master_cpus_percent", ()): 0.5, ("mesos_registrar_state_store_ms_p99", ()): 2.0}),
     "elasticsearch": (
-        '{"nodes":{"n1":{"jvm":{"mem":{"heap_used_in_bytes":7}}},"n2":{"jvm":{"mem":{"heap_used_in_bytes":8}}}}}',
-        {("elasticsearch_heap_used", ()): 7.0},
+        '{"nodes":{"n1":{"jvm":{"mem":{"heap_used_in_bytes":7},"gc":{"collectors":{"young":{"collection_count":4,"collection_time_in_millis":10},'
+        '"old":{"collection_count":0,"collection_time_in_millis":0}}}},"thread_pool":{"get":{"active":1,"queue":2,"size":9}}},'
+        '"n2":{"jvm":{"mem":{"heap_used_in_bytes":8}}}}}',
+        {("elasticsearch_heap_used", ()): 7.0, ("elasticsearch_gc_young_count", ()): 0.0, ("elasticsearch_gc_old_count", ()): 0.0,
+         ("elasticsearch_gc_young_time_ms", ()): 2.5, ("elasticsearch_gc_old_time_ms", ()): 0.0, ("elasticsearch_thread_pool", (("pool", "get"),)): 1.0},
     ),
     "mongodb": ('{"opcounters":{"insert":3},"connections":{"current":4}}',
                 {("mongo_opcounters_insert", ()): 0.0, ("mongo_connections_current", ()): 4.0}),
-    "twemproxy": ('{"proxy":{"client_connections":1,"b1":{"requests":5,"in_queue":2}}}',
-                  {("twemproxy_requests", (("backend", "b1"),)): 0.0, ("twemproxy_in_queue", (("backend", "b1"),)): 2.0}),
+    "twemproxy": ('{"curr_connections":9,"proxy":{"client_connections":1,"b1":{"requests":5,"in_queue":2}}}',
+                  {("twemproxy_current_connections", ()): 9.0, ("twemproxy_client_connections", ()): 1.0,
+                   ("twemproxy_requests", (("backend", "b1"),)): 0.0, ("twemproxy_in_queue", (("backend", "b1"),)): 2.0}),
     "hashicorp_vault": ('{"Gauges":[{"Name":"a.b-c","Value":1}],"Counters":[],"Samples":[{"Name":"s","Rate":0.5,"Count":9}]}',
                         {("a_b_c", ()): 1.0, ("s", ()): 0.5}),
     "hashicorp_nomad": (
@@ -174,13 +244,16 @@ def derived(spark):
 def test_payload_gives_samples(derived, source):
     want = PAYLOADS[source][1]
     mine = [r for r in derived if r["source"] == source and r["host"] == "h1"]
+    # Threads that queue differ from active ones in their type only.
+    mine = [r for r in mine if r["check_type"] != "queue"]
     got = {(r["name"], tuple(sorted((r["tags"] or {}).items()))): r["value"] for r in mine}
     assert len(got) == len(mine)
     assert {k: None if v is None else round(v, 6) for k, v in got.items()} == want
 
 
 def test_broken_payloads_give_nothing(derived):
-    assert [r for r in derived if r["host"] == "h2"] == []
+    # Counts of lines have no malformed input: any line is one.
+    assert [(r["source"], r["name"], r["value"]) for r in derived if r["host"] == "h2" and r["name"] != "udp_clients"] == []
 
 
 def test_recipes_are_data(spark):
@@ -226,3 +299,86 @@ def test_cpu_shares_and_sockets(spark):
     table = spark.createDataFrame([("h", "sl local rem st\n0: a b 0A x\n1: a b 03 x\n2: a b 04 x")], "host STRING, payload STRING")
     flags = {r["tags"]["flag"]: r["value"] for r in sockets(table).collect()}
     assert flags["last_ack"] == 1.0 and flags["syn_recv"] == 2.0 and flags["closing"] == 0.0 and len(flags) == 13
+
+
+RAW = "host string, source string, scrape_id string, ts_s bigint, format string, payload string"
+
+
+def test_one_scan_and_rejects_with_reasons(spark, scratch):
+    from tidemark.checks.registry import open_for
+    from tidemark.sources.opened import opening
+
+    rows = [
+        ("h", "varnish", "c1", 1, "text", '{"MAIN.threads":{"value":5}}'), ("h", "varnish", "c2", 1, "text", '{"MAIN.th'),
+        ("h", "varnish", "c3", 1, "text", '{"a":1,"a":2}'), ("h", "coredns", "c1", 1, "text", 'up 1\nbad{x="1" 5\nnovalue\n1x 5\n# c\n'),
+        ("h", "coredns", "c2", 1, "text", None), ("h", "redis", "c1", 1, "text", " \n"), ("h", "jolokia", "c1", 1, "text", "oops"),
+        ("h", "hashicorp_vault", "c1", 1, "text", "{]}"), ("h", "nobody", "c1", 1, "text", "{"),
+    ]
+    spark.createDataFrame(rows, RAW).write.parquet(scratch + "/raw")
+    raw = spark.read.parquet(scratch + "/raw")
+    known = checks.registered().values()
+    got = {(r["source"], r["scrape_id"], r["reason"], r["position"]) for r in open_for(raw, known).rejects.collect()}
+    assert got == {
+        ("varnish", "c2", "cut off", 9), ("varnish", "c3", "malformed JSON", None), ("coredns", "c2", "missing", None), ("redis", "c1", "empty", None),
+        ("jolokia", "c1", "not JSON", 0), ("hashicorp_vault", "c1", "malformed JSON", None),
+        ("coredns", "c1", "labels not closed", 1), ("coredns", "c1", "no value", 2), ("coredns", "c1", "bad name", 3),
+    }
+
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("FileScan"), plan.count(scratch)
+
+    forms = {c.source: c.form for c in known}
+    assert scans(opening(raw, forms))[0] == 1
+    # The result reads what was opened and extracted; the scrapes are not read again.
+    assert scans(checks.run_checks(raw, known, rejects_path=scratch + "/rejects"))[1] == 0
+    assert spark.read.parquet(scratch + "/rejects").count() == 9
+
+
+def test_events_beside_samples(spark):
+    pages = [
+        ("h", "memory", "c1", 10, "text", "MemTotal: 100 kB\nMemAvailable: 5 kB"), ("h", "memory", "c2", 30, "text", "MemTotal: 100 kB\nMemAvailable: 50 kB"),
+        ("h", "load_average", "c1", 10, "text", "0.2 0.4 0.3\ncpu 1\ncpu0 1\ncpu1 1"), ("h", "load_average", "c2", 30, "text", "3 0.4 0.3\ncpu 1\ncpu0 1\ncpu1 1"),
+        ("h", "mounts", "c1", 10, "text", "/ 85 15 100\n/data 1 99 100"),
+        ("h", "btrfs", "c1", 10, "text", "[/dev/sda].write_io_errs 3\n[/dev/sda].read_io_errs 0"),
+        ("h", "elasticsearch_health", "c1", 10, "text", '{"cluster_name":"c","status":"red","active_shards":5,"relocating_shards":0,"initializing_shards":1}'),
+    ]
+    limits = spark.createDataFrame([
+        ("mem_used_percent", 80.0, 90.0, False, True), ("sys_load_percent", 90.0, 100.0, False, True), ("drive_percent_used", 80.0, 90.0, False, True),
+    ], "metric string, warn double, crit double, emit_ok boolean, enabled boolean")
+    known = checks.registered()
+    used = [known[n] for n in ("memory", "load_average", "mounts", "btrfs", "btrfs_errors", "elasticsearch_health")]
+    samples, events = checks.run_with_events(spark.createDataFrame(pages, RAW), used, limits)
+    got = sorted((r["module"], r["ts_s"], r["value"], r["message"]) for r in events.collect())
+    assert got == [
+        ("BTRFS ", 10, 8, "Warning : may be corrupted with 3 IO Errors on btrfs_dev_sda_write_io_errs"),
+        ("Disk-Usage-rootfs", 10, 8, "WARNING: Storage usage of rootfs is at 85.00 percent of available  space"),
+        ("ElasticSearch-Health", 10, 16, "Cluster: c, Status: red, Shards Active: 5, Relocating: 0, Initializing: 1"),
+        ("Load-Average", 10, 0, "OK: System Load average is at 10.00 percent of available  resources"),
+        ("Load-Average", 30, 16, "ERROR: System Load average is at 150.00 percent of available  resources"),
+        ("Memory-Usage", 10, 16, "ERROR: Systems memory usage is 95.00 percent"),
+    ]
+    names = {r["name"] for r in samples.collect()}
+    assert "elasticsearch_status" not in names and "btrfs_io_errors" not in names and "mem_used_percent" in names
+
+
+def test_rates_span_the_idle_time_and_shares_need_movement(spark):
+    pages = [("h", "network_bytes", f"c{t}", t, "text", f"eth0 {rx} {tx}\nlo 1 1") for t, rx, tx in ((0, 10, 5), (20, 10, 5), (40, 50, 5))]
+    pages += [("h", "cpu", f"c{t}", t, "text", line) for t, line in ((0, "cpu 10 0 5 85 0 0 0"), (20, "cpu 20 0 10 170 0 0 0"), (30, "cpu 20 0 10 170 0 0 0"), (40, "cpu 40 0 10 250 0 0 0"))]
+    pages += [("h", "elasticsearch", f"c{t}", t, "text", '{"nodes":{"a":{"jvm":{"gc":{"collectors":{"young":{"collection_count":%d,"collection_time_in_millis":%d},'
+               '"old":{"collection_count":0,"collection_time_in_millis":0}}}}}}}' % (n, ms)) for t, n, ms in ((0, 2, 10), (20, 6, 40), (40, 6, 40))]
+    known = checks.registered()
+    out = checks.run_checks(spark.createDataFrame(pages, RAW), [known[n] for n in ("network_bytes", "cpu", "elasticsearch_gc")])
+    got = {(r["name"], r["ts_s"]): r["value"] for r in out.collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "bytes_rx"} == {0: 0.0, 40: 1.0}
+    assert {k[1]: v for k, v in got.items() if k[0] == "cpu_load"} == {20: 0.0, 40: 20.0}
+    assert {k[1]: v for k, v in got.items() if k[0] == "elasticsearch_gc_young_time_ms"} == {0: 5.0, 20: 7.5, 40: 0.0}
+
+
+def test_devices_that_are_no_whole_disk(spark):
+    from tidemark.operators.filters import whole_disk
+
+    disks = ["sda", "sdab", "vdc", "nvme0n1", "mmcblk0", "md0", "dm-0", "sr", "zramdisk"]
+    parts = ["sda1", "sdab12", "vdc3", "nvme0n1p2", "mmcblk0p1", "mmcblk0boot0", "sr0", "zram0", "ram1", "loop0", "loop12", "md0p1"]
+    df = spark.createDataFrame([(d,) for d in disks + parts], "device string")
+    assert sorted(r["device"] for r in df.filter(whole_disk(F.col("device"))).collect()) == sorted(disks)

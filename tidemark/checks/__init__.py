@@ -10,9 +10,10 @@ from tidemark.checks.registry import (
     register,
     registered,
     run_checks,
+    run_with_events,
 )
 
 __all__ = [
-    "Check", "Recipe", "enabled_recipes", "extract_all", "recipe_table", "register", "registered", "run_checks",
+    "Check", "Recipe", "enabled_recipes", "extract_all", "recipe_table", "register", "registered", "run_checks", "run_with_events",
     "bean_services", "document_services", "exposition_services", "text_services",
 ]

@@ -8,11 +8,15 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.checks.registry import Check, register
+from tidemark.checks.events import EVENT, MESSAGE, Health
+from tidemark.checks.registry import Check, as_samples, register
+from tidemark.functions.numbers import fixed, ratio
 from tidemark.functions.text import replace_chain
 from tidemark.operators.filters import allow_or_all
+from tidemark.operators.resume import SeriesState
 from tidemark.operators.sets import union_sources
-from tidemark.sources.base import document, finish, scrape_columns
+from tidemark.operators.windows import delta_ratio
+from tidemark.sources.base import DOCUMENT, document, finish, scrape_columns
 from tidemark.sources.documents import Path, extract_named_arrays, extract_paths, plain_stat_name
 from tidemark.sources.opened import JSON_TEXT, PARSED
 
@@ -176,6 +180,20 @@ RABBIT = [
     *[Path(_at("queue_totals", t), f"rabbitmq_{t}") for t in RABBIT_TOTALS],
 ]
 ELASTIC_NODE = [
+    *[
+        Path(f"$.indices.{path}", f"elasticsearch_{name}", "rate")
+        for path, name in (
+            ("search.query_total", "search_total"), ("indexing.index_total", "index_total"), ("indexing.delete_total", "delete_total"),
+            ("refresh.total", "refresh_total"), ("get.total", "get_total"), ("search.fetch_total", "fetch_total"),
+            ("search.fetch_time_in_millis", "fetch_time"), ("indexing.index_time_in_millis", "index_time"),
+            ("search.query_time_in_millis", "search_search_time"), ("merges.total_time_in_millis", "merge_time"),
+            ("merges.total_docs", "merge_docs"),
+        )
+    ],
+    Path("$.jvm.mem.non_heap_committed_in_bytes", "elasticsearch_non_heap_commited"),
+    Path("$.jvm.mem.non_heap_used_in_bytes", "elasticsearch_non_heap_used"),
+    Path("$.process.open_file_descriptors", "elasticsearch_open_files"),
+    Path("$.http.current_open", "elasticsearch_http_connections"),
     Path("$.jvm.mem.heap_committed_in_bytes", "elasticsearch_heap_commited"),
     Path("$.jvm.mem.heap_used_in_bytes", "elasticsearch_heap_used"),
     Path("$.jvm.gc.collectors.old.collection_count", "elasticsearch_gc_old_count", "rate"),
@@ -189,6 +207,18 @@ ELASTIC_NODE = [
 ]
 
 
+# Thread pools of a node, cluster totals and shards.
+ELASTIC_TOTALS = [
+    Path("$._all.primaries.docs.count", "elasticsearch_cluster_docs"),
+    Path("$._all.primaries.docs.count", "elasticsearch_cluster_ingest_rate", "rate"),
+    Path("$._shards.total", "elasticsearch_cluster_shards"),
+    Path("$._all.total.store.size_in_bytes", "elasticsearch_cluster_storage_usage"),
+]
+ELASTIC_SHARDS = ("active_shards", "relocating_shards", "initializing_shards", "unassigned_shards")
+DOCKER_MEMORY = ("active_anon", "active_file", "inactive_anon", "inactive_file", "file_mapped", "unevictable")
+DOCKER_NETWORK = ("rx_errors", "tx_errors", "rx_dropped", "tx_dropped")
+
+
 def riak(df: DataFrame) -> DataFrame:
     """Per-minute counts become per-second values."""
     rows = extract_paths(df, RIAK)
@@ -205,7 +235,8 @@ def twemproxy(df: DataFrame) -> DataFrame:
         *[Path(_at(n), f"twemproxy_{n}", "rate") for n in TWEMPROXY_RATES],
         *[Path(_at(n), f"twemproxy_{n}") for n in TWEMPROXY_GAUGES],
     ]
-    return extract_paths(df, spec, each="$.proxy", tag="backend")
+    whole = [Path("$.curr_connections", "twemproxy_current_connections"), Path("$.proxy.client_connections", "twemproxy_client_connections")]
+    return union_sources(extract_paths(df, spec, each="$.proxy", tag="backend"), extract_paths(df, whole))
 
 
 def elasticsearch(df: DataFrame) -> DataFrame:
@@ -215,6 +246,113 @@ def elasticsearch(df: DataFrame) -> DataFrame:
     )
 
 
+def elastic_pauses(df: DataFrame) -> DataFrame:
+    """Collector time and count of the first node side by side."""
+    keep = scrape_columns(df)
+    node = F.get(F.map_values(F.try_variant_get(document(df), "$.nodes", "map<string,variant>")), F.lit(0))
+    rows = df.select(*keep, F.lit(0).cast("bigint").alias("seq"), node.alias("_node"))
+    parts = {
+        f"{kind}_{what}": F.try_variant_get("_node", f"$.jvm.gc.collectors.{kind}.collection_{path}", "double")
+        for kind in ("young", "old") for what, path in (("time", "time_in_millis"), ("count", "count"))
+    }
+    return rows.withColumns(parts).drop("_node").filter(F.col("young_time").isNotNull() & F.col("old_time").isNotNull())
+
+
+def pause_means(rows: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
+    """Mean pause since the scrape before, 0 unless time and count grew."""
+    out = rows
+    for kind in ("young", "old"):
+        out = delta_ratio(out, f"{kind}_time", f"{kind}_count", ("host",), out=f"{kind}_ms", ranges=ranges, resume=resume)
+    metrics = {f"{kind}_ms": (f"elasticsearch_gc_{kind}_time_ms", None, 0) for kind in ("young", "old")}
+    held = [f"{kind}_{what}" for kind in ("young", "old") for what in ("time", "count")]
+    return as_samples(out, metrics, F.create_map().cast("map<string,string>"), scrape_columns(rows.drop(*held)))
+
+
+def elastic_health(df: DataFrame) -> DataFrame:
+    """Shards as samples, the state of the cluster as an event with its message."""
+    keep = scrape_columns(df)
+    doc = document(df)
+    shards = extract_paths(df, [Path(f"$.{s}", f"elasticsearch_{s}") for s in ELASTIC_SHARDS])
+
+    def text(key: str) -> Column:
+        return F.coalesce(F.try_variant_get(doc, f"$.{key}", "string"), F.lit(""))
+
+    message = F.concat(
+        F.lit("Cluster: "), text("cluster_name"), F.lit(", Status: "), text("status"), F.lit(", Shards Active: "), text("active_shards"),
+        F.lit(", Relocating: "), text("relocating_shards"), F.lit(", Initializing: "), text("initializing_shards"),
+    )
+    state = df.select(
+        *keep, F.lit(4).cast("bigint").alias("seq"), F.lit("elasticsearch_status").alias("name"),
+        F.create_map(F.lit(MESSAGE), message).alias("tags"), F.try_variant_get(doc, "$.status", "string").alias("value_raw"),
+    ).filter(F.col("value_raw").isNotNull())
+    return union_sources(shards, finish(state, keep).withColumn("style", F.lit(EVENT)))
+
+
+def thread_pools(df: DataFrame) -> DataFrame:
+    """Active and queued threads per pool of the first node."""
+    node = F.get(F.map_values(F.try_variant_get(document(df), "$.nodes", "map<string,variant>")), F.lit(0))
+    rows = df.withColumn(DOCUMENT, node)
+    found = extract_paths(rows, [Path("$.active", "active"), Path("$.queue", "queue")], each="$.thread_pool", tag="pool")
+    # What is counted is told by the type, not by the name.
+    return found.withColumn("check_type", F.col("name")).withColumn("name", F.lit("elasticsearch_thread_pool")).withColumn("reaction", F.lit(-3))
+
+
+def docker(df: DataFrame) -> DataFrame:
+    """One container's statistics: processor share by its own earlier reading, throttling, network, memory."""
+    keep = scrape_columns(df)
+    doc = document(df)
+
+    def number(path: str) -> Column:
+        return F.try_variant_get(doc, path, "double")
+
+    grown = number("$.cpu_stats.cpu_usage.total_usage") - number("$.precpu_stats.cpu_usage.total_usage")
+    system = number("$.cpu_stats.system_cpu_usage") - number("$.precpu_stats.system_cpu_usage")
+    share = df.select(*keep, doc.alias(DOCUMENT), F.lit(0).cast("bigint").alias("seq"), F.lit("docker_master_cpu_usage").alias("name"),
+                      fixed(ratio(grown, system) * 100, 3).cast("string").alias("value_raw"))
+    share = finish(share.filter(F.col("value_raw").isNotNull()), [*keep, DOCUMENT])
+    plain = extract_paths(df.withColumn(DOCUMENT, doc).withColumn("_name", _container(doc)), [
+        Path("$.cpu_stats.throttling_data.throttled_periods", "docker_cpu_throttled_periods"),
+        Path("$.cpu_stats.throttling_data.throttled_time", "docker_cpu_throttled_time"),
+        Path("$.memory_stats.usage", "docker_mem_cur_usage"),
+        *[Path(f"$.memory_stats.stats.{m}", f"docker_mem_{m}") for m in DOCKER_MEMORY],
+    ])
+    plain = plain.withColumn("tags", F.create_map(F.lit("container"), F.col("_name"))).drop("_name")
+    spec = [
+        *[Path(f"$.{d}_bytes", f"docker_bytes_{d}_") for d in ("rx", "tx")],
+        *[Path(f"$.{d}_packets", f"docker_{d}_packets_", "rate") for d in ("rx", "tx")],
+        *[Path(f"$.{n}", f"docker_{n}_") for n in DOCKER_NETWORK],
+    ]
+    nets = extract_paths(df.withColumn(DOCUMENT, doc).withColumn("_name", _container(doc)), spec, each="$.networks", tag="nic")
+    nets = nets.withColumn("name", F.concat("name", F.col("tags")["nic"])).withColumn("tags", F.create_map(F.lit("container"), F.col("_name"))).drop("_name")
+    share = share.withColumn("tags", F.create_map(F.lit("container"), _container(F.col(DOCUMENT)))).drop(DOCUMENT).withColumn("style", F.lit("gauge"))
+    chart = F.when(F.col("name") == "docker_master_cpu_usage", "Percent").when(F.col("name").rlike("_bytes_|_packets_"), "Rate")
+    return union_sources(share, plain, nets).withColumn("chart_type", chart)
+
+
+def _container(doc: Column) -> Column:
+    return F.replace(F.try_variant_get(doc, "$.name", "string"), F.lit("/"), F.lit(""))
+
+
+def container_times(df: DataFrame) -> DataFrame:
+    """Processor time of a container and of its machine side by side."""
+    keep = scrape_columns(df)
+    doc = document(df)
+    rows = df.select(
+        *keep, F.lit(0).cast("bigint").alias("seq"), _container(doc).alias("container"),
+        F.try_variant_get(doc, "$.cpu_stats.cpu_usage.total_usage", "double").alias("used"),
+        F.try_variant_get(doc, "$.cpu_stats.system_cpu_usage", "double").alias("system"),
+        F.size(F.map_keys(F.try_variant_get(doc, "$.precpu_stats.cpu_usage", "map<string,variant>"))).alias("parts"),
+    )
+    return rows.filter(F.col("used").isNotNull() & F.col("system").isNotNull())
+
+
+def container_usage(rows: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
+    """Share of a container in its machine's processor time since the scrape before."""
+    out = delta_ratio(rows, "used", "system", ("host", "container"), gated=False, factor=F.col("parts") * 100.0, out="share", ranges=ranges, resume=resume)
+    keep = scrape_columns(rows.drop("container", "used", "system", "parts"))
+    return as_samples(out, {"share": ("docker_container_cpu_usage", "Percent", 0)}, F.create_map(F.lit("container"), F.col("container")), keep)
+
+
 def mongodb(df: DataFrame) -> DataFrame:
     """Whole sections of the server status: every key is a metric."""
     parts = []
@@ -381,6 +519,18 @@ def janus(df: DataFrame) -> DataFrame:
     return finish(rows, keep)
 
 
+for _name, _check in {
+    "elasticsearch_gc": Check("elasticsearch", elastic_pauses, (), "elasticsearch", form=PARSED, derive=pause_means),
+    "elasticsearch_pools": Check("elasticsearch", thread_pools, (), "elasticsearch", form=PARSED),
+    "elasticsearch_totals": Check("elasticsearch_totals", partial(extract_paths, spec=ELASTIC_TOTALS), (), "elasticsearch", form=PARSED),
+    "elasticsearch_health": Check("elasticsearch_health", elastic_health, (), "elasticsearch", form=PARSED, health=(
+        Health("elasticsearch_status", "ElasticSearch-Health", kind="state"),
+    )),
+    "docker": Check("docker", docker, (), "docker", form=PARSED),
+    "docker_usage": Check("docker", container_times, (), "docker", form=PARSED, derive=container_usage),
+}.items():
+    register(_name, _check)
+
 for _name, _fn, _type in (
     ("varnish", partial(extract_paths, spec=VARNISH), "varnish"),
     ("riak", riak, "riak"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checks.events import EVENT, Health, check_events
 from tidemark.functions.numbers import as_int
 from tidemark.operators.projections import normalise
 from tidemark.operators.resume import SeriesState
@@ -20,6 +21,8 @@ from tidemark.sources.opened import LINES, Opened, open_payloads
 STATEFUL_STYLES = ("rate", "rate_int", "rate_tenth", "delta")
 
 Extract = Callable[[DataFrame], DataFrame]
+# Rows with several values side by side to samples, with the number of ranges and the saved state to go on from.
+Derive = Callable[[DataFrame, int | None, SeriesState | None], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,9 @@ class Check:
 
     With recipes, only listed names pass and take their metric and style. Without,
     the job names its samples itself and may set `style` (gauge by default). `form` is how
-    the job wants the payloads when they are opened for all checks at once.
+    the job wants the payloads when they are opened for all checks at once. With `derive`,
+    the extracted rows hold several values side by side and that function makes
+    samples of them. `health` rules turn rows into events; rows of style `event` are there for them alone.
     """
 
     source: str
@@ -48,6 +53,8 @@ class Check:
     check_type: str | None = None
     enabled: bool = True
     form: str = LINES
+    derive: Derive | None = None
+    health: Sequence[Health] = field(default_factory=tuple)
 
 
 _CHECKS: dict[str, Check] = {}
@@ -73,6 +80,19 @@ def rates(prefix: str, names: Iterable[str], lower: bool = True, **kw) -> list[R
     return [Recipe(n, prefix + (n.lower() if lower else n), "rate", "Rate", **kw) for n in names]
 
 
+def as_samples(rows: DataFrame, metrics: dict[str, tuple[str, str | None, int]], tags: Column, keep: Sequence[str]) -> DataFrame:
+    """Derived columns to samples: a map of columns to name, chart type and reaction; missing values are left out."""
+    found = F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(chart).cast("string").alias("chart_type"), F.lit(reaction).alias("reaction"), F.col(c).cast("double").alias("value"))
+        for c, (n, chart, reaction) in metrics.items()
+    ])
+    out = rows.select(*keep, "seq", tags.alias("tags"), F.explode(found).alias("_m")).filter(F.col("_m.value").isNotNull())
+    return out.select(
+        *keep, "seq", "_m.name", "tags", F.col("_m.value").cast("string").alias("value_raw"), "_m.value", F.lit("float").alias("value_kind"),
+        "_m.chart_type", "_m.reaction",
+    )
+
+
 def recipe_table(spark: SparkSession, checks: Iterable[Check]) -> DataFrame:
     """All recipes as a table, one row per (source, match); editable as data."""
     rows = [
@@ -143,9 +163,14 @@ def _extracted(check: Check, payloads: DataFrame, recipes: DataFrame | None) ->
     rows = payloads.transform(check.extract)
     if check.recipes:
         rows = apply_listed(rows, check.recipes) if recipes is None else apply_recipes(rows, recipes)
-    elif "style" not in rows.columns:
+    return _annotated(check, rows)
+
+
+def _annotated(check: Check, rows: DataFrame) -> DataFrame:
+    if "style" not in rows.columns:
         rows = rows.withColumn("style", F.lit("gauge"))
-    rows = rows.withColumn("check_type", F.lit(check.check_type).cast("string"))
+    kind = F.lit(check.check_type).cast("string")
+    rows = rows.withColumn("check_type", F.coalesce("check_type", kind) if "check_type" in rows.columns else kind)
     for name, type_ in (("chart_type", "string"), ("reaction", "int")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(type_))
@@ -179,6 +204,46 @@ def extract_opened(opened: Opened, checks: Iterable[Check], recipes: DataFrame |
     return _together([_extracted(c, opened.of(c.source, c.form), recipes) for c in checks if c.enabled])
 
 
+def run_opened(
+    opened: Opened,
+    checks: Iterable[Check],
+    recipes: DataFrame | None = None,
+    samples_path: str | None = None,
+    ranges: int | None = None,
+    resume: Callable[[str], SeriesState] | None = None,
+) -> DataFrame:
+    """Derived rows of all checks, those of style `event` too.
+
+    `resume(name)` gives the saved state of one derivation: `styles` for the rates and deltas of all
+    recipes, and one per check that derives on its own.
+    """
+    wanted = [c for c in checks if c.enabled]
+    plain, own = [c for c in wanted if not c.derive], [c for c in wanted if c.derive]
+    parts = []
+    if plain:
+        samples = extract_opened(opened, plain, recipes)
+        if samples_path:
+            samples.write.mode("overwrite").parquet(samples_path)
+            samples = samples.sparkSession.read.schema(samples.schema).parquet(samples_path)
+        else:
+            samples = stored(samples, "samples")
+        parts.append(derive(samples, ranges, resume("styles") if resume else None))
+    for check in own:
+        state = resume(f"{check.source}.{check.derive.__name__}") if resume else None
+        rows = check.derive(opened.of(check.source, check.form).transform(check.extract), ranges, state)
+        parts.append(_annotated(check, rows))
+    return _together(parts)
+
+
+def samples_of(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("style") != EVENT)
+
+
+def events_of(rows: DataFrame, checks: Iterable[Check], thresholds: DataFrame) -> DataFrame:
+    """Health events by the rules of all enabled checks."""
+    return check_events(rows, [h for c in checks if c.enabled for h in c.health], thresholds)
+
+
 def run_checks(
     raw: DataFrame,
     checks: Iterable[Check],
@@ -196,12 +261,15 @@ def run_checks(
     """
     wanted = list(checks)
     opened = open_for(raw, wanted)
-    samples = extract_opened(opened, wanted, recipes)
-    if samples_path:
-        samples.write.mode("overwrite").parquet(samples_path)
-        samples = raw.sparkSession.read.schema(samples.schema).parquet(samples_path)
-    else:
-        samples = stored(samples, "samples")
     if rejects_path:
         opened.rejects.write.mode("overwrite").parquet(rejects_path)
-    return derive(samples, ranges)
+    return samples_of(run_opened(opened, wanted, recipes, samples_path, ranges))
+
+
+def run_with_events(
+    raw: DataFrame, checks: Iterable[Check], thresholds: DataFrame, recipes: DataFrame | None = None, ranges: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """As `run_checks`, with the health events of the checks as a second output of the same rows."""
+    wanted = list(checks)
+    rows = stored(run_opened(open_for(raw, wanted), wanted, recipes, None, ranges), "derived")
+    return samples_of(rows), events_of(rows, wanted, thresholds)

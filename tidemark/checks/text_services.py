@@ -7,13 +7,16 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.checks.registry import Check, Recipe, gauges, rates, register
+from tidemark.checks.events import EVENT, Health
+from tidemark.checks.registry import Check, Recipe, as_samples, gauges, rates, register
+from tidemark.functions.numbers import fixed, int_text, percent_of, percent_rest
 from tidemark.functions.text import path_tag
 from tidemark.operators.filters import digits_only, not_loopback, whole_disk
 from tidemark.operators.projections import extract_all_indexed
 from tidemark.operators.sets import union_sources
-from tidemark.operators.windows import delta_share
-from tidemark.sources.base import finish, lines, scrape_columns
+from tidemark.operators.resume import SeriesState
+from tidemark.operators.windows import changed_rate, delta_share
+from tidemark.sources.base import finish, lines, scrape_columns, split_lines
 from tidemark.sources.status import STATUS_GAUGES
 from tidemark.sources.text import Cell, extract_columns, extract_csv, extract_kv_lines, extract_positional, extract_script_lines
 
@@ -71,6 +74,7 @@ HAPROXY = gauges("haproxy_", (
 ))
 LOAD = [Cell("sys_load_1", 0, 0), Cell("sys_load_5", 0, 1), Cell("sys_load_15", 0, 2)]
 CONNTRACK = [Cell("conntrack_cur", 0, 0), Cell("conntrack_max", 1, 0)]
+CPU_WATCHED = ("cpu_user", "cpu_iowait")
 CPU_PARTS = ("cpu_user", "cpu_nice", "cpu_system", "cpu_idle", "cpu_iowait", "cpu_irq", "cpu_softirq")
 
 # Socket states by their code, thread counters.
@@ -97,15 +101,38 @@ def zookeeper(df: DataFrame) -> DataFrame:
 
 
 def memory(df: DataFrame) -> DataFrame:
-    """Kilobyte lines to bytes under short names."""
+    """Kilobyte lines to bytes under short names, and the used percentage."""
+    keep = scrape_columns(df)
     rows = extract_kv_lines(df, ":", first_token=True, last_wins=True).filter(F.col("name").isin(*MEMORY_NAMES))
-    short = F.lower(F.replace("name", F.lit("Mem"), F.lit("")))
-    bytes_ = F.col("value").cast("bigint") * 1024
-    return (
-        rows.withColumn("name", F.concat(F.lit("mem_"), short))
-        .withColumn("value", bytes_.cast("double"))
-        .withColumn("value_raw", bytes_.cast("string"))
+    bytes_ = (F.col("value").cast("bigint") * 1024).alias("bytes")
+    # A scrape has a handful of these rows; they meet to give the percentage.
+    held = rows.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("seq", bytes_)))).alias("_m"))
+    rest = percent_rest(F.col("_m")["MemAvailable"]["bytes"], F.col("_m")["MemTotal"]["bytes"])
+    parts = F.transform(F.map_entries("_m"), lambda e: F.struct(
+        e["value"]["seq"].alias("seq"), F.concat(F.lit("mem_"), F.lower(F.replace(e["key"], F.lit("Mem"), F.lit("")))).alias("name"),
+        e["value"]["bytes"].cast("string").alias("raw"), F.when(e["key"] == "Buffers", -3).otherwise(0).alias("reaction"), F.lit(None).cast("string").alias("chart_type"),
+    ))
+    used = F.struct(
+        F.lit(0).cast("bigint").alias("seq"), F.lit("mem_used_percent").alias("name"), rest.cast("string").alias("raw"), F.lit(0).alias("reaction"), F.lit("Percent").alias("chart_type"),
     )
+    found = held.select(*keep, F.explode(F.concat(parts, F.array(used))).alias("_p")).filter(F.col("_p.raw").isNotNull())
+    out = finish(found.select(*keep, "_p.seq", "_p.name", F.col("_p.raw").alias("value_raw"), "_p.reaction", "_p.chart_type"), [*keep, "reaction", "chart_type"])
+    return out
+
+
+def load_average(df: DataFrame) -> DataFrame:
+    """The three averages, and the first as a percentage of the cores where the page lists them.
+
+    Cores are the lines of processor statistics after the averages, one `cpu` line being the sum.
+    """
+    keep = scrape_columns(df)
+    cores = F.size(F.filter(split_lines("payload"), lambda line: line.startswith("cpu"))) - 1
+    first = F.get(F.split(F.ltrim("payload"), r"\s+"), F.lit(0)).try_cast("double")
+    level = F.when(cores > 0, first * 100 / cores)
+    percent = df.select(*keep, F.lit(3).cast("bigint").alias("seq"), F.lit("sys_load_percent").alias("name"), level.cast("string").alias("value_raw"))
+    percent = finish(percent.filter(F.col("value_raw").isNotNull()), keep).withColumn("style", F.lit(EVENT))
+    averages = extract_positional(df, LOAD).filter(F.col("value").isNotNull())
+    return union_sources(averages.withColumn("style", F.lit("gauge")), percent)
 
 
 def haproxy(df: DataFrame) -> DataFrame:
@@ -127,21 +154,39 @@ def disk_io(df: DataFrame) -> DataFrame:
 
 
 def mounts(df: DataFrame) -> DataFrame:
-    """`path used available` lines to bytes per mount point."""
-    rows = extract_columns(df, {"path": 0, "drive_bytes_used": 1, "drive_bytes_available": 2})
+    """`path used available [total]` lines to bytes per mount point, and the used percentage of a total."""
+    rows = extract_columns(df, {"path": 0, "drive_bytes_used": 1, "drive_bytes_available": 2, "total": 3})
+    used = fixed(percent_of(F.col("drive_bytes_used").try_cast("double"), F.col("total").try_cast("double")))
+    rows = rows.withColumn("drive_percent_used", used.cast("string"))
     wide = rows.unpivot(
-        [*scrape_columns(df), "seq", "path"], ["drive_bytes_used", "drive_bytes_available"], "name", "value_raw"
+        [*scrape_columns(df), "seq", "path"], ["drive_bytes_used", "drive_bytes_available", "drive_percent_used"], "name", "value_raw"
     ).filter(F.col("value_raw").isNotNull())
-    return finish(wide.withColumn("tags", F.create_map(F.lit("mountpoint"), path_tag(F.col("path")))), scrape_columns(df))
+    out = finish(wide.withColumn("tags", F.create_map(F.lit("mountpoint"), path_tag(F.col("path")))), scrape_columns(df))
+    return out.withColumn("chart_type", F.when(F.col("name") == "drive_percent_used", "Percent"))
+
+
+def disk_bytes(df: DataFrame) -> DataFrame:
+    """`device sector_size` and the device's statistics to bytes read and written, rated."""
+    rows = extract_columns(df, {"drive": 0, "size": 1, "drive_reads": 4, "drive_writes": 8})
+    rows = rows.filter(~F.col("drive").contains("ram") & ~F.col("drive").contains("loop"))
+    sector = F.col("size").try_cast("bigint")
+    rows = rows.withColumns({c: (F.col(c).try_cast("bigint") * sector).cast("string") for c in ("drive_reads", "drive_writes")})
+    wide = rows.unpivot([*scrape_columns(df), "seq", "drive"], ["drive_reads", "drive_writes"], "name", "value_raw").filter(F.col("value_raw").isNotNull())
+    out = finish(wide.withColumn("tags", F.create_map(F.lit("drive"), F.col("drive"))), scrape_columns(df))
+    return out.withColumn("style", F.lit("rate"))
 
 
 def interfaces(df: DataFrame) -> DataFrame:
-    """`name rx tx` lines as byte counters, loopback left out."""
-    rows = extract_columns(df, {"nic": 0, "bytes_rx": 1, "bytes_tx": 2}).filter(not_loopback(F.col("nic")))
-    wide = rows.unpivot([*scrape_columns(df), "seq", "nic"], ["bytes_rx", "bytes_tx"], "name", "value_raw")
-    wide = wide.filter(F.col("value_raw").isNotNull())
-    out = finish(wide.withColumn("tags", F.create_map(F.lit("interface"), F.col("nic"))), scrape_columns(df))
-    return out.withColumn("style", F.lit("rate")).withColumn("chart_type", F.lit("Rate"))
+    """`name rx tx` lines as byte counters side by side, loopback left out."""
+    rows = extract_columns(df, {"nic": 0, "rx": 1, "tx": 2}).filter(not_loopback(F.col("nic")))
+    return rows.withColumns({c: int_text(F.col(c)) for c in ("rx", "tx")})
+
+
+def interface_rates(rows: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
+    """Byte rates over the rows in which either counter grew: a rate spans the idle time before it."""
+    rated = changed_rate(rows, {"rx": "rx_rate", "tx": "tx_rate"}, ("host", "nic"), ranges=ranges, resume=resume)
+    metrics = {"rx_rate": ("bytes_rx", "Rate", 0), "tx_rate": ("bytes_tx", "Rate", 0)}
+    return as_samples(rated, metrics, F.create_map(F.lit("interface"), F.col("nic")), scrape_columns(rows.drop("nic", "rx", "tx")))
 
 
 def cpu_times(df: DataFrame) -> DataFrame:
@@ -153,21 +198,19 @@ def cpu_times(df: DataFrame) -> DataFrame:
     return rows.withColumn("core", core).withColumns({p: F.col(p).try_cast("double") for p in CPU_PARTS})
 
 
+def core_shares(rows: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
+    """Wide rows per core to percent samples, tag `core`."""
+    total, load = CPU_PARTS[:4], CPU_PARTS[:3]
+    out = delta_share(rows, CPU_PARTS, total, load, ("host", "core"), ranges=ranges, resume=resume)
+    metrics = {"load_pct": ("cpu_load", "Percent", 0)}
+    metrics |= {f"{p}_pct": (p, "Percent", 0 if p in CPU_WATCHED else -3) for p in CPU_PARTS}
+    keep = [c for c in scrape_columns(rows) if c not in ("core", *CPU_PARTS)]
+    return as_samples(out, metrics, F.create_map(F.lit("core"), F.col("core")), keep)
+
+
 def cpu_shares(raw: DataFrame, ranges: int | None = None) -> DataFrame:
     """Processor times to percent samples, tag `core`."""
-    wide = cpu_times(raw)
-    total, load = CPU_PARTS[:4], CPU_PARTS[:3]
-    out = delta_share(wide, CPU_PARTS, total, load, ("host", "core"), ranges=ranges)
-    names = {"load_pct": "cpu_load", **{f"{p}_pct": p for p in CPU_PARTS}}
-    keep = [c for c in scrape_columns(raw) if c in out.columns]
-    return (
-        out.drop(*CPU_PARTS)
-        .withColumnsRenamed(names)
-        .unpivot([*keep, "seq", "core"], list(names.values()), "name", "value")
-        .withColumn("tags", F.create_map(F.lit("core"), F.col("core")))
-        .withColumn("chart_type", F.lit("Percent"))
-        .drop("core")
-    )
+    return core_shares(cpu_times(raw), ranges)
 
 
 def btrfs(df: DataFrame) -> DataFrame:
@@ -176,6 +219,23 @@ def btrfs(df: DataFrame) -> DataFrame:
     return rows.withColumn("name", F.concat(F.lit("btrfs"), F.translate("name", "./[]", "__")))
 
 
+def btrfs_errors(df: DataFrame) -> DataFrame:
+    """The same counters under one name, device counter as tag, for their events."""
+    rows = btrfs(df).withColumn("tags", F.create_map(F.lit("counter"), F.col("name")))
+    return rows.withColumn("name", F.lit("btrfs_io_errors")).withColumn("style", F.lit(EVENT))
+
+
+def udp_sockets(df: DataFrame) -> DataFrame:
+    """Lines of the socket tables, headers included, as the number of clients."""
+    keep = scrape_columns(df)
+    n = F.size(F.filter(split_lines("payload"), lambda line: line != ""))
+    rows = df.filter(F.col("payload").isNotNull()).select(
+        *keep, F.lit(0).cast("bigint").alias("seq"), F.lit("udp_clients").alias("name"),
+        F.create_map(F.lit("flag"), F.lit("udp")).alias("tags"), n.cast("string").alias("value_raw"),
+    )
+    return finish(rows, keep)
+
+
 def sockets(df: DataFrame) -> DataFrame:
     """TCP sockets by state; every state is present."""
     keep = scrape_columns(df)
@@ -231,15 +291,29 @@ for _name, _check in {
     "nginx": Check("nginx", partial(extract_positional, spec=NGINX), NGINX_RECIPES, "nginx"),
     "phpfpm": Check("phpfpm", partial(extract_positional, spec=PHPFPM), PHPFPM_RECIPES, "php-fpm"),
     "zookeeper": Check("zookeeper", zookeeper, (), "zookeeper"),
-    "memory": Check("memory", memory, (), "system"),
+    "memory": Check("memory", memory, (), "system", health=(
+        Health("mem_used_percent", "Memory-Usage", text="Systems memory usage is"),
+    )),
     "haproxy": Check("haproxy", haproxy, HAPROXY, "haproxy"),
-    "load_average": Check("load_average", partial(extract_positional, spec=LOAD), (), "system"),
+    "load_average": Check("load_average", load_average, (), "system", health=(
+        Health("sys_load_percent", "Load-Average", text="System Load average is at", after=" percent of available  resources", emit_ok=True),
+    )),
     "ipconntrack": Check("ipconntrack", partial(extract_positional, spec=CONNTRACK), (), "system"),
     "disk_io": Check("disk_io", disk_io, (), "system"),
-    "mounts": Check("mounts", mounts, (), "system"),
-    "network_bytes": Check("network_bytes", interfaces, (), "system"),
+    "disk_bytes": Check("disk_bytes", disk_bytes, (), "system"),
+    "mounts": Check("mounts", mounts, (), "system", health=(
+        Health("drive_percent_used", "Disk-Usage-{entity}", text="Storage usage of {entity} is at", after=" percent of available  space", tag="mountpoint"),
+    )),
+    "network_bytes": Check("network_bytes", interfaces, (), "system", derive=interface_rates),
+    "cpu": Check("cpu", cpu_times, (), "gauge", derive=core_shares, health=(
+        Health("cpu_load", "CPU-Load-{entity}", text="CPU load is at", tag="core"),
+    )),
     "btrfs": Check("btrfs", btrfs, (), "system"),
+    "btrfs_errors": Check("btrfs", btrfs_errors, (), "system", health=(
+        Health("btrfs_io_errors", "BTRFS ", kind="counter", tag="counter"),
+    )),
     "tcpconn": Check("tcpconn", sockets, (), "system"),
+    "udpconn": Check("udpconn", udp_sockets, (), "system"),
     "mysql": Check("mysql", mysql, (), "mysql"),
     "tomcat": Check("tomcat", tomcat, (), "tomcat"),
     "scripts": Check("scripts", script),

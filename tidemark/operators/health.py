@@ -24,7 +24,7 @@ HEARTBEAT_MESSAGE = "{DURATION} without HearBeats from host"
 EVENT_COLUMNS = ("host", "module", "ts_s", "value", "status", "message", "reaction")
 
 
-def _status(level: Column) -> Column:
+def status_of(level: Column) -> Column:
     return (
         F.when(level == OK, "OK").when(level.isin(WARN, STATE_WARN), "WARNING").otherwise("ERROR")
     )
@@ -56,7 +56,7 @@ def threshold_health(
     level = band(F.col(value), F.col("warn"), F.col("crit"))
     joined = joined.withColumn("_level", level).filter(F.col("_level").isNotNull())
     show_ok = F.coalesce(F.col("emit_ok"), F.lit(False)) if emit_ok is None else F.lit(emit_ok)
-    status = _status(F.col("_level"))
+    status = status_of(F.col("_level"))
     text = fixed_text(F.col(value))
     message = F.concat(status, F.lit(": "), F.col(name), F.lit(f" {label} "), text, F.lit(" percent"))
     return joined.filter((F.col("_level") != OK) | show_ok).select(
@@ -89,7 +89,7 @@ def state_health(
         module.alias("module"),
         "ts_s",
         level.alias("value"),
-        _status(level).alias("status"),
+        status_of(level).alias("status"),
         (F.col(state) if message is None else message).alias("message"),
         F.lit(reaction).alias("reaction"),
     )
@@ -109,7 +109,7 @@ def exit_code_health(
         status = F.when(c == 0, WEB_STATUS[0]).when(c == 1, WEB_STATUS[1]).otherwise(WEB_STATUS_OTHER)
         message = F.replace(F.col(output), F.lit("\n"), F.lit(""))
     else:
-        status = _status(level)
+        status = status_of(level)
         message = clean_message(F.col(output))
     return results.select(
         "host",
@@ -138,7 +138,7 @@ def counter_health(
         module.alias("module"),
         "ts_s",
         F.col("_level").alias("value"),
-        _status(F.col("_level")).alias("status"),
+        status_of(F.col("_level")).alias("status"),
         message.alias("message"),
         F.lit(0).alias("reaction"),
     )

@@ -14,7 +14,7 @@ from tidemark.plans.tables import epoch_seconds, event_counters, table
 from tidemark.plans.window_queries import RATE_SQL
 from tidemark.shared import local_folder, stored
 from tidemark.streaming import cycle
-from tidemark.streaming.checks import run_checks_on
+from tidemark.streaming.checks import read_samples, run_checks_on
 from tidemark.streaming.forward import forward_sink
 
 DAY = 86_400
@@ -31,7 +31,7 @@ def stream_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         query.awaitTermination()
 
     landed_in_slices(event_scrapes(spark, sf_dir), path, run)
-    out = spark.read.parquet(f"{path}/samples")
+    out = read_samples(spark, path)
     return out.select(
         "host", "scrape_id", "name", F.try_element_at("tags", F.lit("appname")).alias("appname"), "ts_s", "value", "check_type",
         "chart_type",
