@@ -12,7 +12,9 @@ from tidemark.operators import windows as w
 from tidemark.operators.resume import SeriesState
 from tidemark.streaming import cycle
 from tidemark.streaming.checks import checks_sink
+from tidemark.streaming.derive import saved_state, stateful, stream_state
 from tidemark.streaming.forward import forward_sink, read_backlog
+from tidemark.streaming.silence import silence_events
 
 
 def union(known, batch):
@@ -185,3 +187,128 @@ def test_untouched_hosts_of_the_latest_table_stay(spark, scratch):
     assert before <= files(scratch)
     got = {r["host"]: (r["ts_s"], r["v"]) for r in cycle.read_latest(spark, scratch).collect()}
     assert got == {f"h{i}": (20, 70) if i == 7 else (10, i) for i in range(60)}
+
+
+def streamed(spark, parts, schema, path, build):
+    """Land the parts one after the other, each as a run of its own of the same stream."""
+    import uuid
+
+    name = f"t-{uuid.uuid4().hex}"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path + "/in")
+        stream = spark.readStream.schema(schema).parquet(path + "/in")
+        query = cycle.start(build(stream), cycle.table_sink(path + "/out"), name, None, path + "/cp")
+        assert query.awaitTermination(120) and query.exception() is None
+    return spark.read.parquet(path + "/out"), name
+
+
+@pytest.mark.parametrize("kind", ["rate", "delta", "prev", "ratio"])
+def test_a_stream_starts_from_what_a_batch_left(spark, scratch, kind):
+    rows = [(s, ts, seq, v, float(seq * 3 + (v or 0) % 7)) for s, ts, seq, v in series_rows(41, n=160, nulls=False)]
+    schema = "s STRING, ts_s BIGINT, seq BIGINT, v BIGINT, w DOUBLE"
+    cut = sorted(r[1] for r in rows)[80]
+    early, late = [r for r in rows if r[1] <= cut], [r for r in rows if r[1] > cut]
+    state = SeriesState(spark, scratch + "/state", 0, buckets=4)
+    first = found(KINDS[kind](spark.createDataFrame(early, schema), state), "x")
+    state.commit()
+    start = saved_state(state.left(), kind)
+    values = {"rate": {"v": "x"}, "delta": {"v": "x"}, "prev": {"v": "x"}, "ratio": ["v", "w", "x"]}[kind]
+    half = len(late) // 2
+    late = sorted(late, key=lambda r: (r[1], r[2]))
+    while late[half][1] == late[half - 1][1]:
+        half += 1
+    out, name = streamed(spark, [late[:half], late[half:]], schema, scratch, lambda s: stateful(s, kind, values, ("s",), start=start))
+    assert first | found(out, "x") == found(KINDS[kind](spark.createDataFrame(rows, schema), None), "x")
+    # The stream's own state can be read back, and is the last row of every series.
+    last = {}
+    for s, ts, seq, v, _ in sorted(rows, key=lambda r: (r[1], -r[2] if kind == "rate" else r[2])):
+        last[s] = ts
+    kept = {r["tm_key"]: r["ts"] for r in stream_state(spark, name, scratch + "/cp").collect()}
+    assert sorted(kept.values()) == sorted(last.values())
+
+
+def test_gates_do_not_start_from_one_state(spark):
+    df = spark.createDataFrame([], "s STRING, ts_s BIGINT, seq BIGINT, v BIGINT")
+    with pytest.raises(ValueError):
+        stateful(df, "changed_rate", {"v": "x"}, ("s",), start=df)
+
+
+def test_silence_is_told_once_and_cleared(spark, scratch):
+    schema = "host string, ts_s bigint"
+    parts = [
+        [("a", 0), ("a", 40), ("b", 0), ("b", 10), ("c", 0), (None, 5)],  # a's gap of 40 ends in this slice
+        [("b", 50), ("b", 55), ("d", 100)],  # b was away between the slices
+        [("c", 150), ("b", 120)],  # a and d stay away: only a's time is passed by the newest time before this slice
+        [("e", 300)],
+    ]
+    # Time 0 is late for any stream: its watermark begins there.
+    parts = [[(host, 1000 + ts) for host, ts in part] for part in parts]
+    out, _ = streamed(spark, parts, schema, scratch, lambda s: silence_events(s, 30))
+    got = sorted((r["host"], r["ts_s"] - 1000, r["value"]) for r in out.collect())
+    assert got == [
+        ("a", 30, 16), ("a", 40, 0), ("a", 70, 16), ("b", 40, 16), ("b", 50, 0), ("b", 85, 16), ("b", 120, 0), ("b", 150, 16), ("c", 30, 16), ("c", 150, 0),
+        ("d", 130, 16),
+    ]
+
+
+def test_checks_encode_and_forward_on_a_stream(spark, scratch):
+    """Scrapes to delivered lines, with the sink down in the second micro-batch."""
+    from tidemark.operators.projections import with_identity
+    from tidemark.sinks.encoders import to_graphite
+
+    identity = spark.createDataFrame([("a", "prod", "front", None)], "host string, cluster string, `group` string, location string")
+
+    def deliver(batches, batch_id):
+        return batches.select("batch_id", F.lit(503 if batch_id == 1 else 200).alias("code"))
+
+    forward = forward_sink(deliver, scratch + "/delivery", buckets=4)
+
+    def encode(samples, batch_id):
+        tagged = with_identity(samples, identity)
+        # One batch per host and micro-batch: its lines as one body.
+        lines = to_graphite(tagged).withColumn("host", F.split("line", r"\.")[2])
+        bodies = lines.groupBy("host").agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias("body"))
+        forward(bodies.select("host", F.concat_ws("-", "host", F.lit(batch_id)).alias("batch_id"), F.lit(batch_id).cast("bigint").alias("seq"), "body"), batch_id)
+
+    sink = checks_sink([checks.registered()["redis"]], scratch, then=encode, buckets=4)
+    for i, ts in enumerate((10, 20, 30)):
+        sink(scrapes(spark, [("a", ts, ts * 10)]), i)
+    got = {(r["batch_id"], r["route"], r["batch"]): r["body"] for r in spark.read.parquet(scratch + "/delivery/routes").collect()}
+    assert set(got) == {("a-0", "done", 0), ("a-1", "cached", 1), ("a-1", "replayed", 2), ("a-2", "done", 2)}
+    assert got["a-1", "replayed", 2] == "prod.front.a.redis.redis_keyspace_hits 10.0 20\nprod.front.a.redis.redis_used_memory 200 20"
+
+
+def test_a_stream_goes_on_from_a_batch_run_of_the_checks(spark, scratch):
+    from tidemark.streaming.checks import read_samples, run_checks_on
+
+    known = [checks.registered()["redis"], checks.registered()["network_bytes"]]
+    checks_sink(known, scratch, buckets=4)(scrapes(spark, [("a", 10, 100), ("b", 10, 5)]), 0)
+    later = scrapes(spark, [("a", 20, 200)])
+    later.write.parquet(scratch + "/in")
+    stream = spark.readStream.schema(later.schema).parquet(scratch + "/in")
+    run_checks_on(stream, known, scratch, "goes-on", period=None, checkpoint=scratch + "/cp", first=1).awaitTermination()
+    rates = {(r["host"], r["ts_s"]): r["value"] for r in read_samples(spark, scratch).collect() if r["name"] == "redis_keyspace_hits"}
+    assert rates == {("a", 10): 0.0, ("b", 10): 0.0, ("a", 20): 10.0}
+
+
+def test_a_table_function_reads_a_custom_payload(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tidemark.checks.custom import register_table_function, table_extract
+
+    def parse(payloads):
+        parts = pc.split_pattern(payloads, ";")
+        pairs = pc.split_pattern(pc.list_flatten(parts), ":", max_splits=1)
+        row, ok = pc.list_parent_indices(parts), pc.equal(pc.list_value_length(pairs), 2)
+        pairs, row = pairs.filter(ok), row.filter(ok)
+        return pa.table({"row": row, "name": pc.list_element(pairs, 0), "value_raw": pc.list_element(pairs, 1)})
+
+    rows = [("h", "mine", "c1", 0, "t", "a:1;b:2;junk"), ("h", "mine", "c2", 10, "t", "a:21;b:x"), ("h", "mine", "c3", 10, "t", None), ("h", "mine", "c4", 30, "t", "")]
+    raw = spark.createDataFrame(rows, "host string, source string, scrape_id string, ts_s bigint, format string, payload string")
+    check = checks.Check("mine", table_extract(parse), [checks.Recipe("a", "my_a", "rate"), checks.Recipe("b", "my_b")], "custom")
+    got = {(r["name"], r["scrape_id"]): (r["seq"], r["value"]) for r in checks.run_checks(raw, [check]).collect()}
+    assert got == {("my_a", "c1"): (0, 0.0), ("my_a", "c2"): (0, 2.0), ("my_b", "c1"): (1, 2.0), ("my_b", "c2"): (1, None)}
+    register_table_function(spark, "mine_pairs", parse, raw.drop("payload").schema)
+    raw.filter("payload is not null").createOrReplaceTempView("mine_raw")
+    assert spark.sql("SELECT count(*) FROM mine_pairs(TABLE(mine_raw)) WHERE name = 'a'").first()[0] == 2

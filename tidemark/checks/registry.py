@@ -148,14 +148,19 @@ def apply_listed(samples: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
 def derive(samples: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
     """Rates and deltas where the style asks for them; gauges pass without a shuffle.
 
-    The result keeps one row per sample: `value` is the derived value. With `resume` the
-    counters go on from an earlier run's.
+    The result keeps one row per sample: `value` is the derived value, and `value_raw` its text, as encoders
+    want it. With `resume` the counters go on from an earlier run's.
     """
     stateful = F.col("style").isin(*STATEFUL_STYLES)
     passed = samples.filter(~F.coalesce(stateful, F.lit(False)))
     counter = as_int(F.col("value_raw"), F.col("value_kind"), F.col("value"))
     moving = samples.filter(stateful).withColumn("_counter", counter)
     derived = derive_styles(moving, "_counter", "value", ("host", "source", "name", "tags"), ranges=ranges, resume=resume)
+    whole = F.col("style") == "rate_int"
+    derived = derived.withColumns({
+        "value_raw": F.when(whole, F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string")),
+        "value_kind": F.when(whole, "int").otherwise("float"),
+    })
     return union_samples(passed, derived.drop("_counter"))
 
 

@@ -40,6 +40,10 @@ class SeriesState:
         self._ends.append(ends)
         return self._table(len(self._ends) - 1).read(before=self.version)
 
+    def left(self, step: int = 0) -> DataFrame | None:
+        """What the newest run up to this one left for a step: one row per series."""
+        return self._table(step).read(before=self.version + 1)
+
     def commit(self) -> None:
         for step, ends in enumerate(self._ends):
             self._table(step).fold(self.version, ends, _latest)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import checks
+from tidemark.checks.custom import table_extract
 from tidemark.operators import windows as w
 from tidemark.operators.resume import SeriesState
 from tidemark.plans.check_queries import ORACLE as CHECK_ORACLE
 from tidemark.plans.check_queries import SLICES, event_scrapes, landed_in_slices, scratch_path
-from tidemark.plans.tables import epoch_seconds, event_counters, table
+from tidemark.plans.tables import cents, epoch_seconds, event_counters, table
 from tidemark.plans.window_queries import RATE_SQL
 from tidemark.shared import local_folder, stored
 from tidemark.streaming import cycle
 from tidemark.streaming.checks import read_samples, run_checks_on
+from tidemark.streaming.derive import saved_state, stateful
 from tidemark.streaming.forward import forward_sink
+from tidemark.streaming.silence import silence_events
 
 DAY = 86_400
 
@@ -93,10 +98,78 @@ def resumed_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host", "name", "ts_s", "seq", "total", "rate")
 
 
+def stream_resumed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter rates of a stream that starts from the state of a batch run over the first half."""
+    rows = stored(event_counters(spark, sf_dir), "counters")
+    first, last = rows.agg(F.min("ts_s"), F.max("ts_s")).first()
+    early = F.col("ts_s") <= ((first or 0) + (last or 0)) // 2
+    path = scratch_path(spark, "stream-resumed")
+    label = path.rsplit("/", 1)[1]
+    state = SeriesState(spark, f"{path}/state", 0)
+    batch = w.counter_rate(rows.filter(early), {"total": "rate"}, ("host", "name"), resume=state)
+    state.commit()
+    start = saved_state(state.left(), "rate")
+
+    def run(stream: DataFrame) -> None:
+        derived = stateful(stream, "rate", {"total": "rate"}, ("host", "name"), start=start)
+        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+
+    landed_in_slices(rows.filter(~early), path, run)
+    names = ["host", "name", "ts_s", "seq", "total", "rate"]
+    return batch.select(*names).unionByName(spark.read.parquet(f"{path}/out").select(*names))
+
+
+SILENT_S = 2 * DAY
+
+
+def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms for hosts without a scrape for two days, and their end; every tenth host stops in the second slice."""
+    path = scratch_path(spark, "silence")
+    label = path.rsplit("/", 1)[1]
+    ev = table(spark, sf_dir, "events")
+    rows = stored(ev.select(F.concat(F.lit("h"), F.col("user_id")).alias("host"), F.col("user_id"), epoch_seconds(ev, "ts").alias("ts_s")), "alive")
+    first, last = rows.agg(F.min("ts_s"), F.max("ts_s")).first()
+    half = ((first or 0) + (last or 0)) // 2
+    rows = rows.filter((F.col("user_id") % 10 != 0) | (F.col("ts_s") <= half) | (F.col("ts_s") == last)).drop("user_id")
+
+    def run(stream: DataFrame) -> None:
+        cycle.start(silence_events(stream, SILENT_S), cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+
+    landed_in_slices(rows, path, run)
+    return spark.read.parquet(f"{path}/out").select("host", "module", "ts_s", "value", "status", "message", "reaction")
+
+
+def _values(payloads: pa.Array) -> pa.Table:
+    """`name:value` items between semicolons."""
+    items = pc.split_pattern(payloads, ";")
+    pairs, row = pc.split_pattern(pc.list_flatten(items), ":", max_splits=1), pc.list_parent_indices(items)
+    whole = pc.equal(pc.list_value_length(pairs), 2)
+    pairs, row = pairs.filter(whole), row.filter(whole)
+    return pa.table({"row": row, "name": pc.list_element(pairs, 0), "value_raw": pc.list_element(pairs, 1)})
+
+
+def custom_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own payload form through a vectorised table function, with recipes like any other check."""
+    ev = table(spark, sf_dir, "events")
+    payload = F.concat_ws(";", F.concat(F.lit("size:"), cents("value").cast("string")), F.concat(F.lit("kind_"), "event_type", F.lit(":1")), F.lit("junk"),
+                          F.concat(F.lit("odd:"), "props"))
+    raw = ev.select(
+        F.concat(F.lit("h"), F.col("user_id")).alias("host"), F.lit("mine").alias("source"), F.col("event_id").cast("string").alias("scrape_id"),
+        epoch_seconds(ev, "ts").alias("ts_s"), F.lit("own").alias("format"), F.when(F.col("event_id") % 9 != 0, payload).alias("payload"),
+    )
+    recipes = [checks.Recipe("size", "my_size"), checks.Recipe("odd", "my_odd"), *[checks.Recipe(f"kind_{k}", f"my_{k}") for k in ("click", "view", "error")]]
+    mine = checks.Check("mine", table_extract(_values), recipes, "custom")
+    out = checks.run_checks(raw, [mine])
+    return out.select("host", "scrape_id", "name", "seq", "value", "value_raw", "check_type")
+
+
 QUERIES = {
     "stream_run_checks": stream_run_checks,
     "stream_store_forward": stream_store_forward,
     "resumed_counter_rate": resumed_counter_rate,
+    "stream_resumed_rate": stream_resumed_rate,
+    "stream_silence": stream_silence,
+    "custom_payload": custom_payload,
 }
 
 _SLICED = f"""
@@ -129,4 +202,25 @@ o AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2
 SELECT host, batch_id, route, CAST(cycle AS INTEGER) AS cycle FROM o
 """,
     "resumed_counter_rate": RATE_SQL.format(tick=1),
+    "stream_resumed_rate": RATE_SQL.format(tick=1),
+    # A gap is told at its end, or by the watermark: the newest time before the last slice.
+    "stream_silence": f"""
+WITH a AS (SELECT 'h' || user_id AS host, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s FROM events),
+m AS (SELECT min(ts_s) AS lo, max(ts_s) AS hi FROM a),
+r AS (SELECT DISTINCT host, ts_s FROM a, m WHERE user_id % 10 <> 0 OR ts_s <= (lo + hi) // 2 OR ts_s = hi),
+c AS (SELECT min(ts_s) AS lo, (max(ts_s) - min(ts_s)) // {SLICES} + 1 AS step FROM r),
+k AS (SELECT max(ts_s) AS passed FROM r, c WHERE (ts_s - c.lo) // step < {SLICES - 1}),
+g AS (SELECT host, ts_s, lead(ts_s) OVER (PARTITION BY host ORDER BY ts_s) AS nxt FROM r),
+e AS (SELECT host, ts_s + {SILENT_S} AS ts_s, true AS alarm FROM g, k WHERE nxt - ts_s > {SILENT_S} OR (nxt IS NULL AND ts_s + {SILENT_S} <= passed)
+      UNION ALL SELECT host, nxt, false FROM g WHERE nxt - ts_s > {SILENT_S})
+SELECT host, 'HeartBeat' AS module, ts_s, CASE WHEN alarm THEN 16 ELSE 0 END AS value, CASE WHEN alarm THEN 'ERROR' ELSE 'OK' END AS status,
+       CASE WHEN alarm THEN 'ERROR: no HeartBeats for {SILENT_S} seconds' ELSE 'OK: HeartBeats are back' END AS message, 0 AS reaction FROM e
+""",
+    "custom_payload": """
+WITH e AS (SELECT 'h' || user_id AS host, CAST(event_id AS VARCHAR) AS scrape_id, event_type, props,
+                  CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE event_id % 9 <> 0)
+SELECT host, scrape_id, 'my_size' AS name, CAST(0 AS BIGINT) AS seq, CAST(c AS DOUBLE) AS value, CAST(c AS VARCHAR) AS value_raw, 'custom' AS check_type FROM e
+UNION ALL SELECT host, scrape_id, 'my_' || event_type, 1, 1.0, '1', 'custom' FROM e WHERE event_type IN ('click', 'view', 'error')
+UNION ALL SELECT host, scrape_id, 'my_odd', 2, NULL, props, 'custom' FROM e
+""",
 }

@@ -1,6 +1,6 @@
 """Stateful derivations on a stream: the counterparts of the batch window operators.
 
-State is one small value per series in the RocksDB store, with a time to live.
+State is one small value per series in the RocksDB store; it lives on unless a time to live is given.
 Rows of a series arrive unordered inside a micro-batch and are sorted before
 the state is applied. A row not later than the last accepted one of its series
 gets NULL and leaves the state alone.
@@ -16,13 +16,14 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.windows import series_struct
 from tidemark.schema import SERIES
+from tidemark.shared import checkpoint_root
 
 # The processor travels to the executors with the query, no installation needed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _STATE = "ts BIGINT, seq BIGINT, longs ARRAY<BIGINT>, doubles ARRAY<DOUBLE>"
+STARTED = ("rate", "delta", "prev", "ratio")
 KINDS = ("rate", "delta", "prev", "ratio", "share", "changed_rate")
 
 
@@ -52,6 +54,13 @@ class Derivation(StatefulProcessor):
         self.last = handle.getValueState("last", _STATE, self.ttl_ms)
         self.passed = handle.getValueState("passed", _STATE, self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        if row["longs"] is None:
+            self.last.update((int(row["ts"]), int(row["seq"]), [], [float(x) for x in row["doubles"]]))
+        else:
+            self.last.update((int(row["ts"]), int(row["seq"]), [int(x) for x in row["longs"]], []))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values(["tm_ts", "tm_seq"], kind="stable")
@@ -143,15 +152,21 @@ def stateful(
     seq: str = "seq",
     reset_value: float = 1.0,
     ttl_ms: int | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """A derivation over a stream, kept across micro-batches.
 
     `values`: for rate and changed_rate a map of BIGINT columns to output
     columns; for delta and prev one such pair; for ratio {num: out} plus den as
     [num, den, out]; for share [total, part, ...] giving `<part>_pct`.
+
+    `start` is what a batch run of the same derivation left (`saved_state`): the stream goes on
+    from there. Gates and shares, which keep two states, start anew.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
+    if start is not None and kind not in STARTED:
+        raise ValueError(f"{kind} keeps two states and cannot start from one")
     if isinstance(values, dict):
         cols, outs = list(values), list(values.values())
     elif kind == "ratio":
@@ -190,5 +205,30 @@ def stateful(
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime",
+        initialState=None if start is None else start.groupBy("tm_key"),
     )
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema], *outs)
+
+
+def saved_state(state: DataFrame, kind: str) -> DataFrame:
+    """The rows a batch run left for its first step (`SeriesState`), as the `start` of a stream."""
+    held = state.schema["_state"].dataType.names
+    values = F.array(*[F.col(f"_state.{c}") for c in held if c not in ("ts", "rank")])
+    whole = kind == "rate"
+    # Of a second, a rate takes the first row: its rank counts down.
+    seq = F.col("_state.rank.seq")
+    return state.filter(F.col("_state.ts").isNotNull()).select(
+        F.to_json("_series").alias("tm_key"), F.col("_state.ts").alias("ts"), (-seq if whole else seq).alias("seq"),
+        (values.cast("array<bigint>") if whole else F.lit(None).cast("array<bigint>")).alias("longs"),
+        (F.lit(None).cast("array<double>") if whole else values.cast("array<double>")).alias("doubles"),
+    )
+
+
+def stream_state(spark: SparkSession, name: str, checkpoint: str | None = None) -> DataFrame:
+    """The state of a derivation that `cycle.start` ran, read back from its store: tm_key, ts, seq, longs, doubles.
+
+    It has the form of `start`: another stream can go on from it.
+    """
+    path = f"{checkpoint_root(spark, checkpoint)}/cycle/{name}"
+    rows = spark.read.format("statestore").option("path", path).option("stateVarName", "last").load()
+    return rows.select(F.col("key.tm_key").alias("tm_key"), "value.*")
