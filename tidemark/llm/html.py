@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "head script style noscript template textarea title xmp iframe noembed noframes nav footer aside form button select option datalist dialog menu "
-    "object embed applet svg math canvas audio video map input label".split()
+    "head script style noscript template textarea title xmp iframe noembed noframes nav footer aside select option datalist dialog menu "
+    "object embed applet svg annotation annotation-xml canvas audio video map input".split()
 )
+# Controls that may stand in a sentence: their text stays there, and goes elsewhere.
+CONTROLS = frozenset(("button", "label"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -150,20 +152,28 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def _name_words(attributes: str) -> tuple[set[str], set[str], bool]:
-    """Words of class and id, roles, and whether the element is hidden."""
+def _name_words(attributes: str) -> tuple[set[str], set[str], bool, bool]:
+    """Words of class and id, roles, whether the element is hidden, and whether from screen readers only."""
     words: set[str] = set()
     roles: set[str] = set()
-    hidden = False
+    hidden = muted = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             words |= {w.lower() for w in _NAME_WORDS.findall(value)}
         elif key == "role":
             roles |= set(value.lower().split())
-        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
+        elif key == "hidden" or (key == "style" and _HIDDEN.search(value)):
             hidden = True
-    return words, roles, hidden
+        elif key == "aria-hidden" and value.lower() == "true":
+            muted = True
+    return words, roles, hidden, muted
+
+
+def _spoken(children: list[Node | str], at: int) -> bool:
+    """Whether a child stands in running text: words before and after it, right beside."""
+    around = (children[at - 1] if at else "", children[at + 1] if at + 1 < len(children) else "")
+    return all(isinstance(c, str) and not c.isspace() and c for c in around)
 
 
 def _measured(nodes: list[Node]) -> None:
@@ -182,33 +192,53 @@ def _measured(nodes: list[Node]) -> None:
 
 
 def _stripped(root: Node) -> None:
-    """Remove what is no article by its name, role, class or state."""
+    """Remove what is no article by its name, role, class or state.
+
+    What readers wrote goes by its name, unless it is or holds an `article` or `main` element that
+    is not a comment itself. Forms, elements muted while a dialog is open, and elements named
+    like boilerplate are left to `_judged`: any of them may be wrapped around the page.
+    """
     nodes = _ordered(root)
+    named = {id(x): _name_words(x.attributes) for x in nodes if x.attributes}
+    nothing = (set(), set(), False, False)
     landmark: dict[int, bool] = {}
+    article: dict[int, bool] = {}
     for x in reversed(nodes):
-        landmark[id(x)] = x.name in ("article", "main") or any(landmark[id(c)] for c in x.children if isinstance(c, Node))
+        words = named.get(id(x), nothing)[0]
+        own = x.name in ("article", "main")
+        inside = [c for c in x.children if isinstance(c, Node)]
+        landmark[id(x)] = own or any(landmark[id(c)] for c in inside)
+        article[id(x)] = (own and not (words & READERS and not words & ARTICLE)) or any(article[id(c)] for c in inside)
     doubtful: set[int] = set()
     articles: set[int] = set()
     for x in nodes:
         kept: list[Node | str] = []
-        for c in x.children:
+        for at, c in enumerate(x.children):
             if isinstance(c, Node):
-                if c.name in DROPPED:
+                if c.name in DROPPED or (c.name in CONTROLS and not _spoken(x.children, at)):
                     continue
                 if c.name == "header" and not any(a.name in ("article", "main") for a in _above(x)):
                     continue
-                if c.name in ("article", "main"):
+                own = c.name in ("article", "main")
+                if own:
                     articles.add(id(c))
+                if c.name == "form" and not landmark[id(c)]:
+                    doubtful.add(id(c))
                 if c.attributes and c.name not in ("html", "body"):
-                    words, roles, hidden = _name_words(c.attributes)
-                    if hidden or roles & DROPPED_ROLES or words & READERS:
+                    words, roles, hidden, muted = named[id(c)]
+                    if hidden or roles & DROPPED_ROLES:
                         continue
+                    if words & READERS and not (own and words & ARTICLE):
+                        if not own and not article[id(c)]:
+                            continue
+                        doubtful.add(id(c))
                     if words & ARTICLE:
                         articles.add(id(c))
-                    if words & BOILERPLATE and c.name not in KEPT_NAMES and not landmark[id(c)]:
+                    if not landmark[id(c)] and (muted or (words & BOILERPLATE and c.name not in KEPT_NAMES)):
                         doubtful.add(id(c))
             kept.append(c)
         x.children = kept
+    doubtful &= {id(x) for x in _ordered(root)}  # not those inside what has gone
     while doubtful:
         _judged(root, doubtful, articles)
 
@@ -227,7 +257,8 @@ def _judged(root: Node, doubtful: set[int], articles: set[int]) -> None:
 
     A block's characters outside links are its thickness, if links do not hold half of it. A
     subtree goes if the rest of the page holds an article: a block of prose, one at least
-    as thick, or an `article` or `main` element with text that is not around it. If the subtree is also named as an article or has the only title, the prose
+    as thick, or an `article` or `main` element with text that is not around it. A form without prose goes if there is
+    any other block. If the subtree is also named as an article or has the only title, the prose
     has to be inside an element named as an article; if another such subtree has prose, that is the article.
     """
     rest, named, landmarks = Part(root), Part(root), False
@@ -262,14 +293,18 @@ def _judged(root: Node, doubtful: set[int], articles: set[int]) -> None:
                 named.thick = max(named.thick, plain)
     as_article = {id(p): id(p.node) in articles or (p.title and not rest.title) for p in parts}
     other = any(as_article[id(p)] and p.thick >= PROSE for p in parts)
+    gone: dict[int, Node] = {}
     for p in parts:
         doubtful.discard(id(p.node))
         prose = (named if as_article[id(p)] else rest).thick >= PROSE
         beside = landmarks and not p.landmark and not as_article[id(p)]
-        if prose or beside or rest.thick >= p.thick or (other and not as_article[id(p)]):
-            above = p.node.parent
-            above.children = [c for c in above.children if c is not p.node]
+        thinner = rest.thick >= p.thick and not (p.node.name in ("article", "main") and p.thick >= PROSE)
+        bare = p.node.name == "form" and p.thick < PROSE and rest.thick > 0
+        if prose or beside or thinner or bare or (other and not as_article[id(p)]):
+            gone[id(p.node)] = p.node
             doubtful.difference_update(id(x) for x in _ordered(p.node))
+    for above in {id(x.parent): x.parent for x in gone.values()}.values():
+        above.children = [c for c in above.children if id(c) not in gone]
 
 
 def _density(x: Node, share: float) -> float:
