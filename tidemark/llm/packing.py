@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import base64
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import kept_table, ranked
+from tidemark.llm.shared import kept_table
 
 END = 2
+CLASSES = 16  # of lengths: each is packed by rounds of its own, the longest first
 CACHED_UNITS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,80 +100,159 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
     return rows.mapInArrow(run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Places for `counts[length]` pieces per length: (length, first rank, ranks, first sequence, offset).
+PLACED, LEFT, GAP = 0, 1, 2
+STATE = "kind int, id long, length long, seq long, room long, ord long"
 
-    Longest length first, every round gives the pieces of that length, by rank, to the
-    smallest gaps that hold them, one piece a gap; the gaps shrink and the next round
-    follows. What finds no gap opens sequences and fills them with its own length. Gaps of
-    one size that were opened and filled alike are one run, so the work depends on the
-    number of lengths, never on the number of pieces. Also returns the sequences opened.
-    """
-    plan: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    opened = 0
 
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                break
-            gap = sizes[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
-            n_now = min(n, left)
-            plan.append((length, rank, n_now, first, capacity - gap))
-            leave(gap, first + n_now, n - n_now)
-            leave(gap - length, first, n_now)
-            rank, left = rank + n_now, left - n_now
-        each = capacity // length
-        for n, held in ((left // each, each), (1, left % each)):
-            if not n or not held:
-                continue
-            for k in range(held):
-                plan.append((length, rank, n, opened, k * length))
-                rank += n
-            leave(capacity - held * length, opened, n)
-            opened += n
-    return plan, opened
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of pieces and gaps, largest first: every piece takes the smallest gap before it that no later piece has taken.
+
+    Gaps open and pieces close, so the matches are those of brackets: with the running depth as level, a
+    gap and the piece that takes it are neighbours among the rows of their level. Pieces that find no gap
+    here and gaps that no piece takes here leave with their number.
+    """
+    table = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()), ("room", pa.int64())]))
+    gap = table.column("id").is_null().to_numpy()
+    depth = np.cumsum(np.where(gap, 1, -1))
+    level = np.where(gap, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    pair = (level[order][1:] == level[order][:-1]) & gap[order][:-1] & ~gap[order][1:] if len(order) else np.zeros(0, bool)
+    opens, closes = order[:-1][pair], order[1:][pair]
+    free = np.ones(len(gap), bool)
+    free[opens] = free[closes] = False
+    docs, gaps = np.flatnonzero(free & ~gap), np.flatnonzero(free & gap)
+    at_doc, at_gap = np.concatenate([closes, docs]), np.concatenate([opens, gaps])
+    n, d, g = len(closes), len(docs), len(gaps)
+
+    def column(of: str, at: np.ndarray, before: int, after: int) -> pa.Array:
+        found = table.column(of).take(pa.array(at)).combine_chunks()
+        empty = pa.nulls(before, pa.int64()), pa.nulls(after, pa.int64())
+        return pa.concat_arrays([*found.chunks, *empty] if isinstance(found, pa.ChunkedArray) else [found, *empty])
+
+    def gap_column(of: str) -> pa.Array:
+        values = column(of, at_gap, 0, 0)
+        return pa.concat_arrays([values.slice(0, n), pa.nulls(d, pa.int64()), values.slice(n)])
+
+    kinds = np.repeat(np.array([PLACED, LEFT, GAP], np.int32), [n, d, g])
+    numbers = np.concatenate([np.zeros(n, np.int64), np.arange(d), np.arange(g)])
+    columns = [pa.array(kinds), column("id", at_doc, 0, g), column("length", at_doc, 0, g), gap_column("seq"), gap_column("room"), pa.array(numbers)]
+    yield pa.RecordBatch.from_arrays(columns, ["kind", "id", "length", "seq", "room", "ord"])
+
+
+def carried(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Which pieces left in one range take which gaps left in ranges before it, and how many take none.
+
+    `counts` has pieces and gaps left per range, in order; it has a row per range, whatever the input. A run
+    (range, first piece, end, range of the gaps or -1, number) says that its pieces take the gaps from that number
+    downwards, or, without gaps, are numbered from it upwards. There are at most three runs a range.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
+    held: list[list[int]] = []  # [range, gaps left], the smallest gaps last
+    alone = 0
+    for part in sorted(counts):
+        docs, gaps = counts[part]
+        at = 0
+        while at < docs and held:
+            source, left = held[-1]
+            n = min(docs - at, left)
+            runs.append((part, at, at + n, source, left - 1))
+            at += n
+            held[-1][1] -= n
+            if not held[-1][1]:
+                held.pop()
+        if at < docs:
+            runs.append((part, at, docs, -1, alone))
+            alone += docs - at
+        if gaps:
+            held.append([part, gaps])
+    return runs, alone
+
+
+def _round(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int, int]:
+    """One bulk round: placed, left and gap rows, how many pieces were placed, and how many were left.
+
+    Pieces and gaps are range-sorted by size, a gap before a piece of its size; each range is swept on its
+    own, then what is left of the ranges is matched by rank. `ord` numbers the pieces left.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("id", "length", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("room"), F.col("length").alias("_size"))
+    rows = rows.unionByName(gaps.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("length"), "seq", "room", F.col("room").alias("_size")))
+    order = [F.col("_size").desc(), F.col("id").isNotNull(), F.coalesce("id", "seq")]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "length", "seq", "room")
+    swept = kept_table(ranged.mapInArrow(_swept, STATE).withColumn("part", F.spark_partition_id()))
+    found = swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows a range
+    sizes = {(r["part"], r["kind"]): r["n"] for r in found}
+    counts = {part: (sizes.get((part, LEFT), 0), sizes.get((part, GAP), 0)) for part in {r["part"] for r in found}}
+    runs, alone = carried(counts)
+    placed = sum(n for (_, kind), n in sizes.items() if kind == PLACED) + sum(end - first for _, first, end, source, _ in runs if source >= 0)
+    if not runs:
+        return swept.drop("part"), placed, 0
+    table = spark.createDataFrame(runs, "_part int, _first long, _end long, _source int, _number long")
+    here = (F.col("part") == F.col("_part")) & (F.col("ord") >= F.col("_first")) & (F.col("ord") < F.col("_end"))
+    left = swept.where(F.col("kind") == LEFT).join(F.broadcast(table), here)
+    step = F.col("ord") - F.col("_first")
+    left = left.select("id", "length", "_source", F.when(F.col("_source") < 0, F.col("_number") + step).otherwise(F.col("_number") - step).alias("_number"))
+    free = swept.where(F.col("kind") == GAP).select("seq", "room", F.col("part").alias("_at"), F.col("ord").alias("_ord"))
+    met = left.join(free, (F.col("_source") == F.col("_at")) & (F.col("_number") == F.col("_ord")), "full")
+    kind = F.when(F.col("id").isNull(), GAP).when(F.col("seq").isNull(), LEFT).otherwise(PLACED)
+    resolved = met.select(kind.alias("kind"), "id", "length", "seq", "room", F.col("_number").alias("ord"))
+    return kept_table(resolved.union(swept.where(F.col("kind") == PLACED).drop("part"))), placed, alone
 
 
 def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """Give every piece a sequence and an offset; adds `sequence_id` and `offset`.
 
-    Pieces of `capacity` are sequences of their own. The others are numbered within their
-    length (a distributed rank; a frequent length is spread over many tasks), their counts
-    per length go to `best_fit` (fewer rows than `capacity`, whatever the input), and its
-    places, at most some thousand rows, are joined back by length and rank. An empty table
-    gives no rows; equal pieces take any of their places.
+    Pieces of `capacity` are sequences of their own. The others go by classes of lengths, the
+    longest first, in bulk-synchronous rounds (`_round`): pieces of the class and all gaps are range-sorted, successor
+    sweeps in all ranges match each piece with the smallest gap that holds it, a gap that several
+    want goes to one by rank, the gaps shrink, and the round is repeated while pieces are left and some were placed. What finds
+    no gap then opens sequences, dealt out evenly as many to each as the class allows. The driver sees
+    counts per range only. An empty table gives no rows; equal pieces take any of their places.
     """
     spark = cut.sparkSession
-    cut = kept_table(cut)
-    short = cut.where(F.col("length") < capacity)
-    counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, opened = best_fit(counts, capacity)
-    places = spark.createDataFrame(
-        [(a, b, b + n, s, o) for a, b, n, s, o in plan], "_length long, _from long, _to long, _first long, offset long"
-    )
-    rows = ranked(short, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_at")
-    inside = (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    placed = rows.join(F.broadcast(places), inside).withColumn("sequence_id", F.col("_first") + F.col("_at") - F.col("_from"))
-    whole = (
-        cut.where(F.col("length") == capacity)
-        .withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(opened))
-        .withColumn("offset", F.lit(0).cast("long"))
+    cut = kept_table(cut.withColumn("_id", F.monotonically_increasing_id()))
+    width = max(1, capacity // CLASSES)
+    short = cut.where(F.col("length") < capacity).select(F.col("_id").alias("id"), "length")
+    classes = F.floor((F.lit(capacity - 1) - F.col("length")) / width).cast("int")
+    classed = {r["class"]: r["top"] for r in short.groupBy(classes.alias("class")).agg(F.max("length").alias("top")).collect()}
+    gaps = spark.createDataFrame([], "seq long, room long")
+    places: list[DataFrame] = []
+    opened = 0
+    for number, top in sorted(classed.items()):
+        docs = short.where(classes == number)
+        least = capacity - 1 - width * (number + 1)  # every piece of the class is longer
+        while True:
+            rows, placed, left = _round(docs, gaps.where(F.col("room") > least))
+            places.append(rows.where(F.col("kind") == PLACED).select("id", "seq", (F.lit(capacity) - F.col("room")).alias("offset")))
+            shrunk = rows.where((F.col("kind") == GAP) | (F.col("room") > F.col("length"))).where(F.col("kind") != LEFT)
+            gaps = gaps.where(F.col("room") <= least).unionByName(
+                shrunk.select("seq", (F.col("room") - F.coalesce("length", F.lit(0))).alias("room"))
+            )
+            docs = rows.where(F.col("kind") == LEFT).select("id", "length", "ord")
+            if not left or not placed or 2 * least >= capacity:
+                break
+        if left:
+            each = capacity // top
+            fresh = -(-left // each)
+            dealt = docs.select("id", "length", (F.col("ord") % fresh + opened).alias("seq"), F.floor(F.col("ord") / fresh).alias("_k"))
+            # At most `each` pieces a sequence.
+            before = Window.partitionBy("seq").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+            dealt = dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)) if each > 1 else F.lit(0).cast("long"))
+            dealt = kept_table(dealt.select("id", "length", "seq", "offset"))
+            places.append(dealt.select("id", "seq", "offset"))
+            room = dealt.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("room")) if each > 1 else dealt.select("seq", (F.lit(capacity) - F.col("length")).alias("room"))
+            gaps = gaps.unionByName(room.where(F.col("room") > 0))
+            opened += fresh
+        gaps = kept_table(gaps)
+    whole = cut.where(F.col("length") == capacity).select(
+        *[c for c in cut.columns if c != "_id"], (F.monotonically_increasing_id() + F.lit(opened)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    return placed.select(*cut.columns, "sequence_id", "offset").unionByName(whole)
+    if not places:
+        return whole
+    found = reduce(DataFrame.unionByName, places).select("id", F.col("seq").alias("sequence_id"), "offset")
+    placed = cut.where(F.col("length") < capacity).join(found, F.col("_id") == F.col("id"))
+    return placed.select(*[c for c in cut.columns if c != "_id"], "sequence_id", "offset").unionByName(whole)
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
