@@ -1,8 +1,8 @@
 """Stateful derivations on a stream: the counterparts of the batch window operators.
 
 State is one small value per series in the RocksDB store; it lives on unless a time to live is given.
-Rows of a series arrive unordered inside a micro-batch and are sorted before
-the state is applied. A row not later than the last accepted one of its series
+Rows of a series arrive unordered inside a micro-batch, are sorted and derived
+as arrays, the state coming in as the row before the first. A row not later than the last accepted one of its series
 gets NULL and leaves the state alone.
 
 A micro-batch bounds what one series can hold in memory: set
@@ -14,6 +14,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,35 @@ STARTED = ("rate", "delta", "prev", "ratio")
 KINDS = ("rate", "delta", "prev", "ratio", "share", "changed_rate")
 
 
-def _two(x: float | None) -> float | None:
-    return None if x is None or x != x else float(f"{x:.2f}") + 0.0
+def _two(x: np.ndarray) -> np.ndarray:
+    """Two places, as fixed-point formatting rounds: only values close to a tie are formatted."""
+    with np.errstate(all="ignore"):
+        y = x * 100
+        out = np.floor(y + 0.5) / 100
+        near = (np.abs(y - np.floor(y) - 0.5) <= 1e-3) | ((np.abs(y) >= 1e12) & np.isfinite(y))
+    for k in np.flatnonzero(near):
+        out[k] = float(f"{x[k]:.2f}")
+    return out + 0.0
 
 
-def _rate(d: int, dt: int, reset: float) -> float:
-    return reset if d < 0 else _two(d / dt)
+def _rates(d: np.ndarray, dt: np.ndarray, reset: float) -> np.ndarray:
+    """Integer differences over seconds; exact where a double could not hold them."""
+    x = d.astype(float) / dt
+    for k in np.flatnonzero(np.abs(d.astype(float)) >= 2.0**53):
+        x[k] = int(d[k]) / int(dt[k])
+    return np.where(d < 0, reset, _two(x))
+
+
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b, in Python integers where 64 bits might not do."""
+    if a.dtype == np.int64 and len(a) and max(np.abs(a.astype(float)).max(), np.abs(b.astype(float)).max()) >= 2.0**62:
+        return a.astype(object) - b.astype(object)
+    return a - b
+
+
+def _before(values: list[np.ndarray], first: Sequence | None) -> list[np.ndarray]:
+    """Each row's predecessor, that of the first row from the state (or the row itself without one)."""
+    return [np.concatenate([[v[0] if first is None else first[i]], v[:-1]]).astype(v.dtype) if len(v) else v for i, v in enumerate(values)]
 
 
 class Derivation(StatefulProcessor):
@@ -63,30 +87,30 @@ class Derivation(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["tm_ts", "tm_seq"], kind="stable")
+        pdf = pdf.sort_values(["tm_ts", "tm_seq"], kind="stable", ignore_index=True)
         last = self.last.get() if self.last.exists() else None
-        passed = self.passed.get() if self.passed.exists() else None
-        values = list(zip(*[pdf[f"tm_v{i}"].tolist() for i in range(self.width)]))
-        step = getattr(self, "_" + self.kind)
-        keep, found = [], []
-        for ok, ts, seq, v in zip(pdf["tm_ok"].tolist(), pdf["tm_ts"].tolist(), pdf["tm_seq"].tolist(), values):
-            if not ok or (last is not None and not self._later(ts, seq, last)):
-                # Gates and shares emit nothing for such a row.
-                keep.append(self.kind not in ("share", "changed_rate"))
-                found.append([None] * len(self.outs))
-                continue
-            result, passed = step(ts, v, last, passed)
-            last = self._state(ts, seq, v)
-            keep.append(result is not None)
-            found.append([None] * len(self.outs) if result is None else result)
-        if last is not None:
-            self.last.update(last)
-        if passed is not None:
-            self.passed.update(passed)
+        ts, seq, ok = pdf["tm_ts"].to_numpy(np.int64), pdf["tm_seq"].to_numpy(np.int64), pdf["tm_ok"].to_numpy(bool)
+        values = [pdf[f"tm_v{i}"].to_numpy(np.int64 if self._whole else float) for i in range(self.width)]
+        at = self._accepted(ts, seq, np.flatnonzero(ok), last)
+        taken = [v[at] for v in values]
+        found, keep = np.full((len(self.outs), len(pdf)), np.nan), np.full(len(pdf), self.kind not in ("share", "changed_rate"))
+        if len(at):
+            kept, results = getattr(self, "_" + self.kind)(ts[at], taken, last)
+            found[:, at[kept]] = results
+            keep[at] = kept
+            self.last.update(self._state(ts[at[-1]], seq[at[-1]], [v[-1] for v in taken]))
         out = pdf.drop(columns=["tm_ok", "tm_ts", "tm_seq", "tm_key", *[f"tm_v{i}" for i in range(self.width)]])
-        for i, name in enumerate(self.outs):
-            out[name] = pd.Series([f[i] for f in found], index=out.index, dtype="float64")
-        yield out[pd.Series(keep, index=out.index)]
+        for name, column in zip(self.outs, found, strict=True):
+            out[name] = column
+        yield out[keep]
+
+    def _accepted(self, ts: np.ndarray, seq: np.ndarray, at: np.ndarray, last: tuple | None) -> np.ndarray:
+        """Of the usable rows, those later than the state and than the one before: a rate looks at the time alone."""
+        before_ts, before_seq = np.concatenate([[-(2**62)], ts[at][:-1]]), np.concatenate([[0], seq[at][:-1]])
+        later = ts[at] > before_ts if self.kind == "rate" else (ts[at] > before_ts) | ((ts[at] == before_ts) & (seq[at] > before_seq))
+        if last is not None:
+            later &= (ts[at] > last[0]) if self.kind == "rate" else (ts[at] > last[0]) | ((ts[at] == last[0]) & (seq[at] > last[1]))
+        return at[later]
 
     def close(self) -> None:
         pass
@@ -95,52 +119,72 @@ class Derivation(StatefulProcessor):
     def _whole(self) -> bool:
         return self.kind in ("rate", "changed_rate")
 
-    def _state(self, ts: int, seq: int, v: Sequence) -> tuple:
-        return (ts, seq, list(v), []) if self._whole else (ts, seq, [], [float(x) for x in v])
+    def _state(self, ts, seq, v: Sequence) -> tuple:
+        whole = [int(x) for x in v] if self._whole else []
+        return (int(ts), int(seq), whole, [] if self._whole else [float(x) for x in v])
 
-    def _held(self, state: tuple) -> Sequence:
-        return state[2] if self._whole else state[3]
+    def _held(self, state: tuple | None) -> Sequence | None:
+        return None if state is None else state[2] if self._whole else state[3]
 
-    def _later(self, ts: int, seq: int, state: tuple) -> bool:
-        return ts > state[0] if self.kind == "rate" else (ts, seq) > (state[0], state[1])
+    # Each gets the accepted rows and the state, and returns which of them give a result, and the results.
 
-    def _rate(self, ts, v, last, passed):
+    def _rate(self, ts, v, last):
+        before = _before(v, self._held(last))
+        dt = ts - _before([ts], None if last is None else [last[0]])[0]
+        rates = np.stack([_rates(_minus(a, b), np.maximum(dt, 1), self.reset) for a, b in zip(v, before, strict=True)])
         if last is None:
-            return [0.0] * len(v), passed
-        return [_rate(a - b, ts - last[0], self.reset) for a, b in zip(v, self._held(last))], passed
+            rates[:, 0] = 0.0
+        return np.ones(len(ts), bool), rates
 
-    def _delta(self, ts, v, last, passed):
-        return [0.0 if last is None else _two(v[0] - self._held(last)[0])], passed
+    def _delta(self, ts, v, last):
+        change = _two(v[0] - _before(v, self._held(last))[0])
+        if last is None:
+            change[0] = 0.0
+        return np.ones(len(ts), bool), change[None]
 
-    def _prev(self, ts, v, last, passed):
-        return [0.0 if last is None else self._held(last)[0]], passed
+    def _prev(self, ts, v, last):
+        return np.ones(len(ts), bool), _before(v, [0.0] if last is None else self._held(last))[0][None]
 
-    def _ratio(self, ts, v, last, passed):
-        n, d = (0.0, 0.0) if last is None else self._held(last)
-        grew = v[0] > n and v[1] > d
-        return [_two((v[0] - n) / (v[1] - d)) if grew else 0.0], passed
+    def _ratio(self, ts, v, last):
+        n, d = _before(v, [0.0, 0.0] if last is None else self._held(last))
+        grew = (v[0] > n) & (v[1] > d)
+        with np.errstate(all="ignore"):
+            ratio = _two((v[0] - n) / (v[1] - d))
+        return np.ones(len(ts), bool), np.where(grew, ratio, 0.0)[None]
 
-    def _share(self, ts, v, last, passed):
+    def _share(self, ts, v, last):
         """Total first, then the parts, which remember the last emitted row."""
-        moved = 0.0 if last is None else _two(v[0] - self._held(last)[0])
-        if moved == 0:
-            return None, passed
-        before = v if passed is None else self._held(passed)
-        shares = [_two(a - b) / moved * 100 + 0.0 for a, b in zip(v[1:], before[1:])]
-        return shares, self._state(ts, 0, v)
-
-    def _changed_rate(self, ts, v, last, passed):
+        passed = self.passed.get() if self.passed.exists() else None
+        moved = _two(v[0] - _before([v[0]], self._held(last))[0])
+        if last is None:
+            moved[0] = 0.0
+        emitted = ~np.isnan(moved) & (moved != 0)
+        rows = [x[emitted] for x in v]
+        before = _before(rows, self._held(passed))
+        with np.errstate(all="ignore"):
+            shares = [_two(a - b) / moved[emitted] * 100 + 0.0 for a, b in zip(rows[1:], before[1:], strict=True)]
+        if emitted.any():
+            self.passed.update(self._state(ts[emitted][-1], 0, [x[-1] for x in rows]))
+        return emitted, np.stack(shares) if shares else np.empty((0, int(emitted.sum())))
+
+    def _changed_rate(self, ts, v, last):
         """Emit if any value grew since the last row; rate since the last emitted one."""
-        before = [0] * len(v) if last is None else self._held(last)
-        if not any(a > b for a, b in zip(v, before)):
-            return None, passed
-        if passed is not None and ts <= passed[0]:
-            return [None] * len(v), passed
-        if passed is None:
-            rates = [0.0] * len(v)
-        else:
-            rates = [_rate(a - b, ts - passed[0], self.reset) for a, b in zip(v, self._held(passed))]
-        return rates, self._state(ts, 0, v)
+        passed = self.passed.get() if self.passed.exists() else None
+        before = _before(v, [0] * len(v) if last is None else self._held(last))
+        grew = np.any([a > b for a, b in zip(v, before, strict=True)], axis=0)
+        at = ts[grew]
+        # A second row of a second is emitted without a rate and not remembered.
+        first = np.concatenate([[True], at[1:] > at[:-1]])[: len(at)] & (True if passed is None else at > passed[0])
+        rows = [x[grew][first] for x in v]
+        rates = np.full((len(v), len(at)), np.nan)
+        if first.any():
+            dt = at[first] - _before([at[first]], None if passed is None else [passed[0]])[0]
+            held = _before(rows, self._held(passed))
+            rates[:, first] = [_rates(_minus(a, b), np.maximum(dt, 1), self.reset) for a, b in zip(rows, held, strict=True)]
+            if passed is None:
+                rates[:, np.flatnonzero(first)[0]] = 0.0
+            self.passed.update(self._state(at[first][-1], 0, [x[-1] for x in rows]))
+        return grew, rates
 
 
 def stateful(
