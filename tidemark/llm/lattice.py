@@ -87,6 +87,9 @@ def _hash(piece: bytes) -> int:
     return h
 
 
+LONG, LONG_BLOCK = 2_000, 1 << 14  # bytes from which on a word is walked alone, and how many places at a time
+
+
 class Lattice:
     """Marginals and expected piece counts of words under `log_p` (natural logarithms)."""
 
@@ -120,17 +123,72 @@ class Lattice:
             out[target, where] = np.logaddexp(out[target, where], more)
         return out
 
+    @staticmethod
+    def _long(words: list[bytes]) -> list[int]:
+        return [i for i, w in enumerate(words) if len(w) > LONG]
+
     def groups(self, words: list[bytes]) -> Iterator[np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(sizes):
+        for n in np.unique(sizes[sizes <= LONG]):
             at = np.flatnonzero(sizes == n)
             most = max(1, 40_000 // (int(n) + 1))
             for k in range(0, len(at), most):
                 yield at[k : k + most]
 
+    def _steps(self, coded: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the places `a` to `b` of a word: the piece of each length that begins there (or -1), and its log probability."""
+        reach = self.vocabulary.longest
+        piece = np.full((b - a, reach), -1, np.int64)
+        key = np.zeros(b - a, np.uint64)
+        for k in range(reach):
+            inside = min(b, len(coded) - k) - a
+            if inside <= 0:
+                break
+            key = key[:inside] * _BASE + coded[a + k : a + k + inside]
+            where, found = self.vocabulary.find(key)
+            piece[where, k] = found
+        return piece, np.where(piece >= 0, self.log_p[piece], -np.inf)
+
+    def _forward(self, coded: np.ndarray) -> np.ndarray:
+        """Of a long word, place by place: the log of the summed probabilities of all ways there."""
+        reach, n = self.vocabulary.longest, len(coded)
+        out = np.full(n + reach + 1, -np.inf)
+        out[0] = 0.0
+        for a in range(0, n, LONG_BLOCK):
+            for s, step in enumerate(self._steps(coded, a, min(n, a + LONG_BLOCK))[1], a):
+                ahead = out[s + 1 : s + 1 + reach]
+                np.logaddexp(ahead, out[s] + step, out=ahead)
+        return out[: n + 1]
+
+    def _long_uses(self, word: bytes, count: float) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of the pieces of one long word, block by block from its end."""
+        coded = _BYTE[np.frombuffer(b" " + word, np.uint8)]
+        reach, n = self.vocabulary.longest, len(coded)
+        alpha = self._forward(coded)
+        beta = np.full(n + reach + 1, -np.inf)
+        beta[n] = 0.0
+        total = np.zeros(len(self.log_p))
+        for a in range((n - 1) // LONG_BLOCK * LONG_BLOCK, -1, -LONG_BLOCK):
+            b = min(n, a + LONG_BLOCK)
+            piece, step = self._steps(coded, a, b)
+            for s in range(b - 1, a - 1, -1):
+                beta[s] = np.logaddexp.reduce(step[s - a] + beta[s + 1 : s + 1 + reach])
+            ends = np.arange(a, b)[:, None] + np.arange(1, reach + 1)
+            used = piece >= 0
+            p = np.exp((alpha[a:b, None] + step + beta[ends])[used] - alpha[n]) * count
+            total += np.bincount(piece[used], p, len(total))
+        found = np.flatnonzero(total)
+        return found, total[found]
+
     def marginals(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word, summed over all its segmentations."""
+        """Log probability of each word, summed over all its segmentations.
+
+        Words of more than `LONG` bytes are walked place by place with a window of the longest piece;
+        the others together, by their length.
+        """
         out = np.empty(len(words))
+        for i in self._long(words):
+            out[i] = self._forward(_BYTE[np.frombuffer(b" " + words[i], np.uint8)])[-1]
         for at in self.groups(words):
             part = [words[i] for i in at]
             n = len(part[0]) + 1
@@ -140,6 +198,10 @@ class Lattice:
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations by their probability."""
         pieces, uses = [], []
+        for i in self._long(words):
+            found, used = self._long_uses(words[i], float(counts[i]))
+            pieces.append(found)
+            uses.append(used)
         for at in self.groups(words):
             part = [words[i] for i in at]
             n = len(part[0]) + 1
