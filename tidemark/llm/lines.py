@@ -88,7 +88,7 @@ def _occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
     return lines.select("doc_id", "_t", "line_no", "n_chars", F.xxhash64("line").alias("_h1"), F.xxhash64(F.lit(1), "line").alias("_h2"), "line")
 
 
-def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of lines that `edits` single-character edits link, over all documents.
 
     A row per line of at least `min_chars` characters that is not blank (1 takes them all,
@@ -146,7 +146,7 @@ def near_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the lines that an earlier line of their class repeats, columns unchanged.
 
     A column `n_chars` is brought up to date. Documents that lose all their lines that are

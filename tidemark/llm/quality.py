@@ -140,31 +140,21 @@ def _encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1), batch.column(2), sizes], ["bag", "label", "doc_id", "n"])
 
 
-def _thinned(most: int):
-    """Bags of more than `most` passages with as many of theirs, evenly spread."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = []
-            for b in batch.column(0):
-                x = np.frombuffer(b.as_py(), "<f4").reshape(-1, WIDTH)
-                bags.append((x if len(x) <= most else x[np.arange(most) * len(x) // most]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1), batch.column(2)], ["bag", "label", "doc_id"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on about `SAMPLE` labelled rows at most, which `usable` (over `doc_id`) admits.
 
-    Passages are encoded and stored on the executors. Training sees all those of the sampled
-    documents, one row per id; if they are more than `PASSAGES`, an even spread of each
-    document's, so that no more than `PASSAGES` leave for the driver.
+    Passages are encoded and stored on the executors. Rows, one per id, are taken whole in the order of a
+    hash of the id for as long as they hold no more than `PASSAGES` passages together, so that no more leave
+    for the driver; one that would not fit in what is left is no row of the sample.
     """
     sample = labelled_sample(docs, labels, label, usable, SAMPLE, id_col, text_col)
     bagged = kept_table(sample.select("text", "label", "doc_id").mapInArrow(_encoded_rows, "bag binary, label int, doc_id long, n long"))
-    rows, total = bagged.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    most = PASSAGES if total <= PASSAGES else max(1, PASSAGES // rows)
-    table = bagged.drop("n").mapInArrow(_thinned(most), "bag binary, label int, doc_id long").toArrow().sort_by("doc_id")
+    drawn, room = [], PASSAGES
+    for r in sorted(bagged.select("doc_id", "n", F.xxhash64(F.lit("taken"), "doc_id").alias("at")).collect(), key=lambda r: r["at"]):  # about `SAMPLE` at most
+        if r["n"] <= room:
+            drawn.append(r["doc_id"])
+            room -= r["n"]
+    table = bagged.where(F.col("doc_id").isin(drawn)).drop("n").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b.as_py(), "<f4").reshape(-1, WIDTH) for b in table.column("bag")]
     return trained(bags, table.column("label").to_numpy().astype(float))
 
