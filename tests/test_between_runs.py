@@ -312,3 +312,12 @@ def test_a_table_function_reads_a_custom_payload(spark):
     register_table_function(spark, "mine_pairs", parse, raw.drop("payload").schema)
     raw.filter("payload is not null").createOrReplaceTempView("mine_raw")
     assert spark.sql("SELECT count(*) FROM mine_pairs(TABLE(mine_raw)) WHERE name = 'a'").first()[0] == 2
+
+
+def test_a_stream_of_some_sources_and_a_time_range(spark, scratch):
+    from tidemark.sources.scrapes import stream_scrapes
+
+    scrapes(spark, [("a", ts, 1) for ts in (10, 20, 30)]).write.parquet(scratch + "/in")
+    stream = stream_scrapes(spark, scratch + "/in", ["redis"], since=20, until=30)
+    cycle.start(stream, cycle.table_sink(scratch + "/out"), "ranged", None, scratch + "/cp").awaitTermination()
+    assert [r["ts_s"] for r in spark.read.parquet(scratch + "/out").collect()] == [20]

@@ -45,12 +45,14 @@ def stream_scrapes(
     path: str,
     sources: Sequence[str] | None = None,
     max_files: int | None = None,
+    since: int | None = None,
+    until: int | None = None,
 ) -> DataFrame:
-    """Landed scrape files as a stream."""
+    """Landed scrape files as a stream, of some sources and a time range; both filters reach the scan."""
     reader = spark.readStream.schema(RAW_SCRAPES)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _select(reader.parquet(path), sources, None, None)
+    return _select(reader.parquet(path), sources, since, until)
 
 
 def write_scrapes(df: DataFrame, path: str, mode: str = "append") -> None:
