@@ -127,6 +127,27 @@ PAYLOADS = {
         {("elasticsearch_active_shards", ()): 5.0, ("elasticsearch_relocating_shards", ()): 0.0,
          ("elasticsearch_initializing_shards", ()): 1.0, ("elasticsearch_unassigned_shards", ()): 2.0},
     ),
+    "ceph": (
+        '{"health":{"status":"HEALTH_WARN","checks":{"PG_DEGRADED":{"summary":"Degraded data: 12/300 objects degraded (4.000%), 3 pgs"}}},'
+        '"pgmap":{"bytes_avail":10,"bytes_total":30,"bytes_used":20,"data_bytes":5,"num_pgs":8,"write_bytes_sec":7}}',
+        {("ceph_bytes_avail", ()): 10.0, ("ceph_bytes_total", ()): 30.0, ("ceph_bytes_used", ()): 20.0, ("ceph_data_bytes", ()): 5.0, ("ceph_num_pgs", ()): 8.0,
+         ("ceph_write_bytes_sec", ()): 7.0, ("ceph_degraded_percent", ()): 4.0, ("ceph_misplaced_percent", ()): 0.0,
+         **{(f"ceph_{n}", ()): 0.0 for n in ("read_bytes_sec", "degraded_objects", "degraded_ratio", "degraded_total", "misplaced_objects",
+            "misplaced_ratio", "misplaced_total", "recovering_bytes_per_sec", "num_objects_recovered", "recovering_keys_per_sec")}},
+    ),
+    "ceph_osd": (
+        '{"nodes":[{"name":"osd.0","utilization":1.5,"kb_avail":10,"kb_used":2}]}',
+        {("ceph_osd_utilization", (("osd_name", "osd.0"),)): 1.5, ("ceph_osd_space_avail", (("osd_name", "osd.0"),)): 10.0,
+         ("ceph_osd_space_used", (("osd_name", "osd.0"),)): 2.0},
+    ),
+    "storm_topology": (
+        '{"name":"t1","topologyStats":[{"windowPretty":"10m 0s","emitted":1},{"windowPretty":"All time","emitted":9,"transferred":0,"acked":null}]}',
+        {("storm_emitted", (("name", "t1"),)): 9.0, ("storm_acked", (("name", "t1"),)): 0.0, ("storm_failed", (("name", "t1"),)): 0.0},
+    ),
+    "hdfs_dirsize": (
+        '{"/user/web logs/":{"length":5,"directoryCount":1,"spaceConsumed":15,"fileCount":2}}',
+        {(f"hdfs_dir_{n}", (("hadoop_dir", "user_web_logs"),)): v for n, v in (("length", 5.0), ("directorycount", 1.0), ("spaceconsumed", 15.0), ("filecount", 2.0))},
+    ),
     "elasticsearch_totals": (
         '{"_shards":{"total":6},"_all":{"primaries":{"docs":{"count":100}},"total":{"store":{"size_in_bytes":9}}}}',
         {("elasticsearch_cluster_docs", ()): 100.0, ("elasticsearch_cluster_ingest_rate", ()): 0.0, ("elasticsearch_cluster_shards", ()): 6.0,
@@ -382,3 +403,12 @@ def test_devices_that_are_no_whole_disk(spark):
     parts = ["sda1", "sdab12", "vdc3", "nvme0n1p2", "mmcblk0p1", "mmcblk0boot0", "sr0", "zram0", "ram1", "loop0", "loop12", "md0p1"]
     df = spark.createDataFrame([(d,) for d in disks + parts], "device string")
     assert sorted(r["device"] for r in df.filter(whole_disk(F.col("device"))).collect()) == sorted(disks)
+
+
+def test_devices_by_their_object_ids(spark):
+    from tidemark.checks.text_services import snmp_check
+
+    names = spark.createDataFrame([("sw1", ".1.3.6.1", "uptime"), ("sw2", ".1.3.6.1", "other")], "device string, oid string, name string")
+    raw = spark.createDataFrame([("sw1", "snmp", "c", 1, "text", "iso.3.6.1 = INTEGER: 42\n.1.9.9 = INTEGER: 1")], RAW)
+    got = [(r["name"], r["tags"], r["value"]) for r in checks.run_checks(raw, [snmp_check(names)]).collect()]
+    assert got == [("snmp_uptime", {"devicename": "sw1"}, 42.0)]

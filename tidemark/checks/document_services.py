@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.checks.events import EVENT, MESSAGE, Health
 from tidemark.checks.registry import Check, as_samples, register
 from tidemark.functions.numbers import fixed, ratio
-from tidemark.functions.text import replace_chain
+from tidemark.functions.text import percent_from_text, replace_chain
 from tidemark.operators.filters import allow_or_all
 from tidemark.operators.resume import SeriesState
 from tidemark.operators.sets import union_sources
-from tidemark.operators.windows import delta_ratio
+from tidemark.operators.windows import changed, delta_ratio
 from tidemark.sources.base import DOCUMENT, document, finish, scrape_columns
 from tidemark.sources.documents import Path, extract_named_arrays, extract_paths, plain_stat_name
 from tidemark.sources.opened import JSON_TEXT, PARSED
@@ -329,6 +329,75 @@ def docker(df: DataFrame) -> DataFrame:
     return union_sources(share, plain, nets).withColumn("chart_type", chart)
 
 
+CEPH_ALWAYS = ("bytes_avail", "bytes_total", "bytes_used", "data_bytes", "num_pgs")
+# Listed only while something is going on; 0 otherwise.
+CEPH_SOMETIMES = (
+    "read_bytes_sec", "write_bytes_sec", "degraded_objects", "degraded_ratio", "degraded_total", "misplaced_objects", "misplaced_ratio",
+    "misplaced_total", "recovering_bytes_per_sec", "num_objects_recovered", "recovering_keys_per_sec",
+)
+CEPH_SHARES = (("PG_DEGRADED", "ceph_degraded_percent"), ("OBJECT_MISPLACED", "ceph_misplaced_percent"))
+CEPH_OSD = (("utilization", "utilization"), ("kb_avail", "space_avail"), ("kb_used", "space_used"))
+STORM_COUNTERS = ("emitted", "transferred", "acked", "failed")
+HDFS_SIZES = ("length", "directoryCount", "spaceConsumed", "fileCount")
+
+
+def ceph(df: DataFrame) -> DataFrame:
+    """Cluster status: placement map, percentages out of the health texts, and the state as an event."""
+    keep = scrape_columns(df)
+    doc = document(df)
+
+    def text(path: str) -> Column:
+        return F.try_variant_get(doc, path, "string")
+
+    sometimes = [(f"ceph_{n}", F.coalesce(text(f"$.pgmap.{n}"), F.lit("0"))) for n in CEPH_SOMETIMES]
+    shares = [
+        (name, F.coalesce(percent_from_text(text(f"$.health.checks.{check}.summary")).cast("string"), F.lit("0.0"))) for check, name in CEPH_SHARES
+    ]
+    state = F.coalesce(text("$.health.status"), text("$.health.overall_status"))
+    found = [
+        *[(f"ceph_{n}", text(f"$.pgmap.{n}"), "gauge") for n in CEPH_ALWAYS], *[(n, v, "gauge") for n, v in (*sometimes, *shares)],
+        ("ceph_status", state, EVENT),
+    ]
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value_raw"), F.lit(style).alias("style")) for n, v, style in found])
+    rows = df.filter(F.try_variant_get(doc, "$.pgmap", "variant").isNotNull()).select(*keep, F.posexplode(parts).alias("_at", "_p"))
+    rows = rows.filter(F.col("_p.value_raw").isNotNull())
+    rows = rows.select(*keep, F.col("_at").cast("bigint").alias("seq"), "_p.name", "_p.value_raw", "_p.style")
+    rated = F.col("name").isin("ceph_read_bytes_sec", "ceph_write_bytes_sec")
+    return finish(rows.withColumn("chart_type", F.when(rated, "Rate")), [*keep, "style", "chart_type"])
+
+
+def storm_counters(df: DataFrame) -> DataFrame:
+    """All-time counters of a topology, one row each; a missing one counts as 0."""
+    keep = scrape_columns(df)
+    doc = document(df)
+    stats = F.filter(F.try_variant_get(doc, "$.topologyStats", "array<variant>"), lambda v: F.try_variant_get(v, "$.windowPretty", "string") == "All time")
+    whole = F.get(stats, F.lit(0))
+    parts = F.array(*[F.struct(F.lit(f"storm_{c}").alias("name"), F.try_variant_get(whole, f"$.{c}", "double").alias("v")) for c in STORM_COUNTERS])
+    rows = df.filter(whole.isNotNull()).select(*keep, F.try_variant_get(doc, "$.name", "string").alias("topology"), F.posexplode(parts).alias("_at", "_p"))
+    return rows.select(*keep, "topology", F.col("_at").cast("bigint").alias("seq"), F.col("_p.name").alias("counter"), "_p.v")
+
+
+def grown_counters(rows: DataFrame, ranges: int | None = None, resume: SeriesState | None = None) -> DataFrame:
+    """Counters that grew since the scrape before; those without a value as 0."""
+    keep = scrape_columns(rows.drop("topology", "counter", "v"))
+    known = changed(rows.filter(F.col("v").isNotNull()), ["v"], ("host", "topology", "counter"), ranges=ranges, resume=resume)
+    out = known.unionByName(rows.filter(F.col("v").isNull()).withColumn("v", F.lit(0.0)))
+    return out.select(
+        *keep, "seq", F.col("counter").alias("name"), F.create_map(F.lit("name"), F.col("topology")).alias("tags"),
+        F.col("v").cast("string").alias("value_raw"), F.col("v").alias("value"), F.lit("float").alias("value_kind"), F.lit("Counter").alias("chart_type"),
+    )
+
+
+def hdfs_sizes(df: DataFrame) -> DataFrame:
+    """Content summaries of folders, tag `hadoop_dir`: the folder without slashes at its ends, underscores inside."""
+    rows = extract_paths(
+        df, [Path(f"$.{n}", f"hdfs_dir_{n.lower()}") for n in HDFS_SIZES], each="$", tag="hadoop_dir"
+    )
+    # One folder per key of the payload.
+    clean = F.translate(F.trim(F.translate(F.col("tags")["hadoop_dir"], "/", " ")), " ", "_")
+    return rows.withColumn("_tags", F.create_map(F.lit("hadoop_dir"), clean)).drop("tags").withColumnRenamed("_tags", "tags").withColumn("reaction", F.lit(-3))
+
+
 def _container(doc: Column) -> Column:
     return F.replace(F.try_variant_get(doc, "$.name", "string"), F.lit("/"), F.lit(""))
 
@@ -527,6 +596,13 @@ for _name, _check in {
         Health("elasticsearch_status", "ElasticSearch-Health", kind="state"),
     )),
     "docker": Check("docker", docker, (), "docker", form=PARSED),
+    "ceph": Check("ceph", ceph, (), "ceph", form=PARSED, health=(Health("ceph_status", "Ceph-Health", kind="state"),)),
+    "ceph_pg": Check("ceph_pg", partial(extract_paths, spec=[Path("$.io_sec", "ceph_io_sec")]), (), "ceph", form=PARSED),
+    "ceph_osd": Check("ceph_osd", partial(
+        extract_paths, spec=[Path(f"$.{n}", f"ceph_osd_{m}") for n, m in CEPH_OSD], each="$.nodes", tag="osd_name", tag_path="$.name",
+    ), (), "ceph", form=PARSED),
+    "storm_topology": Check("storm_topology", storm_counters, (), "storm_topology", form=PARSED, derive=grown_counters),
+    "hdfs_dirsize": Check("hdfs_dirsize", hdfs_sizes, (), "hdfs", form=PARSED),
     "docker_usage": Check("docker", container_times, (), "docker", form=PARSED, derive=container_usage),
 }.items():
     register(_name, _check)

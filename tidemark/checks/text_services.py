@@ -12,6 +12,7 @@ from tidemark.checks.registry import Check, Recipe, as_samples, gauges, rates, r
 from tidemark.functions.numbers import fixed, int_text, percent_of, percent_rest
 from tidemark.functions.text import path_tag
 from tidemark.operators.filters import digits_only, not_loopback, whole_disk
+from tidemark.operators.joins import resolve_oid
 from tidemark.operators.projections import extract_all_indexed
 from tidemark.operators.sets import union_sources
 from tidemark.operators.resume import SeriesState
@@ -251,6 +252,24 @@ def sockets(df: DataFrame) -> DataFrame:
     return finish(long, keep)
 
 
+def snmp(df: DataFrame, names: DataFrame) -> DataFrame:
+    """`oid = TYPE: value` lines of a device, named by a table of its object ids; others are left out.
+
+    The host of the scrape is the device.
+    """
+    keep = scrape_columns(df)
+    rows = lines(df).withColumn("oid", F.replace(F.get(F.split(F.trim("line"), r"\s+"), F.lit(0)), F.lit("iso."), F.lit(".1.")))
+    rows = rows.withColumn("value_raw", F.element_at(F.split(F.trim("line"), r"\s+"), -1)).withColumn("device", F.col("host"))
+    named = resolve_oid(rows, names).filter(F.col("name").isNotNull())
+    named = named.withColumn("name", F.concat(F.lit("snmp_"), F.col("name"))).withColumn("tags", F.create_map(F.lit("devicename"), F.col("device")))
+    return finish(named, keep)
+
+
+def snmp_check(names: DataFrame, source: str = "snmp") -> Check:
+    """The check of devices whose object ids `names` (device, oid, name) lists."""
+    return Check(source, partial(snmp, names=names), (), "snmp")
+
+
 def mysql(df: DataFrame) -> DataFrame:
     """Tab-separated status rows."""
     rows = extract_kv_lines(df, "\t")
