@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_OPEN: list[list[str]] = []
+_OPEN = threading.local()  # streams of one process run in threads of their own
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
@@ -46,8 +47,8 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if getattr(_OPEN, "folders", None):
+        _OPEN.folders[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,10 +56,10 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove what `stored` wrote inside, once the block has ended well or badly."""
-    _OPEN.append([])
+    _OPEN.folders = [*getattr(_OPEN, "folders", []), []]
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _OPEN.folders.pop():
             fs, jvm_path = file_system(spark, path)
             fs.delete(jvm_path, True)
