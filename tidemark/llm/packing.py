@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import kept_table
 
 END = 2
+RANGE_ROWS = 100_000
 CLASSES = 16  # of lengths: each is packed by rounds of its own, the longest first
 CACHED_UNITS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -111,6 +112,7 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gap and the piece that takes it are neighbours among the rows of their level. Pieces that find no gap
     here and gaps that no piece takes here leave with their number.
     """
+    _ENCODERS.clear()  # a reused worker may still hold the vocabulary
     table = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()), ("room", pa.int64())]))
     gap = table.column("id").is_null().to_numpy()
     depth = np.cumsum(np.where(gap, 1, -1))
@@ -168,18 +170,18 @@ def carried(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, in
     return runs, alone
 
 
-def _round(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int, int]:
+def _round(docs: DataFrame, gaps: DataFrame, most: int) -> tuple[DataFrame, int, int]:
     """One bulk round: placed, left and gap rows, how many pieces were placed, and how many were left.
 
     Pieces and gaps are range-sorted by size, a gap before a piece of its size; each range is swept on its
-    own, then what is left of the ranges is matched by rank. `ord` numbers the pieces left.
+    own, then what is left of the ranges is matched by rank. `ord` numbers the pieces left. There are at
+    most `most` rows, and a range for every `RANGE_ROWS` of them.
     """
     spark = docs.sparkSession
     rows = docs.select("id", "length", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("room"), F.col("length").alias("_size"))
     rows = rows.unionByName(gaps.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("length"), "seq", "room", F.col("room").alias("_size")))
     order = [F.col("_size").desc(), F.col("id").isNotNull(), F.coalesce("id", "seq")]
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "length", "seq", "room")
+    ranged = rows.repartitionByRange(max(2, -(-most // RANGE_ROWS)), *order).sortWithinPartitions(*order).select("id", "length", "seq", "room")
     swept = kept_table(ranged.mapInArrow(_swept, STATE).withColumn("part", F.spark_partition_id()))
     found = swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows a range
     sizes = {(r["part"], r["kind"]): r["n"] for r in found}
@@ -215,15 +217,15 @@ def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     width = max(1, capacity // CLASSES)
     short = cut.where(F.col("length") < capacity).select(F.col("_id").alias("id"), "length")
     classes = F.floor((F.lit(capacity - 1) - F.col("length")) / width).cast("int")
-    classed = {r["class"]: r["top"] for r in short.groupBy(classes.alias("class")).agg(F.max("length").alias("top")).collect()}
+    classed = {r["class"]: (r["top"], r["n"]) for r in short.groupBy(classes.alias("class")).agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("n")).collect()}
     gaps = spark.createDataFrame([], "seq long, room long")
     places: list[DataFrame] = []
     opened = 0
-    for number, top in sorted(classed.items()):
+    for number, (top, left) in sorted(classed.items()):
         docs = short.where(classes == number)
         least = capacity - 1 - width * (number + 1)  # every piece of the class is longer
         while True:
-            rows, placed, left = _round(docs, gaps.where(F.col("room") > least))
+            rows, placed, left = _round(docs, gaps.where(F.col("room") > least), left + opened)
             places.append(rows.where(F.col("kind") == PLACED).select("id", "seq", (F.lit(capacity) - F.col("room")).alias("offset")))
             shrunk = rows.where((F.col("kind") == GAP) | (F.col("room") > F.col("length"))).where(F.col("kind") != LEFT)
             gaps = gaps.where(F.col("room") <= least).unionByName(
