@@ -17,7 +17,7 @@ from tidemark.llm.shared import kept_table
 
 END = 2
 RANGE_ROWS = 100_000
-CLASSES = 16  # of lengths: each is packed by rounds of its own, the longest first
+CLASSES = 8  # of lengths: each is packed by rounds of its own, the longest first
 CACHED_UNITS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
