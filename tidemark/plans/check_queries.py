@@ -14,7 +14,7 @@ from tidemark.plans.tables import cents, epoch_seconds, event_counters, event_sa
 from tidemark.plans.window_queries import ORACLE as WINDOW_ORACLE
 from tidemark.plans.window_queries import RATE_SQL, customer_days, user_parts
 from tidemark.schema import THRESHOLDS
-from tidemark.shared import local_folder
+from tidemark.shared import checkpoint_root
 from tidemark.sources.scrapes import read_scrapes, write_scrapes
 from tidemark.streaming import cycle
 from tidemark.streaming.derive import stateful
@@ -141,7 +141,7 @@ def enabled_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names."""
-    return f"{cycle.checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def landed_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _streamed(spark: SparkSession, batch: DataFrame, kind: str, values, series:
 
     def run(stream: DataFrame) -> None:
         derived = stateful(stream, kind, values, series)
-        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None).awaitTermination()
 
     landed_in_slices(batch, path, run)
     return spark.read.parquet(f"{path}/out")
@@ -232,7 +232,7 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = path.rsplit("/", 1)[1]
 
     def run(stream: DataFrame) -> None:
-        cycle.maintain_latest(stream, f"{path}/latest", label, None, local_folder()).awaitTermination()
+        cycle.maintain_latest(stream, f"{path}/latest", label, None).awaitTermination()
 
     landed_in_slices(event_scrapes(spark, sf_dir).select("host", "source", "scrape_id", "ts_s"), path, run)
     return cycle.read_latest(spark, f"{path}/latest")

@@ -15,7 +15,7 @@ from tidemark.plans.check_queries import ORACLE as CHECK_ORACLE
 from tidemark.plans.check_queries import SLICES, event_scrapes, landed_in_slices, scratch_path
 from tidemark.plans.tables import cents, epoch_seconds, event_counters, table
 from tidemark.plans.window_queries import RATE_SQL
-from tidemark.shared import local_folder, stored
+from tidemark.shared import stored
 from tidemark.streaming import cycle
 from tidemark.streaming.checks import read_samples, run_checks_on
 from tidemark.streaming.derive import saved_state, stateful
@@ -32,7 +32,7 @@ def stream_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = path.rsplit("/", 1)[1]
 
     def run(stream: DataFrame) -> None:
-        query = run_checks_on(stream, [known["redis"], known["haproxy"]], path, label, period=None, checkpoint=local_folder())
+        query = run_checks_on(stream, [known["redis"], known["haproxy"]], path, label, period=None)
         query.awaitTermination()
 
     landed_in_slices(event_scrapes(spark, sf_dir), path, run)
@@ -76,7 +76,7 @@ def stream_store_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
         def numbered(batch: DataFrame, batch_id: int) -> None:
             sink(batch.withColumn("cycle", F.lit(batch_id)), batch_id)
 
-        cycle.start(stream, numbered, label, None, local_folder()).awaitTermination()
+        cycle.start(stream, numbered, label, None).awaitTermination()
 
     landed_in_slices(_dated_batches(spark, sf_dir), path, run)
     out = spark.read.parquet(f"{path}/routes")
@@ -112,7 +112,7 @@ def stream_resumed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(stream: DataFrame) -> None:
         derived = stateful(stream, "rate", {"total": "rate"}, ("host", "name"), start=start)
-        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+        cycle.start(derived, cycle.table_sink(f"{path}/out"), label, None).awaitTermination()
 
     landed_in_slices(rows.filter(~early), path, run)
     names = ["host", "name", "ts_s", "seq", "total", "rate"]
@@ -133,7 +133,7 @@ def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.filter((F.col("user_id") % 10 != 0) | (F.col("ts_s") <= half) | (F.col("ts_s") == last)).drop("user_id")
 
     def run(stream: DataFrame) -> None:
-        cycle.start(silence_events(stream, SILENT_S), cycle.table_sink(f"{path}/out"), label, None, local_folder()).awaitTermination()
+        cycle.start(silence_events(stream, SILENT_S), cycle.table_sink(f"{path}/out"), label, None).awaitTermination()
 
     landed_in_slices(rows, path, run)
     return spark.read.parquet(f"{path}/out").select("host", "module", "ts_s", "value", "status", "message", "reaction")

@@ -15,11 +15,11 @@ _OPEN = threading.local()  # streams of one process run in threads of their own
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names; `fallback` only in local mode, where none is named."""
+    """The shared folder the cluster names; in local mode, where none is named, `fallback` or a folder of the process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     master = spark.sparkContext.master
     local = master == "local" or master.startswith("local[")
-    root = named or (fallback if local else None)
+    root = named or ((fallback or local_folder()) if local else None)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return root.rstrip("/")
@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     `scratch` it is removed at the end, elsewhere it stays.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark, local_folder())}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if getattr(_OPEN, "folders", None):
         _OPEN.folders[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
