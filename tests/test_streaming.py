@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 import loops
 from test_windows import frame, found, series_rows
 from tidemark.operators import windows as w
+from tidemark.shared import checkpoint_root
 from tidemark.streaming import cycle
-from tidemark.streaming.derive import stateful
+from tidemark.streaming.derive import GROUPS, stateful, stream_state
 
 
 def run_stream(spark, df, scratch, build, cuts):
@@ -82,3 +83,19 @@ def test_latest_survives_a_repeated_batch(spark, scratch):
     fold(second, 1)
     got = sorted(tuple(r) for r in cycle.read_latest(spark, scratch + "/latest").collect())
     assert got == [("a", "2", 20, 2), ("b", "2", 30, 4), ("b", "2", 30, 5)]
+
+
+def test_many_series_share_a_call_and_a_state_row(spark, scratch):
+    schema = "s STRING, ts_s BIGINT, seq BIGINT, v BIGINT"
+    n, name = 2 * GROUPS, f"t-{uuid.uuid4().hex}"
+    for ts, v in ((100, 10), (110, 30)):
+        spark.range(n).selectExpr("concat('s', id) AS s", f"{ts}L AS ts_s", "id AS seq", f"{v}L + id AS v").write.mode("append").parquet(scratch + "/in")
+        stream = spark.readStream.schema(schema).parquet(scratch + "/in")
+        q = cycle.start(stateful(stream, "rate", {"v": "rate"}, ("s",)), cycle.table_sink(scratch + "/out"), name, None, scratch + "/cp")
+        assert q.awaitTermination(120)
+    out = spark.read.parquet(scratch + "/out").groupBy("ts_s", "rate").count().collect()
+    assert sorted(tuple(r) for r in out) == [(100, 0.0, n), (110, 2.0, n)]
+    held = spark.read.format("statestore").option("path", f"{checkpoint_root(spark, scratch + '/cp')}/cycle/{name}").option("stateVarName", "last").load()
+    assert held.count() <= GROUPS
+    state = stream_state(spark, name, scratch + "/cp")
+    assert state.filter((F.col("ts") == 110) & (F.col("longs")[0] == 30 + F.col("seq"))).count() == n
