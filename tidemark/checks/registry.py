@@ -108,14 +108,17 @@ def enabled_recipes(recipes: DataFrame) -> DataFrame:
 
 
 def apply_recipes(samples: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Keep listed names and give them metric, style, chart type and reaction."""
+    """Keep listed names and give them metric, style, chart type and reaction.
+
+    The table goes to every task: joined by shuffle, all samples of one name would meet in one.
+    """
     dim = enabled_recipes(recipes).select(
         "source", F.col("match").alias("name"), F.col("metric").alias("_metric"),
         F.col("style").alias("_style"), "chart_type", "reaction",
     )
     rows = samples.drop("style", "chart_type", "reaction")
     return (
-        rows.join(dim, ["source", "name"])
+        rows.join(F.broadcast(dim), ["source", "name"])
         .withColumn("name", F.col("_metric"))
         .withColumn("style", F.col("_style"))
         .drop("_metric", "_style")

@@ -10,6 +10,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN_FOLDERS = 64  # of a task; rows of further folders are sorted
+
 _LOCAL: dict[str, str] = {}
 _OPEN = threading.local()  # streams of one process run in threads of their own
 
@@ -49,7 +52,14 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if getattr(_OPEN, "folders", None):
         _OPEN.folders[-1].append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # Where the rows go to folders, a task writes to them side by side: sorting by folder would hold all its rows.
+    before = spark.conf.get(WRITERS)
+    if partition_by:
+        spark.conf.set(WRITERS, str(OPEN_FOLDERS))
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(WRITERS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
