@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from tidemark import checks
 from tidemark.schema import RAW_SCRAPES
+from tidemark.checks.events import Health, check_events
+from tidemark.checks.registry import apply_recipes
+from tidemark.schema import THRESHOLDS
 
 PAYLOADS = {
     "btrfs": ("[/dev/sda1].write_io_errs   3\n", {("btrfs_dev_sda1_write_io_errs", ()): 3.0}),
@@ -412,3 +415,15 @@ def test_devices_by_their_object_ids(spark):
     raw = spark.createDataFrame([("sw1", "snmp", "c", 1, "text", "iso.3.6.1 = INTEGER: 42\n.1.9.9 = INTEGER: 1")], RAW)
     got = [(r["name"], r["tags"], r["value"]) for r in checks.run_checks(raw, [snmp_check(names)]).collect()]
     assert got == [("snmp_uptime", {"devicename": "sw1"}, 42.0)]
+
+
+def test_short_lists_are_joined_without_moving_the_rows(spark):
+    known = checks.registered()
+    rows = spark.createDataFrame([("redis", "used_memory", "h", 1, 95.0, "95", {"k": "v"})] * 3,
+                                 "source string, name string, host string, ts_s bigint, value double, value_raw string, tags map<string, string>")
+    listed = apply_recipes(rows, checks.recipe_table(spark, [known["redis"]]))
+    limits = spark.createDataFrame([("used_memory", 80.0, 90.0, False, True)], THRESHOLDS)
+    told = check_events(rows, [Health("used_memory", "M")], limits)
+    for df in (listed, told):
+        assert df.count() == 3
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]

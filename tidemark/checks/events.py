@@ -49,7 +49,8 @@ def check_events(rows: DataFrame, rules: Sequence[Health], thresholds: DataFrame
     ])
     limits = thresholds.filter("enabled").select(F.col("metric").alias("_metric"), "warn", "crit", F.col("emit_ok").alias("_show"))
     found = rows.filter(F.col("name").isin(*[r.metric for r in rules])).withColumn("_rule", known[F.col("name")])
-    found = found.join(limits, F.col("name") == F.col("_metric"), "left")
+    # By shuffle, all rows of one name would meet in one task.
+    found = found.join(F.broadcast(limits), F.col("name") == F.col("_metric"), "left")
     kind, value = F.col("_rule.kind"), F.col("value")
     level = (
         F.when(kind == "band", band(value, F.col("warn"), F.col("crit")))
